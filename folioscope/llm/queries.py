@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, pii, quality, secrets, simhash, toxicity, warc
+from . import decontaminate, licenses, lm, mixing, pii, quality, secrets, simhash, toxicity, warc
 from .common import fold, table
 
 
@@ -31,6 +31,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, labels))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.scored(table(spark, sf_dir, "documents"))
+    return out.withColumn("held_out", fold("doc_id", 7) == 2)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = secrets.train(secrets.labelled_findings(spark))
     return secrets.scan(table(spark, sf_dir, "documents"), forest)
@@ -60,8 +65,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_pii_pseudonyms, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_quality_rules, op6_secret_scan,
-        op7_warc, op8_mixing, op9_license_scan, op10_toxicity,
+        op1_pii_pseudonyms, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_quality_rules, op5_lm_scores,
+        op6_secret_scan, op7_warc, op8_mixing, op9_license_scan, op10_toxicity,
     )
 }
 ORACLES: dict[str, str] = {
