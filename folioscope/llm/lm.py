@@ -346,8 +346,8 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, ends: int, id_col:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     ``ends``: training texts, each of which has one end. Words are looked up in the count table
-    by shards: each chunk of texts asks each shard once, with its distinct words; a shard sums
-    what its words add to each text. Null and empty texts are an end only. Repeated rows and
+    by shards: each chunk of texts asks each shard once, for its distinct words; the replies meet
+    at the chunk, so that what travels grows with the distinct words of the chunks. Null and empty texts are an end only. Repeated rows and
     null ids each get their row; an empty table gives an empty result, an empty training set
     counts of 0.
     """
@@ -356,7 +356,7 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, ends: int, id_col:
     vocabulary = counted.where("kind = 0")
     facts = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     total, distinct_words = facts.n + ends, facts.v + (ends > 0)
-    shards = max(4, -(-total // REQUEST_WORDS))
+    shards = max(64, -(-total // REQUEST_WORDS))
     shared = spark.sparkContext.broadcast(model)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -372,8 +372,9 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, ends: int, id_col:
             rows = []
             for s, (a, b) in enumerate(zip(np.append(0, cut).tolist(), np.append(cut, len(h)).tolist(), strict=True)):
                 if b > a:
-                    own, sizes = np.unique(h[a:b], return_counts=True)
-                    rows.append((s, own.tobytes(), sizes.astype(np.uint32).tobytes(), t[a:b].astype(np.uint32).tobytes(), c[a:b].astype(np.uint32).tobytes()))
+                    rows.append((s, np.unique(h[a:b]).tobytes(), None, None, None))
+            sizes = np.unique(h, return_counts=True)[1]
+            rows.append((-1, None, *(x.astype(np.uint32).tobytes() for x in (sizes, t, c))))
             n = len(rows)
             s, *packed = zip(*rows, strict=True)
             none = [pa.nulls(n, x) for x in (pa.int32(), kind, pa.int64(), pa.float64())]
@@ -421,31 +422,35 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, ends: int, id_col:
     table = vocabulary.select("key", "n").mapInArrow(place_words, "shard int, key long, n long")
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        """Counts of the words that each chunk asks this shard for; 0 where it has none."""
         keys, n = known.column("key").to_numpy().view(np.uint64), known.column("n").to_numpy()
         order = np.argsort(keys)
-        keys, logs = keys[order], np.log10(n[order] + 1.0)
+        keys, n = np.append(keys[order], 0), np.append(n[order], 0)
         out = []
-        for chunk, h, sizes, texts, counts in zip(*(asked.column(c).to_pylist() for c in ("chunk", "hashes", "sizes", "texts", "counts")), strict=True):
+        for h in asked.column("hashes").to_pylist():
             h = np.frombuffer(h, np.uint64)
-            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-            hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            value = np.where(hit, logs[at], 0.0) if len(keys) else np.zeros(len(h))
-            sizes, t, c = (np.frombuffer(x, np.uint32).astype(np.int64) for x in (sizes, texts, counts))
-            sums = np.bincount(t, np.repeat(value, sizes) * c)
-            found = np.bincount(t, np.repeat(hit, sizes) * c)
-            live = np.unique(t)
-            out.append((chunk, live, found[live].astype(np.int64), sums[live]))
-        if not out:
-            return pa.table({"chunk": pa.array([], pa.string()), "place": pa.array([], pa.int32()), "known": pa.array([], pa.int64()), "logs": pa.array([], pa.float64())})
-        return pa.table({
-            "chunk": pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out])),
-            "place": pa.array(np.concatenate([o[1] for o in out]).astype(np.int32)),
-            "known": pa.array(np.concatenate([o[2] for o in out])), "logs": pa.array(np.concatenate([o[3] for o in out])),
-        })
-
-    asked = work.where("shard is not null").select("chunk", "shard", "hashes", "sizes", "texts", "counts")
-    replies = asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(answer, "chunk string, place int, known long, logs double")
-    sums = replies.groupBy("chunk", "place").agg(F.sum("known").alias("known"), F.sum("logs").alias("logs"))
+            at = np.searchsorted(keys[:-1], h)
+            out.append(np.where(keys[at] == h, n[at], 0).astype(np.int64).tobytes())
+        return pa.table({"chunk": asked.column("chunk"), "shard": asked.column("shard"), "found": pa.array(out, pa.binary())})
+
+    def add_up(held: pa.Table, replies: pa.Table) -> pa.Table:
+        """Sums of each text of a chunk; shards are ranges, so their replies follow one another."""
+        empty = {"chunk": pa.array([], pa.string()), "place": pa.array([], pa.int32()), "known": pa.array([], pa.int64()), "logs": pa.array([], pa.float64())}
+        if not held.num_rows:
+            return pa.table(empty)
+        parts = replies.sort_by("shard").column("found").to_pylist()
+        n = np.concatenate([np.frombuffer(x, np.int64) for x in parts])
+        sizes, t, c = (np.frombuffer(held.column(x)[0].as_py(), np.uint32).astype(np.int64) for x in ("sizes", "texts", "counts"))
+        n = np.repeat(n, sizes)
+        live = np.unique(t)
+        known = np.bincount(t, (n > 0) * c)[live].astype(np.int64)
+        logs = np.bincount(t, np.log10(n + 1.0) * c)[live]
+        return pa.table({"chunk": pa.array([held.column("chunk")[0].as_py()] * len(live)), "place": pa.array(live.astype(np.int32)), "known": pa.array(known), "logs": pa.array(logs)})
+
+    asked = work.where("shard >= 0").select("chunk", "shard", "hashes")
+    replies = asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(answer, "chunk string, shard int, found binary")
+    held = work.where("shard = -1").select("chunk", "sizes", "texts", "counts")
+    sums = held.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(add_up, "chunk string, place int, known long, logs double")
     each = work.where("shard is null").select("chunk", "place", "id", "n_tokens", "score").join(sums, ["chunk", "place"], "left")
     end_log = float(np.log10(ends + 1.0))
     norm = float(np.log10(total + distinct_words + 1.0))
