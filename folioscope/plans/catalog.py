@@ -2,9 +2,264 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.functions import text as T
+from folioscope.operators import layout as L
+from folioscope.sources import typeset as S
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: A share low enough that running lines of these tables repeat often enough to count.
+SHARE = 0.02
+
+
+def query(oracle: str | None = None):
+    """Registers a function under its name, with the DuckDB SQL that says the same."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return S.lines(S.read(spark, d, "documents"))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return S.items(S.read(spark, d, "documents"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["strip_chrome"](spark, sf_dir)
+
+
+L1, I1, G1 = ("WITH " + x.strip() for x in (S.LINES_SQL, S.ITEMS_SQL, S.SEGMENTS_SQL))
+COLLAPSED = r"trim(regexp_replace(line, '[ \t]+', ' ', 'g'))"
+KEY = rf"regexp_replace(lower({COLLAPSED}), '[0-9]+', '#', 'g')"
+PATTERN = r"""(regexp_matches(lower(line), 'https?://| www\.|doi:|doi\.org/|copyright |all rights reserved|©') OR starts_with(lower(line), 'www.')
+  OR regexp_matches(lower(line), 'page [0-9]') OR regexp_matches(trim(line), '^[0-9]{1,4}$'))"""
+KEYS = f"""{L1}, banded AS (
+  SELECT *, {KEY} AS key, {PATTERN} AS p, 'header' AS band FROM lines WHERE line_no / n_lines <= 0.12
+  UNION ALL SELECT *, {KEY}, {PATTERN}, 'footer' FROM lines WHERE (line_no + 1) / n_lines >= 0.88
+), total AS (SELECT source, count(DISTINCT doc_id) AS all_pages FROM lines GROUP BY source
+), keys AS (
+  SELECT source, band, key, count(DISTINCT doc_id) AS pages, bool_or(p) AS is_pattern FROM banded JOIN total USING (source)
+  WHERE key <> '' AND all_pages >= 2 GROUP BY source, band, key, all_pages HAVING count(DISTINCT doc_id) >= greatest(2, ceil(all_pages * {SHARE}))
+), chosen AS (
+  SELECT * FROM (SELECT *, sum(CASE WHEN is_pattern THEN 0 ELSE 1 END) OVER (PARTITION BY source, band) AS others FROM keys) WHERE others <= 3 OR is_pattern
+)"""
+LETTERS = r"length(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
+VOWELS = r"length(regexp_replace(text, '[^AEIOUaeiou]', '', 'g'))"
+
+
+@query(f"{L1} SELECT doc_id, line_no, length(line)::INT AS n_chars FROM lines")
+def typeset_lines(spark, d):
+    return _lines(spark, d).select("doc_id", "line_no", F.length("line").alias("n_chars"))
+
+
+@query(f"{I1} SELECT * FROM items")
+def typeset_items(spark, d):
+    return _items(spark, d)
+
+
+@query(f"{KEYS} SELECT source, band, key, pages, is_pattern FROM keys")
+def repetition_keys(spark, d):
+    return L.repetition_keys(_lines(spark, d), SHARE)
+
+
+@query(f"{KEYS} SELECT source, band, key, pages, is_pattern FROM chosen")
+def header_footer_set(spark, d):
+    return L.header_footer_set(_lines(spark, d), SHARE)
+
+
+@query(f"""{KEYS} SELECT source, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM lines l
+WHERE NOT ((line_no / n_lines <= 0.12 OR (line_no + 1) / n_lines >= 0.88)
+  AND EXISTS (SELECT 1 FROM chosen c WHERE c.source = l.source AND c.key = {KEY})) GROUP BY source""")
+def strip_chrome(spark, d):
+    body = L.strip_chrome(_lines(spark, d), SHARE)
+    return body.groupBy("source").agg(F.count("*").alias("n_lines"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query(f"{L1} SELECT doc_id, line_no FROM lines WHERE {PATTERN}")
+def chrome_pattern_lines(spark, d):
+    return _lines(spark, d).where(T.is_chrome_pattern(F.col("line"))).select("doc_id", "line_no")
+
+
+@query(f"{I1} SELECT doc_id, page_number, line_no, word_no, text FROM items WHERE {LETTERS} >= 10 AND {VOWELS} * 10 < {LETTERS}")
+def garbled_items(spark, d):
+    return L.garbled_items(_items(spark, d)).select("doc_id", "page_number", "line_no", "word_no", "text")
+
+
+@query(f"""{I1}, fonts AS (SELECT doc_id, page_number, font_name, sum({LETTERS}) AS n, sum({VOWELS}) AS v FROM items GROUP BY ALL),
+marked AS (SELECT *, sum(n) OVER w AS pn, sum(v) OVER w AS pv FROM fonts WINDOW w AS (PARTITION BY doc_id, page_number))
+SELECT DISTINCT doc_id, page_number, CASE WHEN pn >= 30 AND pv * 5 < pn THEN 'page' ELSE font_name END AS scope FROM marked
+WHERE (pn >= 30 AND pv * 5 < pn) OR (n >= 30 AND v * 5 < n AND n >= ceil(0.15 * pn))""")
+def garbled_scope(spark, d):
+    return L.garbled_scope(_items(spark, d))
+
+
+@query(f"""{I1}, p AS (SELECT doc_id, page_number, count(*) AS n_items, sum(octet_length(encode(text)))::BIGINT AS text_length,
+  sum(width * height) / (612.0::DOUBLE * 792.0::DOUBLE) AS text_coverage FROM items GROUP BY doc_id, page_number)
+SELECT *, text_length < 50 OR text_coverage < 0.02::DOUBLE AS is_sparse FROM p""")
+def page_complexity(spark, d):
+    return L.page_complexity(_items(spark, d), S.WIDTH, S.HEIGHT)
+
+
+BODY = f"""{I1}, sized AS (SELECT doc_id, round(font_size * 100) AS key, sum(length(text)) AS weight FROM items GROUP BY ALL),
+body AS (SELECT doc_id, max(key) / 100 AS body_size FROM (SELECT *, max(greatest(weight, 1)) OVER (PARTITION BY doc_id) AS most FROM sized)
+  WHERE weight >= floor(most * 0.5::DOUBLE) GROUP BY doc_id)"""
+
+
+@query(f"{BODY} SELECT * FROM body")
+def body_size(spark, d):
+    return L.body_size(_items(spark, d))
+
+
+@query(f"""{BODY}, s AS (SELECT doc_id, font_size AS size, sum(length(text)) AS chars, count(DISTINCT line_no) AS nl, sum({LETTERS}) AS alpha FROM items GROUP BY doc_id, font_size),
+r AS (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC)::INT AS level FROM s JOIN body USING (doc_id)
+  WHERE size > body_size + 0.5 AND chars >= 10 AND chars / nl BETWEEN 8 AND 200 AND alpha / chars >= 0.5)
+SELECT * FROM r WHERE level <= 6""")
+def heading_map(spark, d):
+    return L.heading_map(_items(spark, d))
+
+
+@query(rf"""{L1} SELECT doc_id, line_no, CASE WHEN regexp_matches(trim(line), '^[{T.BULLETS}][ \t]') THEN 'unordered' ELSE 'ordered' END AS kind FROM lines
+WHERE regexp_matches(trim(line), '^[{T.BULLETS}][ \t]') OR regexp_matches(trim(line), '^[0-9]{{1,3}}[.)][ \t]')""")
+def list_markers(spark, d):
+    kind = T.list_marker(F.col("line"))
+    return _lines(spark, d).select("doc_id", "line_no", kind.alias("kind")).where("kind is not null")
+
+
+CAPTION = "|".join(w.replace(".", r"\.") for w in T.CAPTION_WORDS)
+
+
+@query(rf"{L1} SELECT doc_id, line_no FROM lines WHERE regexp_matches(lower(trim(line)), '^({CAPTION})[ ]+([0-9]|\([0-9]|[ivxlc])')")
+def caption_lines(spark, d):
+    return _lines(spark, d).where(T.is_caption(F.col("line"))).select("doc_id", "line_no")
+
+
+@query(rf"""{L1}, b AS (SELECT *, trim(line) AS t, regexp_replace(trim(line), '[ .\t]*[ \t][ .\t]*[0-9]{{1,4}}$', '') AS body FROM lines)
+SELECT doc_id, line_no FROM b WHERE regexp_matches(t, '[^0-9][ .\t]*[ \t][ .\t]*[0-9]{{1,4}}$')
+AND length(regexp_replace(body, '[^A-Za-z]', '', 'g')) >= 8 AND NOT regexp_matches(body, '[0-9]$')""")
+def toc_entries(spark, d):
+    return _lines(spark, d).where(T.is_toc_entry(F.col("line"))).select("doc_id", "line_no")
+
+
+@query(r"""WITH f AS (SELECT o_orderkey, o_orderkey // 100 || '.' || o_orderkey % 100 || '. ' || o_orderpriority AS title FROM orders),
+n AS (SELECT *, regexp_replace(regexp_extract(trim(title), '^[^ \t]*'), '[.)]+$', '') AS w FROM f)
+SELECT o_orderkey, least(length(w) - length(replace(w, '.', '')) + 1, 6)::INT AS level FROM n WHERE regexp_matches(w, '^[0-9]+(\.[0-9]+)*$')""")
+def numbered_levels(spark, d):
+    title = F.expr("concat(o_orderkey div 100, '.', o_orderkey % 100, '. ', o_orderpriority)")
+    return S.read(spark, d, "orders").select("o_orderkey", T.numbered_level(title).alias("level")).where("level is not null")
+
+
+@query("SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS title_key FROM part")
+def title_keys(spark, d):
+    return S.read(spark, d, "part").select("p_partkey", T.title_key(F.col("p_name")).alias("title_key"))
+
+
+@query(rf"{L1} SELECT doc_id, line_no, {COLLAPSED} AS line FROM lines")
+def whitespace_collapse(spark, d):
+    return _lines(spark, d).select("doc_id", "line_no", T.collapse(F.col("line")).alias("line"))
+
+
+@query(rf"{L1} SELECT doc_id, line_no FROM lines WHERE regexp_matches(trim(line), '^([-_=*~] ?){{3,}}$')")
+def dividers(spark, d):
+    return _lines(spark, d).where(T.is_divider(F.col("line"))).select("doc_id", "line_no")
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '([\\`*_\[\]<>|#])', '\\\1', 'g') AS text FROM documents")
+def escape_inline(spark, d):
+    return S.read(spark, d, "documents").select("doc_id", T.escape_inline(F.col("text")).alias("text"))
+
+
+@query(f"""{I1}, dup AS (SELECT *, line_no * 10000 + word_no * 2 AS idx FROM items UNION ALL BY NAME
+  SELECT * REPLACE (x + 1 AS x, y + 1 AS y), line_no * 10000 + word_no * 2 + 1 AS idx FROM items WHERE word_no % 6 = 0)
+SELECT doc_id, page_number, count(*) AS kept, sum(idx)::BIGINT AS idx_sum FROM dup a WHERE NOT EXISTS (
+  SELECT 1 FROM dup b WHERE a.doc_id = b.doc_id AND a.page_number = b.page_number AND b.idx > a.idx
+    AND least(a.x + a.width, b.x + b.width) > greatest(a.x, b.x) AND least(a.y + a.height, b.y + b.height) > greatest(a.y, b.y)
+    AND (least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * (least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y)) > 0.5 * least(a.width * a.height, b.width * b.height)
+    AND (a.text = b.text OR greatest(a.width * a.height, b.width * b.height) <= 5 * least(a.width * a.height, b.width * b.height)))
+GROUP BY doc_id, page_number""")
+def overlap_dedup(spark, d):
+    kept = L.overlap_dedup(S.shifted_copies(_items(spark, d)))
+    return kept.groupBy("doc_id", "page_number").agg(F.count("*").alias("kept"), F.sum("idx").cast("long").alias("idx_sum"))
+
+
+@query(f"{I1} SELECT doc_id, page_number, line_no, word_no FROM items WHERE x >= 61.2::DOUBLE AND x + width <= 550.8::DOUBLE AND y >= 79.2::DOUBLE AND y + height <= 712.8::DOUBLE")
+def crop_filter(spark, d):
+    return L.crop(_items(spark, d), 612.0, 792.0, 0.1, 0.1, 0.1, 0.1).select("doc_id", "page_number", "line_no", "word_no")
+
+
+LINKS = "SELECT doc_id, page_number, line_no AS link_id, min(x) AS lx, min(y) AS ly, 120.0 AS lw, 12.0 AS lh FROM items WHERE line_no % 4 = 0 GROUP BY doc_id, page_number, line_no"
+
+
+@query(f"""{I1}, links AS ({LINKS}) SELECT i.doc_id, i.page_number, i.line_no, i.word_no, min(link_id) AS link_id FROM items i JOIN links l
+ON i.doc_id = l.doc_id AND i.page_number = l.page_number AND x + width / 2 BETWEEN lx AND lx + lw AND y + height / 2 BETWEEN ly AND ly + lh GROUP BY ALL""")
+def assign_links(spark, d):
+    items = _items(spark, d)
+    group = items.where("line_no % 4 = 0").groupBy("doc_id", "page_number", F.col("line_no").alias("link_id"))
+    links = group.agg(F.min("x").alias("lx"), F.min("y").alias("ly")).withColumns({"lw": F.lit(120.0), "lh": F.lit(12.0)})
+    return L.assign_links(items, links)
+
+
+@query(r"""WITH p AS (SELECT item_id, array_to_string(string_split(regexp_extract(text, '^[^\n]*'), ' ')[1:4], ' ') AS phrase FROM benchmark)
+SELECT doc_id, item_id, ((length(d.text) - length(replace(d.text, phrase, ''))) // length(phrase))::BIGINT AS hits FROM documents d JOIN p ON contains(d.text, phrase)
+WHERE phrase <> '' AND list_contains(regexp_split_to_array(d.text, '[ \n]+'), string_split(phrase, ' ')[1])""")
+def phrase_search(spark, d):
+    first = F.split(F.regexp_extract("text", "^[^\n]*", 0), " ")
+    phrases = S.read(spark, d, "benchmark").select("item_id", F.array_join(F.slice(first, 1, 4), " ").alias("phrase"))
+    return L.phrase_search(S.read(spark, d, "documents"), phrases)
+
+
+@query(f"""{G1}, k AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS length FROM segments),
+r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY length DESC, idx) AS place FROM k
+  WHERE length >= 5 AND greatest(x1, x2) >= 0 AND least(x1, x2) <= 400 AND greatest(y1, y2) >= 0 AND least(y1, y2) <= 400)
+SELECT page, idx, length FROM r WHERE place <= 50""")
+def segments_preview_topk(spark, d):
+    return L.segments_preview(S.segments(S.read(spark, d, "lineitem")))
+
+
+@query(f"""{G1}, pts AS (SELECT page, idx AS point, (x1 + x2) / 2 + 3 AS px, (y1 + y2) / 2 + 2 AS py FROM segments WHERE idx <= 60),
+n AS (SELECT p.page, point, idx, x1, y1, px, py, x2 - x1 AS dx, y2 - y1 AS dy FROM pts p JOIN segments s ON p.page = s.page
+  AND px BETWEEN least(x1, x2) - 40 AND greatest(x1, x2) + 40 AND py BETWEEN least(y1, y2) - 40 AND greatest(y1, y2) + 40),
+t AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((px - x1) * dx + (py - y1) * dy) / (dx * dx + dy * dy))) ELSE 0.0::DOUBLE END AS t FROM n),
+e AS (SELECT *, round(sqrt((px - x1 - t * dx) * (px - x1 - t * dx) + (py - y1 - t * dy) * (py - y1 - t * dy)), 6) AS distance FROM t),
+b AS (SELECT *, row_number() OVER (PARTITION BY page, point ORDER BY distance, idx) AS k FROM e WHERE distance <= 40)
+SELECT page, point, idx, distance, round(100 * (1 - distance / 40))::INT AS confidence FROM b WHERE k = 1""")
+def nearest_labels(spark, d):
+    segments = S.segments(S.read(spark, d, "lineitem"))
+    points = segments.where("idx <= 60").selectExpr("page", "idx AS point", "(x1 + x2) / 2 + 3 AS px", "(y1 + y2) / 2 + 2 AS py")
+    return L.nearest_segments(points, segments)
+
+
+@query("""SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95
+FROM events GROUP BY event_type""")
+def bench_summary(spark, d):
+    return S.read(spark, d, "events").groupBy("event_type").agg(
+        F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"),
+        F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95"),
+    )
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, len(regexp_extract_all(html, '<p[ >]'))::INT AS paragraphs,
+len(regexp_extract_all(html, '<li[ >]'))::INT AS list_items, len(regexp_extract_all(html, '<h[1-6][ >]'))::INT AS headings FROM pages""")
+def html_blocks(spark, d):
+    count = lambda p: F.regexp_count("html", F.lit(p))
+    return S.read(spark, d, "pages").select(
+        "page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), count("<p[ >]").alias("paragraphs"),
+        count("<li[ >]").alias("list_items"), count("<h[1-6][ >]").alias("headings"),
+    )
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query(rf"""{L1}, c AS (SELECT doc_id, line_no, regexp_split_to_array(line, ' \| ') AS cells FROM lines)
+SELECT doc_id, line_no, len(cells)::INT AS n_cells, trim(cells[1]) AS first_cell FROM c WHERE len(cells) >= 3""")
+def split_cells(spark, d):
+    cells = _lines(spark, d).select("doc_id", "line_no", F.split("line", r" \| ", -1).alias("cells"))
+    return cells.where("size(cells) >= 3").select("doc_id", "line_no", F.size("cells").alias("n_cells"), F.trim(F.col("cells")[0]).alias("first_cell"))
