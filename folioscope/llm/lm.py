@@ -270,7 +270,8 @@ def build(reduced: np.ndarray, pair: np.ndarray, single: np.ndarray, seed: int =
     rest = np.zeros(len(reduced), np.float32)
     rest[others] = np.log((single[others] + 1) / (single[others].sum() + others.sum()))
     init = lambda scale: (rng.standard_normal((n, DIM)) * scale).astype(np.float32)
-    out = np.log(pair @ member + 0.5 * (member.T @ total) / total.sum() * CLASSES).astype(np.float32)
+    # A class without members gets a little, so that its score stays finite.
+    out = np.log(pair @ member + 0.5 * CLASSES * (member.T @ total + 0.01) / total.sum()).astype(np.float32)
     return Model(
         reduced, cls, table, rest, init(0.1), init(0.1), init(0.1), np.zeros(WINDOW, np.float32),
         out - out.mean(axis=1, keepdims=True), (rng.standard_normal((DIM, CLASSES)) * 0.1).astype(np.float32),

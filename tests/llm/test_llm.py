@@ -1,0 +1,281 @@
+"""The training-data operators against brute force, round trips and held-out accuracy."""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+from io import BytesIO
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from folioscope.llm import bytewords, components, decontaminate, licenses, lm, mixing, pii, quality, secrets, simhash, toxicity, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, Fingerprint string, score int"
+BASE = "the quick brown fox jumps over the lazy dog while seven wizards box the five dozen liquor jugs near my old farm"
+
+
+def odd_rows():
+    texts = [None, "", " \n\t ", "x", BASE, BASE, BASE + " end", "é" * 5000 + " " + BASE, BASE + "\n" + BASE, "\u0001 a \u0002"]
+    return [(None if k == 7 else k, t, None, None if k % 3 == 0 else f"src{k % 2}", None, None, None) for k, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = odd_rows()
+    return spark.createDataFrame(rows + rows[4:6], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def simhash_brute(text):
+    words = [re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in WORD.findall(text or "")]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_against_brute_force(spark, odd, empty):
+    got = simhash.near_duplicates(odd).collect()
+    fps = Counter((r.doc_id, r.fingerprint & (2**64 - 1)) for r in got)
+    rows = odd.select("doc_id", "text").collect()
+    assert fps == Counter((r.doc_id, simhash_brute(r.text)) for r in rows)
+    marks = [(r.doc_id, simhash_brute(r.text)) for r in rows]
+    label = list(range(len(marks)))
+    for _ in marks:
+        label = [min(label[j] for j, (_, b) in enumerate(marks) if bin(a ^ b).count("1") <= 4) for _, a in marks]
+    for r in got:
+        k = next(i for i, m in enumerate(marks) if m[1] == r.fingerprint & (2**64 - 1))
+        assert r.component_id == min(m[0] for m, x in zip(marks, label, strict=True) if x == label[k] and m[0] is not None)
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("segments", [2, 3, 4])
+def test_multi_index_links_are_complete(spark, segments, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWDED", 6)
+    rng = np.random.default_rng(7)
+    centres = rng.integers(0, 2**63, 60, dtype=np.int64)
+    near = [int(c) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 6), replace=False)) for c in centres for _ in range(6)]
+    tight = [int(centres[0]) ^ (1 << a) ^ (1 << b) for a in range(0, 40, 3) for b in range(1, 40, 5) if a != b]
+    values = sorted(set(near + tight))
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    roots = {r.node: r.root for r in components.components(simhash.near_edges(fps, 4, segments)).collect()}
+    label = {v: v for v in values}
+    arr = np.array(values, np.int64)
+    for _ in values:
+        new = {v: min(label[int(x)] for x in arr[np.bitwise_count((arr ^ v).view(np.uint64)) <= 4]) for v in values}
+        if new == label:
+            break
+        label = new
+    assert {v: roots.get(v, v) for v in values} == label
+
+
+def test_keep_one(spark, odd):
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and 0 in ids and 1 not in ids and 4 in ids and 5 not in ids
+
+
+def test_quality_counts_against_brute_force(spark, odd, empty):
+    labels = spark.createDataFrame([(4, 1), (3, 0), (None, 1), (4, None)], "doc_id long, quality int")
+    model = quality.train(odd, labels)
+    for r in quality.judge(odd.select("doc_id", "text", "score"), model).collect():
+        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+    texts = [r[1] for r in odd_rows()] + [f"{BASE} {BASE}\n{BASE}\n{BASE}\n\n &<a*"]
+    w = bytewords.words(pa.array(texts))
+    got = np.stack([w.lengths, quality.duplicate_lines(w), quality.repeated_words(w.hashes(), w.owner, len(texts))], axis=1).tolist()
+    for t, have in zip(texts, got, strict=True):
+        words, seen = WORD.findall(t or ""), {}
+        for i in range(len(words) - 7):
+            seen.setdefault(tuple(words[i : i + 8]), []).append(i)
+        covered = {j for v in seen.values() if len(v) > 1 for i in v for j in range(i, i + 8)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        assert have == [len(words), len(lines) - len(set(lines)), len(covered)]
+    assert quality.judge(empty, quality.train(empty, labels)).count() == 0
+
+
+def test_lm_base_scores_are_exact(spark, odd, empty):
+    got = lm.scored(odd).where("doc_id is not null").collect()
+    rows = [(r.doc_id, [re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in WORD.findall(r.text or "")] + [None]) for r in odd.select("doc_id", "text").collect()]
+    counts = Counter(w for i, ws in rows if crc32(str("" if i is None else i).encode()) % 7 != 2 for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    want = {i: (len(ws), sum(counts[w] > 0 for w in ws), sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in rows}
+    for r in got:
+        a, b, s = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (a, b, n) and abs(r.base_score - s) < 1e-6 and r.score < 0
+    assert lm.scored(empty).count() == 0
+
+
+def test_attention_is_causal_and_scores_each_token_once():
+    rng = np.random.default_rng(1)
+    n = 50
+    pair = rng.integers(1, 9, (n, n)).astype(float)
+    model = lm.build(np.arange(n, dtype=np.int32), pair, pair.sum(axis=0))
+    stream = rng.integers(0, n - 1, 200).astype(np.int32)
+    stream[[120, 199]] = n - 1
+    lengths = np.array([121, 79])
+    lm.fit(stream, lengths, model, epochs=1)
+    all_ = lm.log_probabilities(model, stream, lengths)
+    changed = stream.copy()
+    changed[60:121] = (changed[60:121] + 1) % (n - 1)
+    again = lm.log_probabilities(model, changed, lengths)
+    assert np.allclose(all_[:60], again[:60]) and np.allclose(all_[121:], again[121:]) and (all_ < 0).all()
+    # The factors of one position sum to 1 over all subwords.
+    total = sum(np.exp(lm.log_probabilities(model, np.append(stream[:40], v).astype(np.int32), np.array([41]))[40]) for v in range(n))
+    assert abs(total - 1) < 1e-3
+
+
+def test_mixing(spark, odd, empty):
+    once, again = (sorted(map(str, mixing.mix(odd).collect())) for _ in range(2))
+    assert once == again and len(once) == odd.count() and mixing.mix(empty).count() == 0
+    many = spark.createDataFrame([(k, "w " * (1 + k * 7919 % 400), f"s{k % 5 if k % 3 else 0}") for k in range(3000)], "doc_id long, text string, source string")
+    for r in mixing.mix(many).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.first("source_size").alias("s")).collect():
+        assert abs(r.t - r.g) <= 0.01 * r.g and r.g <= 2 * r.s
+
+
+def test_pii_round_trip(spark, odd, empty):
+    p = pii.Permutation(b"k")
+    text = "mail bob.smith99@mail.example.com card 4379362835490466, 4379 3628 3549 0466; ip 10.0.0.1 on 2020-02-29 or 31/12/1999 and 12/31/1999, ssn 123-45-6789 +1 (286) 555-5136 DE89370400440532013000 not 4379362835490467"
+    new, found = pii.pseudonymise(text, p)
+    assert [f[0] for f in found] == ["email", "card", "card", "ip", "date", "date", "date", "ssn", "phone", "iban"]
+    assert pii.pseudonymise(new, p, back=True)[0] == text and "4379362835490467" in new
+    card = [f[3] for f in found if f[0] == "card"]
+    assert card[0] == card[1].replace(" ", "") and pii.luhn(card[0])
+    assert sorted(p(v, 1000, "t") for v in range(1000)) == list(range(1000))
+    assert pii.apply(odd, b"k").count() == odd.count() and pii.apply(empty, b"k").count() == 0
+
+
+def test_decontamination_against_brute_force(spark, odd, empty):
+    items = [(1, BASE), (2, "five dozen liquor jugs near my old farm are more than what seven wizards would need"), (3, None), (4, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = odd.unionByName(spark.createDataFrame([(99, "pad " * 300 + BASE.upper().replace(" ", ",  ") + " pad" * 300, "en", "s", 1, None, None)], SCHEMA))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, bench).collect()}
+    flat = lambda t: b" " + b" ".join(decontaminate.tokens(t)) + b" "
+    assert found == {(r.doc_id, 1) for r in docs.collect() if flat(BASE) in flat(r.text)}
+    assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.remove(docs, bench).count() == docs.count() - sum(1 for r in docs.collect() if r.doc_id is not None and flat(BASE) in flat(r.text))
+
+
+def test_bm25_retrieval_equals_full_scores():
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(400)]
+    draw = lambda n: " ".join(vocabulary[int(400 * x**3)] for x in rng.random(n))
+    items = [(k, draw(30)) for k in range(80)]
+    index = decontaminate.Index(items)
+    texts = [draw(200) + " " + items[k % 80][1] + " " + draw(90) for k in range(60)] + ["", None]
+    got = {(k, at, i): s for k, at, i, s in index.search(texts)}
+    want = {}
+    for k, t in enumerate(texts):
+        ids = [index.term.get(w, -1) for w in decontaminate.tokens(t)]
+        half = index.window // 2
+        for at in range(0, max(1, len(ids) - half), half) if ids else []:
+            scores = np.zeros(80)
+            for term in set(ids[at : at + index.window]) - {-1}:
+                a, b = index.start[term], index.start[term + 1]
+                scores[index.item[a:b]] += index.impact[a:b]
+            want |= {(k, at, i): scores[i] for i in np.flatnonzero(scores >= 1)}
+    assert want.keys() <= got.keys() and all(abs(got[x] - want[x]) < 1e-3 for x in want)
+
+
+def test_secret_scan_on_held_out_findings(spark, odd, empty):
+    forest = secrets.train(secrets.labelled_findings(spark))
+    fresh = secrets.labelled_findings(spark, 1200, 7).select(
+        secrets.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path")).alias("x"), "label"
+    )
+    rows = fresh.withColumn("p", forest.column(F.col("x"))).collect()
+    p = forest.predict(np.array([r.x for r in rows]))
+    assert np.allclose(p, [r.p for r in rows]) and np.mean((p >= 0.5) == np.array([r.label for r in rows])) > 0.97
+    key = "f0ddae3b09ae356cbefecdd3232fa5489bb400d6"
+    text = f'so token = "{key}" and commit {key[::-1]} and 4379362835490466'
+    docs = spark.createDataFrame([(1, text, "s", 5), (2, "clean", "s", 5), (3, None, None, 5)], "doc_id long, text string, source string, found int")
+    hits = {(r.start, r.end) for r in secrets.scan(docs, forest).where("is_secret").collect()}
+    assert hits == {(text.index(key), text.index(key) + 40)}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
+    assert clean == {1: text.replace(key, "[SECRET]"), 2: "clean", 3: None}
+    assert secrets.redact(odd, forest).count() == odd.count() and secrets.scan(empty, forest).count() == 0
+
+
+def test_warc_round_trip(spark, empty):
+    rows = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "http://c\r\nX: y", ""), (5, "u", "é" * 100_000), (None, "n", "<p>x</p>"), (2, "http://b", "<p>x</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.read_back(warc.write(pages)).collect()
+    assert len(got) == len(rows)
+    refers = {r.page_id: (r.record_type, r.refers_to) for r in got}
+    assert refers == {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), 5: ("response", None), None: ("revisit", 2)}
+    for r in got:
+        html = next((h or "").encode() for i, _, h in rows if i == r.page_id)
+        assert (r.payload_bytes, r.payload_digest) == (len(html), warc.base32_sha1(html))
+    assert warc.read_back(warc.write(pages.limit(0))).count() == 0
+
+
+def test_warc_stream_reads_back():
+    raw = [warc.record(k, f"u{k}", (b"<p>%d</p>" % k) * 50, warc.base32_sha1(b""), None) for k in range(50)]
+    out = BytesIO()
+    writer = warc.Writer(out, warc.train_dictionary(raw))
+    for r in raw:
+        writer.write(r)
+    assert [p for _, p in warc.read(BytesIO(out.getvalue()))] == [(b"<p>%d</p>" % k) * 50 for k in range(50)]
+
+
+def test_license_scan(spark, odd, empty):
+    notice = next(t for n, t in licenses.TEMPLATES if n == "ISC")
+    pad = "lorem ipsum dolor sit amet " * 200
+    words = notice.split()
+    docs = spark.createDataFrame(
+        [(1, pad + notice + pad), (2, "Released under the MIT License."), (3, pad + " ".join(words[: len(words) // 2]) + pad), (4, pad + notice.upper().replace(" ", "\n ")), (5, None)],
+        "doc_id long, text string",
+    )
+    assert {(r.doc_id, r.license) for r in licenses.scan(docs).collect()} == {(1, "ISC"), (2, "MIT"), (4, "ISC")}
+    assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
+
+
+def test_chain_marginals_against_enumeration():
+    rng = np.random.default_rng(5)
+    emit, starts = rng.normal(size=9), np.array([1, 0, 0, 0, 0, 1, 0, 1, 0], bool)
+    link, first = rng.normal(size=(2, 2)), rng.normal(size=2)
+    want, at = np.zeros(9), list(np.flatnonzero(starts)) + [9]
+    for a, b in zip(at, at[1:], strict=False):
+        total = 0.0
+        for tags in np.ndindex(*[2] * (b - a)):
+            s = first[tags[0]] + sum(link[x, y] for x, y in zip(tags, tags[1:], strict=False)) + sum(emit[a + i] for i, t in enumerate(tags) if t)
+            total += np.exp(s)
+            want[a:b] += np.exp(s) * np.array(tags)
+        want[a:b] /= total
+    for step in (2, 4, 256):
+        old, toxicity.STEP = toxicity.STEP, step
+        p, links, firsts = toxicity.marginals(emit, starts, link, first)
+        toxicity.STEP = old
+        assert np.allclose(p, want) and np.isclose(links.sum(), 6) and np.isclose(firsts.sum(), 3)
+
+
+def test_toxicity_on_held_out_texts(spark, odd, empty):
+    rng = np.random.default_rng(2)
+    clean = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    bad = ["zorgle", "zorglish", "blimpf"]
+    make = lambda toxic: " ".join([clean[int(x)] for x in rng.integers(0, 300, 40)] + ([bad[int(rng.integers(0, 3))] for _ in range(3)] if toxic else []))
+    texts, y = [make(k % 4 == 0) for k in range(800)], [int(k % 4 == 0) for k in range(800)]
+    model = toxicity.fit(texts[:500], y[:500])
+    scores, spans = toxicity.Scorer(model)(texts[500:], spans=True)
+    assert np.mean((scores >= 0.3) == np.array(y[500:])) > 0.97
+    for t, found in zip(texts[500:], spans, strict=True):
+        assert all(set(t[s["start"] : s["end"]].split()) <= set(bad) for s in found)
+    out = toxicity.score(odd, model, spans=True)
+    assert out.count() == odd.count() and "score_" in out.columns and toxicity.score(empty, model).count() == 0
+
+
+def test_pipeline(spark):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    ids = [r.doc_id for r in out]
+    assert len(ids) == len(set(ids)) and 100 < len(ids) <= spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
