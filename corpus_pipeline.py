@@ -17,7 +17,7 @@ TOXIC = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fitted chain scores under TOXIC."""
-    model = toxicity.train(toxicity.learnable(docs), table(spark, sf_dir, "labels"))
+    model = toxicity.train(toxicity.learnable(docs), toxicity.learnable(table(spark, sf_dir, "labels")))
     scored = toxicity.score(docs, model, keep_text=True)
     return scored.where(scored[scored.columns[-1]] < TOXIC).select(*docs.columns)
 

@@ -8,11 +8,10 @@ spans, and a logistic map of their sums gives the document's score.
 
 from __future__ import annotations
 
-import math
 import re
 import string
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain as joined
 from zlib import crc32
@@ -23,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bytewords import mix
 from .common import Numbered, fold, free_name, slices, splitter
 
 #: A token: a run of ASCII letters and of any non-ASCII characters. The same twice: to cut, to locate.
 cut = splitter(string.ascii_letters)
 TOKEN = re.compile(r"[^\x00-@\[-`{-\x7f]+")
 #: Largest number of labelled documents that the model is fitted on, half of each label at most.
-FIT_DOCS = 4000
+FIT_DOCS = 3000
 #: Length of the blocks in which a chain is evaluated.
 STEP = 256
 SPANS = T.ArrayType(
@@ -166,58 +166,80 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.02) -> np.ndarray
     return w
 
 
-def telling(texts: list[list[bytes]], toxic: np.ndarray, ratio: float = 12.0, evidence: float = 18.0) -> list[str]:
-    """Features ``ratio`` times as frequent in toxic texts as in clean ones, with a
-    log-likelihood ratio of ``evidence`` (chance alone gives a few in 10^5 features)."""
-    seen = {0: Counter(), 1: Counter()}
-    for words, y in zip(texts, toxic.tolist(), strict=True):
-        seen[y].update({f for w in set(words) for f in features(w)})
-    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
+def _strength(k1: np.ndarray, k0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log-likelihood ratio of occurring in k1 of n1 and k0 of n0 texts against one common rate."""
+    share = (k1 + k0) / (n1 + n0)
+    term = lambda k, x: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(x, 1e-9)), 0.0)
+    return 2 * (term(k1, n1 * share) + term(k0, n0 * share) + term(n1 - k1, n1 * (1 - share)) + term(n0 - k0, n0 * (1 - share)))
 
-    def strength(k1: int, k0: int) -> float:
-        share = (k1 + k0) / (n1 + n0)
-        terms = ((k1, n1 * share), (k0, n0 * share), (n1 - k1, n1 * (1 - share)), (n0 - k0, n0 * (1 - share)))
-        return 2 * sum(k * math.log(k / x) for k, x in terms if k)
 
-    return sorted(
-        f for f, k in seen[1].items()
-        if k > 1 and k / n1 >= ratio * seen[0][f] / n0 and strength(k, seen[0][f]) >= evidence
-    )
+def telling(
+    texts: list[np.ndarray], known: list[bytes], toxic: np.ndarray, ratio: float = 12.0, evidence: float = 18.0
+) -> list[str]:
+    """Features ``ratio`` times as frequent in toxic texts as in clean ones, with a
+    log-likelihood ratio of ``evidence`` (chance alone gives a few in 10^5 features).
+    ``texts``: numbers of the words in ``known``. Features are counted by 32-bit hashes."""
+    sizes, packed = np.zeros(len(known), np.int64), array("L")
+    for k, w in enumerate(known):
+        own_hashes = [crc32(f.encode("utf-8", "surrogatepass")) for f in features(w)]
+        packed.extend(own_hashes)
+        sizes[k] = len(own_hashes)
+    begins = np.cumsum(sizes) - sizes
+    flat = np.array(packed, np.uint64).astype(np.uint32)
+    found: dict[int, list[np.ndarray]] = {0: [np.zeros(0, np.uint32)], 1: [np.zeros(0, np.uint32)]}
+    for ids, y in zip(texts, toxic.tolist(), strict=True):
+        own = np.unique(ids)
+        n = sizes[own]
+        found[y].append(np.unique(flat[np.repeat(begins[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]))
+    keys, k1 = np.unique(np.concatenate(found[1]), return_counts=True)
+    clean, k0 = np.unique(np.concatenate(found[0]), return_counts=True)
+    at = np.minimum(np.searchsorted(clean, keys), max(0, len(clean) - 1))
+    k0 = np.where(clean[at] == keys, k0[at], 0) if len(clean) else np.zeros(len(keys), np.int64)
+    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
+    good = (k1 > 1) & (k1 / n1 >= ratio * k0 / n0) & (_strength(k1, k0, n1, n0) >= evidence)
+    hit = np.isin(flat, keys[good])
+    chosen = set(flat[hit].tolist())
+    holders = np.unique(np.repeat(np.arange(len(known)), sizes)[hit])
+    return sorted({f for k in holders.tolist() for f in features(known[k]) if crc32(f.encode("utf-8", "surrogatepass")) in chosen})
 
 
-def unlike(texts: list[list[bytes]], hashes: int = 4, shingle: int = 5) -> list[int]:
+def unlike(texts: list[np.ndarray], hashes: np.ndarray, shingle: int = 5) -> list[int]:
     """Positions of the texts that share no min-hash of word shingles with an earlier one.
 
-    Copies of a toxic text would make all of its words look toxic.
+    Copies of a toxic text would make all of its words look toxic. ``hashes``: of the words.
     """
-    seen: list[set] = [set() for _ in range(hashes)]
+    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+    seen: list[set] = [set() for _ in odd]
     kept = []
-    for k, words in enumerate(texts):
-        shingles = {b" ".join(words[i : i + shingle]).lower() for i in range(max(1, len(words) - shingle + 1))}
-        marks = np.fromiter((crc32(x) for x in shingles), np.uint64, len(shingles))
-        least = [int((marks * np.uint64(m) % np.uint64(4294967291)).min()) for m in (2654435761, 2246822519, 3266489917, 668265263)]
-        if not any(m in own for m, own in zip(least, seen, strict=False)):
+    for k, ids in enumerate(texts):
+        h = hashes[ids]
+        marks = h[: max(1, len(h) - shingle + 1)].copy()
+        for j in range(1, min(shingle, len(h))):
+            marks = mix(marks + h[j : j + len(marks)])
+        least = [int((marks * m).min()) if len(marks) else 0 for m in odd]
+        if not any(m in own for m, own in zip(least, seen, strict=True)):
             kept.append(k)
-        for m, own in zip(least, seen, strict=False):
+        for m, own in zip(least, seen, strict=True):
             own.add(m)
     return kept
 
 
-def fit(texts: list[str | None], toxic: list[int], rounds: int = 20) -> Chain:
+def fit(texts: Iterable[str | None], toxic: list[int], rounds: int = 20) -> Chain:
     """A chain from whole labelled texts, one of each group of copies. Deterministic. Without
     texts of both labels every document scores near the one label there is (0 if none)."""
-    words = [cut(t) for t in texts]
-    chosen = unlike(words)
-    words, y = [words[k] for k in chosen], np.array([toxic[k] for k in chosen], np.int64)
+    known = Numbered(10**9)
+    ids = [np.fromiter(map(known.__getitem__, w), np.int32, len(w)) for w in map(cut, texts)]
+    hashes = mix(np.array([crc32(w.lower()) for w in known.words], np.uint64))
+    chosen = unlike(ids, hashes)
+    ids, y = [ids[k] for k in chosen], np.array([toxic[k] for k in chosen], np.int64)
     chain = Chain({}, -4.0, np.zeros((2, 2)), np.zeros(2), np.zeros(4))
     if len(y) == 0 or y.min() == y.max():
         chain.head[0] = 6.0 if len(y) and y[0] else -6.0
         return chain
-    marks = telling(words, y)
+    marks = telling(ids, known.words, y)
     column = {f: k for k, f in enumerate(marks)}
-    known = Numbered(10**9)
-    lengths = np.array([len(w) for w in words])
-    tokens = np.fromiter((known[w] for ws in words for w in ws), np.int64, int(lengths.sum()))
+    lengths = np.array([len(i) for i in ids])
+    tokens = np.concatenate(ids)
     has = [[column[f] for f in features(w) if f in column] for w in known.words]
     flat = np.array([k for ks in has for k in ks], np.int64)
     owner = np.repeat(np.arange(len(has)), [len(ks) for ks in has])
@@ -231,8 +253,16 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 20) -> Chain:
     weight = np.zeros(len(marks))
     square: dict[str, object] = dict.fromkeys("wblf", 0.0)
     emit = lambda: chain.bias + np.bincount(owner, weight[flat], len(has))
+    # Runs of whole texts, so that memory depends on their length only.
+    ends = np.cumsum(lengths)
+    runs = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(tokens), 200_000), "right"), len(ends)))
+    spans = [(int(ends[a - 1]) if a else 0, int(ends[b - 1])) for a, b in zip(runs, runs[1:], strict=False)]
     for _ in range(rounds if len(tokens) else 0):
-        p, links, firsts = marginals(emit()[tokens], starts, chain.link, chain.first)
+        scores, p = emit(), np.empty(len(tokens))
+        links, firsts = np.zeros((2, 2)), np.zeros(2)
+        for a, b in spans:
+            p[a:b], x, f = marginals(scores[tokens[a:b]], starts[a:b], chain.link, chain.first)
+            links, firsts = links + x, firsts + f
         slope = per_word - np.bincount(tokens, p, len(has))
         steps = {
             "w": np.bincount(flat, slope[owner], len(marks)) - 0.1 * weight,
@@ -248,7 +278,9 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 20) -> Chain:
         chain.link = chain.link + steps["l"]
         chain.first = chain.first + steps["f"]
     chain.weight = dict(zip(marks, weight.tolist(), strict=True))
-    p, _, _ = marginals(emit()[tokens], starts, chain.link, chain.first, False)
+    scores, p = emit(), np.zeros(len(tokens))
+    for a, b in spans:
+        p[a:b] = marginals(scores[tokens[a:b]], starts[a:b], chain.link, chain.first, False)[0]
     chain.head = _logistic(summary(p, lengths), y)
     return chain
 
@@ -298,25 +330,23 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", most=FIT_DOCS) -> Chain:
-    """Fit on at most ``most`` labelled documents, ``most // 2`` of each label, the first
-    by a hash of their ids (a bounded sample; ties by text). Rows without an id, a label of
-    0 or 1, or a document don't count; ids labelled twice count once for each label.
+    """Fit on the documents of at most ``most`` labelled ids, ``most // 2`` of each label, the
+    first by a hash (a bounded sample). Rows without an id, or a label of 0 or 1, don't count;
+    ids labelled twice count once for each label. The ids are broadcast: ``most`` at the largest.
     """
-    marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked.distinct(), "id")
-    texts, ys = [], []
-    for y in (0, 1):
-        part = joined.where(F.col("y") == y).select("text", F.xxhash64("id").alias("h"))
-        for row in part.orderBy("h", "text").limit(most // 2).toLocalIterator():
-            texts.append(row["text"])
-            ys.append(y)
-    counts = joined.groupBy("y").count().collect()
-    chain = fit(texts, ys)
+    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    marked = marked.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y")).distinct()
+    real = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    first = lambda y: marked.where(F.col("y") == y).orderBy(F.xxhash64("lid"), "lid").limit(most // 2)
+    picked = F.broadcast(first(0).union(first(1)))
+    joined = docs.join(picked, F.col(id_col) == F.col("lid")).select("lid", "y", F.col(text_col).alias("text"))
+    rows = sorted(joined.collect(), key=lambda r: (r["y"], r["lid"], r["text"] or ""))
+    ys = [r["y"] for r in rows]
+    model = fit((r["text"] for r in rows), ys)
     if 0 in ys and 1 in ys:
         # The sample holds too many toxic documents; shift the score back to their real share.
-        real = {r["y"]: r["count"] for r in counts}
-        chain.head[0] += np.log(real[1] / real[0]) - np.log(ys.count(1) / ys.count(0))
-    return chain
+        model.head[0] += np.log(real[1] / real[0]) - np.log(ys.count(1) / ys.count(0))
+    return model
 
 
 def score(
@@ -352,6 +382,6 @@ def score(
     return docs.select(*dict.fromkeys([*passed, text_col])).mapInArrow(run, schema)
 
 
-def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows whose labels may be learned from: crc32(id) mod 4 is not 2."""
-    return docs.where(fold(id_col, 4) != 2)
+def learnable(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows (of documents or labels) that may be learned from: crc32(id) mod 4 is not 2."""
+    return rows.where(fold(id_col, 4) != 2)
