@@ -168,6 +168,12 @@ def forest(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     return np.array(found, np.int64).reshape(-1, 2)
 
 
+def _rooted(classes: DataFrame, radius: int, segments: int) -> DataFrame:
+    """``classes`` (one row for each distinct fingerprint ``fp``) with the root of its component."""
+    tree = components(near_edges(classes.select("fp"), radius, segments))
+    return classes.join(tree, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -188,10 +194,7 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = staged(fingerprints(rows, "text", shingle))
     classes = staged(marks.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("id").alias("least")))
-    tree = components(near_edges(classes.select("fp"), radius, segments))
-    rooted = classes.join(tree, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(classes, radius, segments)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.join(least, "root").select("fp", "component_id")
     return marks.join(known, F.col("fingerprint") == F.col("fp")).select(
@@ -203,16 +206,27 @@ def as_hex(column: str):
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that lead their component, all columns kept.
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, segments: int = 3
+) -> DataFrame:
+    """One row of ``docs`` for each component, all columns kept.
 
-    The row with the smallest id of each component stays, once where rows repeat that id.
-    Rows without an id stay only where their whole component has none, and then one in all.
+    The row with the smallest id stays, rows without an id last; where its id repeats, the one
+    with the smallest digest of the text. Rows are known by id and text, so rows that repeat an
+    id, or have none, don't stand for each other.
     """
-    marked = near_duplicates(docs, id_col, text_col, **options)
-    leaders = marked.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("lead")).distinct()
-    kept = docs.join(leaders, F.col(id_col).eqNullSafe(F.col("lead")), "left_semi")
-    repeated = kept.groupBy(F.col(id_col).alias("rid")).count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col])
+    own = free_name(docs, "digest")
+    digest = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), digest.alias("digest"))
+    marks = staged(fingerprints(rows, "text", shingle))
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "digest")
+    classes = staged(marks.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(rank).alias("lead")))
+    leads = _rooted(classes, radius, segments).groupBy("root").agg(F.min("lead").alias("lead"))
+    leads = leads.select(F.col("lead.id").alias("lead_id"), F.col("lead.digest").alias("lead_digest"))
+    same = F.col(id_col).eqNullSafe(F.col("lead_id")) & F.col(own).eqNullSafe(F.col("lead_digest"))
+    kept = docs.withColumn(own, digest).join(leads, same, "left_semi")
+    # Rows of one id and one text are of one component, of which one stays.
+    repeated = kept.groupBy(F.col(id_col).alias("rid"), F.col(own).alias("rdigest")).count().where("count > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates([id_col, own])
+    return kept.drop(own)

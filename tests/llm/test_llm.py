@@ -279,3 +279,12 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     ids = [r.doc_id for r in out]
     assert len(ids) == len(set(ids)) and 100 < len(ids) <= spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_keep_one_keeps_a_row_of_each_component(spark):
+    rng = np.random.default_rng(3)
+    apart = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(6)]
+    rows = [(None, apart[0]), (None, apart[1]), (None, apart[2]), (5, apart[3]), (5, apart[4]), (4, apart[4]), (None, apart[4]), (None, apart[0]), (6, apart[5]), (6, apart[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert Counter(kept) == Counter([(None, apart[0]), (None, apart[1]), (None, apart[2]), (5, apart[3]), (4, apart[4]), (6, apart[5])])
