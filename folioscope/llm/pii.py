@@ -33,10 +33,24 @@ NUMBER = re.compile(
     r"|(?P<slashed>\d\d/\d\d/\d{4})"
     r"|(?P<ssn>\d{3}-\d\d-\d{4})"
     r"|(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4})"
-    r"|(?P<intl>\+[2-9]\d{0,2}(?:[ .-]?\d{2,4}){2,5})"
+    r"|(?P<intl>\+[2-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,4}+)){2,14})"
     r"|(?P<card>\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{5}|\d{13,19})"
     r")(?![\w-]|\.\d)"
 )
+END = re.compile(r"(?![\w-]|\.\d)")
+#: A trunk prefix as in "+44 (0)20", or an area code of one digit; it stays as it is.
+TRUNK = re.compile(r"\(\d\)")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    c: int(n)
+    for n, cs in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV"
+        " 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST"
+        " 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE"
+        " 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for c in cs.split(",")
+}
 
 
 class Permutation:
@@ -147,25 +161,61 @@ def _phone(text: str, p: Permutation, back: bool) -> str | None:
 
 
 def _intl(text: str, p: Permutation, back: bool) -> str | None:
-    d = _digits(text)
+    d = _digits(TRUNK.sub("", text))
     if not 8 <= len(d) <= 15:
         return None
-    return _refill(text, d[:2] + str(p(int(d[2:]), 10 ** (len(d) - 2), f"intl{d[:2]}", back=back)).zfill(len(d) - 2))
+    new = iter(d[:2] + str(p(int(d[2:]), 10 ** (len(d) - 2), f"intl{d[:2]}", back=back)).zfill(len(d) - 2))
+    parts = re.split(f"({TRUNK.pattern})", text)
+    return "".join(x if k % 2 else "".join(next(new) if "0" <= c <= "9" else c for c in x) for k, x in enumerate(parts))
 
 
 def _iban_check(country: str, rest: str) -> int:
     return int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
 
 
-def _iban(text: str, p: Permutation, back: bool) -> str | None:
+def _is_iban(text: str) -> bool:
     flat = text.replace(" ", "")
-    country, check, rest = flat[:2], flat[2:4], flat[4:]
-    d = _digits(rest)
-    if not 15 <= len(flat) <= 34 or not d or 98 - _iban_check(country, rest) != int(check):
+    return 15 <= len(flat) <= 34 and any("0" <= c <= "9" for c in flat[4:]) and 98 - _iban_check(flat[:2], flat[4:]) == int(flat[2:4])
+
+
+def _own_length(text: str) -> str | None:
+    """The start of ``text`` that is as long as its country's IBANs, where a blank follows."""
+    at, left = 0, IBAN_LENGTHS.get(text[:2], 99)
+    while left and at < len(text):
+        left -= text[at] != " "
+        at += 1
+    return text[:at] if not left and text[at : at + 1] == " " else None
+
+
+def _iban(text: str, p: Permutation, back: bool) -> str | None:
+    if not _is_iban(text):
         return None
-    new = _refill(rest, str(p(int(d), 10 ** len(d), f"iban{country}{re.sub('[0-9]', '0', rest)}", back=back)).zfill(len(d)))
-    out = iter(country + str(98 - _iban_check(country, new)).zfill(2) + new)
-    return "".join(c if c == " " else next(out) for c in text)
+    flat, short = text.replace(" ", ""), _own_length(text)
+    country, rest = flat[:2], flat[4:]
+    d = _digits(rest)
+
+    def made(v: int) -> str:
+        new = _refill(rest, str(v).zfill(len(d)))
+        out = iter(country + str(98 - _iban_check(country, new)).zfill(2) + new)
+        return "".join(c if c == " " else next(out) for c in text)
+
+    # One that holds no shorter IBAN maps to its like, so that the way back cuts it alike.
+    ok = (lambda v: not _is_iban(made(v)[: len(short)])) if short else (lambda _: True)
+    return made(p(int(d), 10 ** len(d), f"iban{country}{re.sub('[0-9]', '0', rest)}", ok, back))
+
+
+def _cut(kind: str, found: str) -> str:
+    """What of a match is the value: of an IBAN with a word behind it the IBAN, of an
+    international number with more numbers behind it as many groups as have 15 digits."""
+    if kind == "iban":
+        short = _own_length(found)
+        return short if short and _is_iban(short) else found
+    if kind == "intl":
+        at = len(found)
+        while at > 0 and len(_digits(TRUNK.sub("", found[:at]))) > 15:
+            at = next((k for k in range(at - 1, 0, -1) if found[k] in " .-" and END.match(found, k)), 0)
+        return found[:at] or found
+    return found
 
 
 _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -205,10 +255,14 @@ def pseudonymise(text: str | None, p: Permutation, back: bool = False) -> tuple[
     if "@" in text:
         found += [("email", m.start(), m.end(), _email(m.group(), p, back)) for m in EMAIL.finditer(text)]
     taken = [(a, b) for _, a, b, _ in found]
-    for m in NUMBER.finditer(text):
-        new = CHANGES[m.lastgroup](m.group(), p, back)
-        if new is not None and not any(a < m.end() and m.start() < b for a, b in taken):
-            found.append((KINDS.get(m.lastgroup, m.lastgroup), m.start(), m.end(), new))
+    m = NUMBER.search(text)
+    while m:
+        own = _cut(m.lastgroup, m.group())
+        start, end = m.start(), m.start() + len(own)
+        new = CHANGES[m.lastgroup](own, p, back)
+        if new is not None and not any(a < end and start < b for a, b in taken):
+            found.append((KINDS.get(m.lastgroup, m.lastgroup), start, end, new))
+        m = NUMBER.search(text, end)
     found.sort(key=lambda f: f[1])
     out, at = [], 0
     for _, a, b, new in found:

@@ -288,3 +288,21 @@ def test_keep_one_keeps_a_row_of_each_component(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
     assert Counter(kept) == Counter([(None, apart[0]), (None, apart[1]), (None, apart[2]), (5, apart[3]), (4, apart[4]), (6, apart[5])])
+
+
+def test_pii_groups_of_one_digit_and_words_behind_an_iban():
+    p = pii.Permutation(b"k")
+    phones = ["+33 1 23 45 67 89", "+33 6 12 34 56 78", "+61 2 9374 4000", "+81 3-1234-5678", "+44 (0)20 7946 0958", "+49 (30) 123456"]
+    ibans = ["BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "AT61 1904 3002 3457 3201", "DE89370400440532013000"]
+    for value, behind, kind in [(v, b, "phone") for v in phones for b in ("", ", then", " 1234 5678 9012")[: 3 if v == phones[0] else 2]] + [(v, b, "iban") for v in ibans for b in ("", " CODE", " CODE WORD", " CODES")]:
+        text = f"call {value}{behind} now"
+        new, found = pii.pseudonymise(text, p)
+        assert [(f[0], f[1]) for f in found] == [(kind, 5)] and value not in new and len(new) == len(text), text
+        assert kind == "phone" or found[0][2] == 5 + len(value), text
+        assert pii.pseudonymise(new, p, back=True)[0] == text
+        assert kind == "phone" or pii._is_iban(new[5 : 5 + len(value)])
+    assert pii.pseudonymise("+44 (0)20 7946 0958", p)[0].startswith("+44 (0)")
+    for k in range(300):  # what the way back cuts is what was cut
+        rest = f"{k:012d}" + "CODE"
+        text = f"BE{98 - pii._iban_check('BE', rest):02d} {rest[:4]} {rest[4:8]} {rest[8:12]} CODE"
+        assert pii.pseudonymise(pii.pseudonymise(text, p)[0], p, back=True)[0] == text
