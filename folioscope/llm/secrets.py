@@ -16,11 +16,38 @@ from pyspark.sql import functions as F
 
 from .common import free_name
 
-#: A run of 12 or more characters of keys with a digit among them, or a key file's first line.
+RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{12,}+"
+NAME = r"[A-Za-z0-9_.\-]"
+#: What a value can't hold unless it is quoted, and what it doesn't end with.
+STOP, LAST = r"\s\"'`,;<>\\\x01\x02", r".:!?)}\]"
+#: A key file, or its first line where the last is missing.
+KEY_BLOCK = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"(?:[^\-]*+(?:-{1,4}+[^\-]++){0,64}+-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
+)
+#: (before)(value) of "name = value", the name holding a secret word; quoted ones may hold
+#: blanks, but then no run that is a candidate by itself.
+ASSIGNED = (
+    rf"(?<!{NAME})((?={NAME}{{2,80}}+[\"']?[ \t]{{0,3}}[:=])"
+    rf"(?={NAME}*?(?i:token|secret|passw|passphrase|pwd|api.?key|access.?key|private.?key|credential|auth|bearer)){NAME}++"
+    r"[\"']?[ \t]{0,3}(?::=|=>|==|[:=])[ \t]{0,3}(?:(?i:bearer|basic) )?[\"'`]?)"
+    rf"((?<=\")(?![^\"\n]*?{RUN})[^\"\n\x01\x02]{{1,200}}(?=\")|(?<=')(?![^'\n]*?{RUN})[^'\n\x01\x02]{{1,200}}(?=')"
+    rf"|[^{STOP}]*[^{STOP}{LAST}])"
+)
+#: (before)(value) of "user:value@host".
+IN_ADDRESS = (
+    rf"(?<!{NAME})((?:[A-Za-z][A-Za-z0-9+.\-]{{0,15}}+://)?(?!(?i:mailto):)(?={NAME}{{0,64}}+:[^\s/@\"'<>]{{1,128}}+@[A-Za-z0-9]){NAME}*+:)"
+    r"([^\s/@\"'<>\x01\x02]++)(?=@)"
+)
+#: A run of 12 or more characters of keys with a digit among them, such runs joined by dots,
+#: and the other forms above.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9_+/\-])(?:(?=[A-Za-z_+/\-]*+[0-9])[A-Za-z0-9_+/\-]{12,}+={0,2}"
-    r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)"
+    rf"{ASSIGNED}|{IN_ADDRESS}|("
+    r"(?<![A-Za-z0-9_+/\-])(?:eyJ[A-Za-z0-9_\-]{5,}+(?:\.[A-Za-z0-9_\-]{2,}+){1,4}+|SG\.[A-Za-z0-9_\-]{16,}+\.[A-Za-z0-9_\-]{16,}+)"
+    rf"|{RUN}(?:\.[A-Za-z0-9_\-]{{12,}}+){{0,4}}+={{0,2}}"
+    rf"|{KEY_BLOCK})"
 )
+MARKED = "$1$3\u0001$2$4$5\u0002"
 OPEN, CLOSE = "\u0001", "\u0002"
 BEFORE, AFTER = 40, 20
 TREES, DEPTH = 25, 6
@@ -46,7 +73,7 @@ PREFIX = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live|sk-|rk_live|xox[abp]
 SHY_PATH = r"(?i)test|example|fixture|mock|spec|sample|docs|readme|lock|\.sum"
 FEATURES = (
     "length digits upper symbols transitions hex pairs dictionary distinct secret_word digest_word placeholder prefix"
-    " assigned numeric shy_path slashes"
+    " assigned numeric shy_path slashes quoted in_address letters expression"
 ).split()
 
 
@@ -68,6 +95,8 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         flag(F.concat_ws(" ", candidate, near).rlike(PLACEHOLDER)), flag(candidate.rlike(PREFIX)),
         flag(before.rlike("[:=][ ]?[\"']?$")), flag(candidate.rlike("^[0-9]+$")),
         flag(F.coalesce(path, F.lit("")).rlike(SHY_PATH)), share("/"),
+        flag(before.rlike("[\"'`]$")), flag(before.rlike("(?:^|[ \t\n/])[A-Za-z0-9_.-]*:$")), flag(candidate.rlike("^[A-Za-z]+$")),
+        flag(candidate.rlike(r"[(){}<>$*\[\]]|^[a-z]+\.[A-Za-z.]+$")),
     )
 
 
@@ -75,9 +104,9 @@ def labelled_findings(spark: SparkSession, n: int = 4800, seed: int = 42) -> Dat
     """(candidate, before, after, path, label): findings of known kinds, made by rule.
 
     Even kinds are secrets (1), odd ones look-alikes (0): digests, ids, card numbers,
-    identifiers, paths and placeholders.
+    identifiers, paths, plain words, expressions and placeholders.
     """
-    kinds = 24
+    kinds = 36
     base = spark.range(0, n, 1, 4).select(
         (F.col("id") % kinds).cast("int").alias("k"),
         *(F.sha2(F.concat_ws(":", F.lit(f"{seed}{s}"), F.col("id")).cast("binary"), 256).alias(s) for s in "abc"),
@@ -94,7 +123,24 @@ def labelled_findings(spark: SparkSession, n: int = 4800, seed: int = 42) -> Dat
     hex_of = lambda least, span: F.expr(f"substring(concat(a, b), 1, {least} + cast(conv(substring(c, 9, 4), 16, 10) as int) % {span})")
     hex40, plain_path = F.substring("a", 1, 40), pick("b", ["src3", "src/config.py", "settings.yml", "", "notes.txt", "deploy.sh"])
     shy = pick("b", ["tests/fixtures/data.json", "package-lock.json", "go.sum", "docs/example.md", "spec/mock.rb"])
+    quoted = pick("c", ['password = "', "secret: '", 'pwd="', "db_password = '", '"auth_token": "'])
+    bare = pick("c", ["token: ", "auth = ", "password: ", "secret=", "access_key: ", "credentials: "])
+    address = pick("c", ["postgres://admin:", "https://bob:", "login root:", "amqp://svc.mail:"])
+    sign, less = pick("c", ["&", "!", "#", "%", "^", "@1", "?", "~"]), lambda least, span: least + number("c", span)
+    body = F.concat(F.substring(mixed, 1, 64), F.lit("\n"), F.substring(mixed, 5, 60), F.lit("\n"))
     rows = {
+        24: (F.concat(word("a"), word("b"), word("c")), quoted, plain_path),
+        26: (F.concat(F.substr(mixed, F.lit(1), less(3, 5)), sign, F.substr(mixed, F.lit(20), less(1, 4))), F.when(number("b", 2) == 0, quoted).otherwise(bare), plain_path),
+        28: (F.concat(F.substr(mixed, F.lit(1), less(4, 10)), F.when(number("b", 2) == 0, F.lit("")).otherwise(pick("c", ["!", "#", "%", "$"]))), address, plain_path),
+        30: (F.concat(F.lit("eyJ"), F.substring(mixed, 1, 17), F.lit("."), F.substring(mixed, 18, 40), F.lit("."), F.substring("b", 1, 43)), F.when(number("b", 2) == 0, asks).otherwise(plain), plain_path),
+        32: (F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), body, F.lit("-----END PRIVATE KEY-----")), plain, plain_path),
+        34: (F.concat(word("a"), number("b", 1000).cast("string")), quoted, plain_path),
+        25: (word("a"), bare, plain_path),
+        27: (pick("a", ["os.environ", "None", "null", "string", "str", "true", "self.token", "getpass()", "${DB_PASSWORD}", "process.env.TOKEN", "required", "********", "args.password", "input()"]), bare, plain_path),
+        29: (pick("a", ["password", "pass", "PASSWORD", "${PASS}", "secret", "passwd", "$PASSWORD", "{password}", "****"]), address, plain_path),
+        31: (F.concat(word("a"), word("b"), number("a", 90).cast("string"), F.lit("."), word("c"), word("a"), word("b")), plain, plain_path),
+        33: (pick("a", ["changeme", "your_password", "<password>", "xxxxxx", "example", "dummy", "placeholder", "redacted", "your-secret", "********", "${TOKEN}"]), quoted, plain_path),
+        35: (F.concat_ws("_", word("a"), word("b")), F.when(number("b", 2) == 0, quoted).otherwise(bare), plain_path),
         0: (hex40, asks, plain_path), 2: (hex_of(18, 30), asks, plain_path), 4: (F.concat(F.lit("AKIA"), upper), plain, plain_path),
         6: (F.substring(mixed, 1, 40), asks, plain_path), 8: (F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)), plain, plain_path),
         10: (F.lit("-----BEGIN RSA PRIVATE KEY-----"), plain, plain_path), 12: (F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)), plain, plain_path),
@@ -120,7 +166,8 @@ def labelled_findings(spark: SparkSession, n: int = 4800, seed: int = 42) -> Dat
         return out
 
     return base.select(
-        by_kind(0).alias("candidate"), by_kind(1).alias("before"), F.lit('" and the').alias("after"),
+        by_kind(0).alias("candidate"), by_kind(1).alias("before"),
+        pick("b", ['" and the', '" and commit ', "' with version ", "' in the "]).alias("after"),
         by_kind(2).alias("path"), (1 - F.col("k") % 2).alias("label"),
     )
 
@@ -212,7 +259,7 @@ def judged(docs: DataFrame, forest: Forest, text_col: str, path_col: str | None,
     """``docs`` with two arrays: the text cut before each candidate, and the findings."""
     parts, found = free_name(docs, "parts"), free_name(docs, "found")
     clean = F.translate(F.coalesce(F.col(text_col), F.lit("")), OPEN + CLOSE, "  ")
-    marked = F.regexp_replace(clean, CANDIDATE, f"{OPEN}$0{CLOSE}")
+    marked = F.regexp_replace(clean, CANDIDATE, MARKED)
     cut = docs.withColumn(parts, F.split(marked, OPEN, -1))
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     own = lambda i: F.substring_index(F.get(F.col(parts), i), CLOSE, 1)
