@@ -151,12 +151,17 @@ def assign_links(items: DataFrame, links: DataFrame) -> DataFrame:
 def phrase_search(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(doc_id, item_id, hits): non-overlapping occurrences of each phrase in each text.
 
-    Phrases are joined by their first word, which the texts are cut to; only texts that have
-    it are searched.
+    A word inside a phrase has a blank on both sides, so a text that contains the phrase has it
+    between blanks too: phrases are joined by the longest of these. Phrases of one or two words
+    meet every text.
     """
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", "[ \n]+"))).alias("w"))
-    first = phrases.where("phrase <> ''").withColumn("w", F.split("phrase", " ")[0])
-    both = words.join(first, "w").where("contains(text, phrase)")
+    told = phrases.where("phrase <> ''").withColumn("ws", F.split("phrase", " ", -1))
+    inner = F.when(F.size("ws") > 2, F.slice("ws", 2, F.greatest(F.size("ws") - 2, F.lit(0))))
+    told = told.withColumn("w", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).drop("ws")
+    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("w"))
+    joined = words.join(told.where("w <> ''"), "w").where("contains(text, phrase)").select("doc_id", "text", "item_id", "phrase")
+    short = F.broadcast(told.where("w is null or w = ''").drop("w"))
+    both = joined.unionByName(docs.select("doc_id", "text").join(short, F.expr("contains(text, phrase)")).select("doc_id", "text", "item_id", "phrase"))
     hits = (F.length("text") - F.length(F.expr("replace(text, phrase, '')"))) / F.length("phrase")
     return both.select("doc_id", "item_id", hits.cast("long").alias("hits"))
 

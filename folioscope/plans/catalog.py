@@ -218,6 +218,15 @@ def phrase_search(spark, d):
     return L.phrase_search(S.read(spark, d, "documents"), phrases)
 
 
+@query(r"""WITH p AS (SELECT item_id, regexp_extract(text, '^[^\n]*') AS phrase FROM benchmark)
+SELECT doc_id, item_id, ((length(d.text) - length(replace(d.text, phrase, ''))) // length(phrase))::BIGINT AS hits FROM documents d JOIN p ON contains(d.text, phrase)
+WHERE phrase <> ''""")
+def phrase_search_whole(spark, d):
+    """The whole first line of each item, wherever it is in a text."""
+    phrases = S.read(spark, d, "benchmark").select("item_id", F.regexp_extract("text", "^[^\n]*", 0).alias("phrase"))
+    return L.phrase_search(S.read(spark, d, "documents"), phrases)
+
+
 @query(f"""{G1}, k AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS length FROM segments),
 r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY length DESC, idx) AS place FROM k
   WHERE length >= 5 AND greatest(x1, x2) >= 0 AND least(x1, x2) <= 400 AND greatest(y1, y2) >= 0 AND least(y1, y2) <= 400)

@@ -55,3 +55,11 @@ def test_letterhead_keeps_only_patterns(spark):
 
     keys = {r.key for r in L.header_footer_set(typeset.lines(docs)).where("band = 'header'").collect()}
     assert keys == set()
+
+
+def test_phrases_behind_other_signs(spark):
+    texts = ["say (The cat sat on it", "a\tThe cat sat on", "\u201cThe cat sat on", "xThe cat sat on, The cat sat on", "The cat  sat on", "The cat\nsat on", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    phrases = spark.createDataFrame([(1, "The cat sat on"), (2, "cat"), (3, "The cat"), (4, "t  s"), (5, "")], "item_id long, phrase string")
+    got = {(r.doc_id, r.item_id, r.hits) for r in L.phrase_search(docs, phrases).collect()}
+    assert got == {(d, i, t.count(p)) for d, t in enumerate(texts) if t for i, p in [(1, "The cat sat on"), (2, "cat"), (3, "The cat"), (4, "t  s")] if p in t}
