@@ -209,6 +209,14 @@ def assign_links(spark, d):
     return L.assign_links(items, links)
 
 
+@query(ORACLES["assign_links"].replace(" WHERE line_no % 4 = 0", ""))
+def assign_links_all(spark, d):
+    """``assign_links`` with a link from every line."""
+    items = _items(spark, d)
+    links = items.groupBy("doc_id", "page_number", F.col("line_no").alias("link_id")).agg(F.min("x").alias("lx"), F.min("y").alias("ly"))
+    return L.assign_links(items, links.withColumns({"lw": F.lit(120.0), "lh": F.lit(12.0)}))
+
+
 @query(r"""WITH p AS (SELECT item_id, array_to_string(string_split(regexp_extract(text, '^[^\n]*'), ' ')[1:4], ' ') AS phrase FROM benchmark)
 SELECT doc_id, item_id, ((length(d.text) - length(replace(d.text, phrase, ''))) // length(phrase))::BIGINT AS hits FROM documents d JOIN p ON contains(d.text, phrase)
 WHERE phrase <> '' AND list_contains(regexp_split_to_array(d.text, '[ \n]+'), string_split(phrase, ' ')[1])""")
@@ -248,6 +256,14 @@ def nearest_labels(spark, d):
     return L.nearest_segments(points, segments)
 
 
+@query(ORACLES["nearest_labels"].replace(" WHERE idx <= 60", ""))
+def nearest_labels_all(spark, d):
+    """``nearest_labels`` with a point from every segment."""
+    segments = S.segments(S.read(spark, d, "lineitem"))
+    points = segments.selectExpr("page", "idx AS point", "(x1 + x2) / 2 + 3 AS px", "(y1 + y2) / 2 + 2 AS py")
+    return L.nearest_segments(points, segments)
+
+
 @query("""SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95
 FROM events GROUP BY event_type""")
 def bench_summary(spark, d):

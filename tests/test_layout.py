@@ -63,3 +63,8 @@ def test_phrases_behind_other_signs(spark):
     phrases = spark.createDataFrame([(1, "The cat sat on"), (2, "cat"), (3, "The cat"), (4, "t  s"), (5, "")], "item_id long, phrase string")
     got = {(r.doc_id, r.item_id, r.hits) for r in L.phrase_search(docs, phrases).collect()}
     assert got == {(d, i, t.count(p)) for d, t in enumerate(texts) if t for i, p in [(1, "The cat sat on"), (2, "cat"), (3, "The cat"), (4, "t  s")] if p in t}
+
+
+def test_every_line_and_segment_is_asked(spark):
+    assert catalog.QUERIES["nearest_labels_all"](spark, DATA).agg({"point": "max"}).first()[0] > 60
+    assert catalog.QUERIES["assign_links_all"](spark, DATA).where("link_id % 4 <> 0").count() > 0
