@@ -29,7 +29,7 @@ from .common import Numbered, fold, free_name, slices, splitter
 cut = splitter(string.ascii_letters)
 TOKEN = re.compile(r"[^\x00-@\[-`{-\x7f]+")
 #: Largest number of labelled documents that the model is fitted on, half of each label at most.
-FIT_DOCS = 3000
+FIT_DOCS = 4000
 #: Length of the blocks in which a chain is evaluated.
 STEP = 256
 SPANS = T.ArrayType(

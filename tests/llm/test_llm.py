@@ -323,3 +323,12 @@ def test_secrets_of_other_forms(spark):
     assert clean == {k: t.format("[SECRET]") for k, (t, _) in enumerate(texts)} | {100 + k: t for k, t in enumerate(plain)}
     spans = {(r.doc_id, r.start, r.end) for r in secrets.scan(docs, forest).where("is_secret").collect()}
     assert spans == {(k, t.index("{}"), t.index("{}") + len(v)) for k, (t, v) in enumerate(texts)}
+
+
+def test_toxicity_learns_from_its_whole_bound(spark, monkeypatch):
+    docs = spark.range(4400).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(4400).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.extend(y) or toxicity.Chain({}, 0.0, np.zeros((2, 2)), np.zeros(2), np.zeros(4)))
+    toxicity.train(docs, labels)
+    assert Counter(seen) == {0: 2000, 1: 2000}
