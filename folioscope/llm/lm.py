@@ -286,7 +286,20 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn, path: str, most: i
     held = own.orderBy("h", "text").limit(most).select("text").toPandas()["text"]
     sub = Subwords.at_path(path)
     stream, lengths, *_ = sub.texts(pa.array(list(held), pa.string()))
-    seen = np.bincount(stream, minlength=sub.size)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sub = Subwords.at_path(path)
+        totals = np.zeros(sub.size, np.int64)
+        for batch in batches:
+            for a, b in cuts(batch.column(0), SLICE):
+                totals += np.bincount(sub.texts(batch.column(0).slice(a, b - a))[0], minlength=sub.size)
+        at = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], names=["key", "n"])
+
+    # Subwords with a row of their own are the most frequent of all rows where ``learn``.
+    tallied = own.select("text").mapInArrow(tally, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.zeros(sub.size, np.int64)
+    seen[tallied["key"].to_numpy(np.int64)] = tallied["n"].to_numpy(np.int64)
     seen[-1] = max(seen[-1], seen.max() + 1)  # the end has a row
     top = np.sort(np.argsort(-seen, kind="stable")[: KEPT - 1])
     top = top[seen[top] > 0]

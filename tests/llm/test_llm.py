@@ -332,3 +332,11 @@ def test_toxicity_learns_from_its_whole_bound(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.extend(y) or toxicity.Chain({}, 0.0, np.zeros((2, 2)), np.zeros(2), np.zeros(4)))
     toxicity.train(docs, labels)
     assert Counter(seen) == {0: 2000, 1: 2000}
+
+
+def test_lm_rows_come_from_all_training_texts(spark):
+    names = ["zebra", "kettle", "violin", "harbour", "pepper", "lantern", "glacier", "walnut"]
+    docs = spark.createDataFrame([(k, f"{w} {w} {w}") for k, w in enumerate(names)], "doc_id long, text string")
+    model, _ = lm.train(docs, "doc_id", "text", F.lit(True), lm.tokenizer_path(), most=1)
+    stream = lm.Subwords.at_path(lm.tokenizer_path()).texts(pa.array([f"{w} {w} {w}" for w in names]))[0]
+    assert (model.reduced[stream] < model.reduced.max()).all()
