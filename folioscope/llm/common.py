@@ -6,6 +6,7 @@ executors share; where the session names none (tests) a temporary one is set.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,7 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one only where none is set."""
+    """The shared folder of this session. Where none is set, a temporary one on a local master;
+    on a cluster that is an error, as executors don't share their disks."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -25,20 +27,38 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.match(r"local($|\[)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="folioscope-")
     context.setCheckpointDir(own)
     return own
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
-    Cuts the lineage: a lost executor costs only the tasks that read from it.
+    Cuts the lineage: a lost executor costs only the tasks that read from it. The folder goes
+    when the session ends, or by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a ``staged`` table that nothing reads any more."""
+    fs, at = _file_system(df.sparkSession, df._staged_at)
+    fs.delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

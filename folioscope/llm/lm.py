@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import LOWER, cuts, words
-from .common import fold, staged
+from .common import discard, fold, staged
 
-#: Subwords with a row of their own; all others share the last one.
-KEPT = 1024
+#: Subwords with a row of their own, and the rows that all others are dealt to by their id.
+KEPT, SHARED = 1024, 256
 CLASSES = 32
 DIM = 8
 #: Tokens of a window, and how many of them are only context (but in a text's first window).
 WINDOW, CONTEXT = 16, 4
-#: Training documents that the attention weights are fitted on, at most. Counts use all.
-FIT_DOCS = 1200
+#: Windows of one training step.
+BATCH = 1024
 SLICE, CHUNK = 1_500_000, 4
 REQUEST_WORDS = 2_000_000  # words of the corpus for each shard of the count table
 
@@ -114,7 +114,7 @@ class Subwords:
 @dataclass
 class Model:
     """reduced: row of each subword; cls: class of each row; pair[u, v]: log P(v | class of v, u);
-    rest: log P(subword | last row); query, key, value: of each row; near: score by distance;
+    rest: log P(subword | its row); query, key, value: of each row; near: score by distance;
     out: class scores of the last subword, mix: of the attended value."""
 
     reduced: np.ndarray
@@ -199,61 +199,98 @@ def log_probabilities(m: Model, stream: np.ndarray, lengths: np.ndarray, batch:
     return out + m.pair[before, rows] + m.rest[stream]
 
 
-def fit(stream: np.ndarray, lengths: np.ndarray, m: Model, epochs: int = 2, batch: int = 128, rate: float = 0.01, seed: int = 42) -> None:
-    """Adam on the class cross-entropy of all windows; gradients by hand."""
-    rng = np.random.default_rng(seed)
-    rows, before = inputs(m, stream, lengths)
-    start, owner = windows(lengths)
-    ends = np.cumsum(lengths)
-    names = ("query", "key", "value", "near", "out", "mix")
-    state = {n: (np.zeros_like(getattr(m, n)), np.zeros_like(getattr(m, n))) for n in names}
-    padded = np.concatenate([before, np.zeros(WINDOW, before.dtype)])
-    want = np.concatenate([m.cls[rows], np.zeros(WINDOW, m.cls.dtype)])
-    place, step = np.arange(WINDOW), 0
-    for _ in range(epochs):
-        order = rng.permutation(len(start))
+LEARNED = ("query", "key", "value", "near", "out", "mix")
+
+
+class Trainer:
+    """Adam on the class cross-entropy of windows; gradients by hand."""
+
+    def __init__(self, m: Model, rate: float = 0.01):
+        self.m, self.rate, self.steps = m, rate, 0
+        self.state = {n: (np.zeros_like(getattr(m, n)), np.zeros_like(getattr(m, n))) for n in LEARNED}
+        back = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+        self.back, self.open = np.maximum(back, 0), back >= 0
+        self.ones = np.ones(CLASSES, np.float32)
+
+    def learn(self, stream: np.ndarray, lengths: np.ndarray, rng: np.random.Generator, batch: int = BATCH) -> None:
+        """One pass over the texts in windows that don't overlap, in a drawn order: each token
+        is a target once."""
+        rows, before = inputs(self.m, stream, lengths)
+        count = -(-lengths // WINDOW)
+        owner = np.repeat(np.arange(len(lengths)), count)
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        ends = np.cumsum(lengths)
+        start, end = (ends - lengths)[owner] + k * WINDOW, ends[owner]
+        padded = np.concatenate([before, np.zeros(WINDOW, before.dtype)])
+        want = np.concatenate([self.m.cls[rows], np.zeros(WINDOW, self.m.cls.dtype)])
+        order, place = rng.permutation(len(start)), np.arange(WINDOW)
         for a in range(0, len(order), batch):
             own = order[a : a + batch]
             at = start[own, None] + place
-            seen, live = padded[at], (at < ends[owner[own], None]).astype(np.float32)
-            scores, (q, k, v, w, h) = forward(m, seen)
-            scores -= scores.max(axis=2, keepdims=True)
-            p = np.exp(scores)
-            p /= p.sum(axis=2, keepdims=True)
-            np.put_along_axis(p, want[at][..., None].astype(np.int64), np.take_along_axis(p, want[at][..., None].astype(np.int64), 2) - 1, 2)
-            d = p * (live / max(1.0, live.sum()))[..., None]
-            dh = d @ m.mix.T
-            dw = np.matmul(dh, v.transpose(0, 2, 1))
-            da = w * (dw - (dw * w).sum(axis=2, keepdims=True))
-            grads = {n: np.zeros_like(getattr(m, n)) for n in names}
-            np.add.at(grads["query"], seen.ravel(), np.matmul(da, k).reshape(-1, DIM))
-            np.add.at(grads["key"], seen.ravel(), np.matmul(da.transpose(0, 2, 1), q).reshape(-1, DIM))
-            np.add.at(grads["value"], seen.ravel(), np.matmul(w.transpose(0, 2, 1), dh).reshape(-1, DIM))
-            np.add.at(grads["out"], seen.ravel(), d.reshape(-1, CLASSES))
-            grads["mix"] = np.tensordot(h, d, axes=([0, 1], [0, 1])).astype(np.float32)
-            total = da.sum(axis=0)
-            grads["near"] = np.array([np.trace(total, -k) for k in range(WINDOW)], np.float32)
-            step += 1
-            for n in names:
-                m1, m2 = state[n]
-                m1 += 0.1 * (grads[n] - m1)
-                m2 += 0.02 * (grads[n] ** 2 - m2)
-                setattr(m, n, (getattr(m, n) - rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.98**step)) + 1e-8)).astype(np.float32))
+            self._step(padded[at], want[at], (at < end[own, None]).astype(np.float32))
+
+    def _step(self, seen: np.ndarray, want: np.ndarray, live: np.ndarray) -> None:
+        m = self.m
+        q, k, v = m.query[seen], m.key[seen], m.value[seen]
+        w = np.matmul(q, k.transpose(0, 2, 1))
+        np.clip(w, -40, 40, out=w)
+        np.exp(w, out=w)
+        w *= np.where(self.open, np.exp(m.near[self.back]), 0).astype(np.float32)
+        w /= (w @ np.ones(WINDOW, np.float32))[..., None]
+        h = np.matmul(w, v)
+        flat, n = seen.ravel(), seen.size
+        p = h.reshape(n, DIM) @ m.mix
+        p += m.out[flat]
+        np.clip(p, -40, 40, out=p)
+        np.exp(p, out=p)
+        weight = live.ravel() / max(1.0, float(live.sum()))
+        p *= (weight / (p @ self.ones))[:, None]
+        p[np.arange(n), want.ravel()] -= weight
+        dh = (p @ m.mix.T).reshape(h.shape)
+        dw = np.matmul(dh, v.transpose(0, 2, 1))
+        dw -= np.matmul((dw * w), np.ones(WINDOW, np.float32))[..., None]
+        dw *= w
+        parts = [np.matmul(dw, k), np.matmul(dw.transpose(0, 2, 1), q), np.matmul(w.transpose(0, 2, 1), dh)]
+        # Sums by row: tokens in the order of their rows, then runs of equal rows.
+        order = np.argsort(flat, kind="stable")
+        by_row = flat[order]
+        first = np.flatnonzero(np.append(True, by_row[1:] != by_row[:-1]))
+        sums = np.add.reduceat(np.concatenate([*(x.reshape(n, DIM) for x in parts), p], axis=1)[order], first, axis=0)
+        grads = {}
+        for name, a, b in (("query", 0, DIM), ("key", DIM, 2 * DIM), ("value", 2 * DIM, 3 * DIM), ("out", 3 * DIM, 3 * DIM + CLASSES)):
+            grads[name] = np.zeros_like(getattr(m, name))
+            grads[name][by_row[first]] = sums[:, a:b]
+        grads["mix"] = h.reshape(n, DIM).T @ p
+        grads["near"] = np.bincount(self.back[self.open], dw.sum(axis=0)[self.open], WINDOW).astype(np.float32)
+        self.steps += 1
+        for name, g in grads.items():
+            m1, m2 = self.state[name]
+            m1 += 0.1 * (g - m1)
+            m2 += 0.02 * (g * g - m2)
+            scaled = m1 / (np.sqrt(m2 / (1 - 0.98**self.steps)) + 1e-8)
+            setattr(m, name, (getattr(m, name) - self.rate / (1 - 0.9**self.steps) * scaled).astype(np.float32))
+
+
+def fit(stream: np.ndarray, lengths: np.ndarray, m: Model, epochs: int = 2, batch: int = 128, seed: int = 42) -> None:
+    """``epochs`` passes over texts held in memory."""
+    trainer, rng = Trainer(m), np.random.default_rng(seed)
+    for _ in range(epochs):
+        trainer.learn(stream, lengths, rng, batch)
 
 
 def classes(pair: np.ndarray, seed: int = 42, rounds: int = 12) -> np.ndarray:
-    """A class for each row, by k-means over what comes before it; the last row has its own."""
+    """A class for each row, by k-means over what comes before it."""
     rng = np.random.default_rng(seed)
-    share = np.sqrt(pair / np.maximum(1, pair.sum(axis=0, keepdims=True))).T[:-1]
+    share = np.sqrt(pair / np.maximum(1, pair.sum(axis=0, keepdims=True))).T
     flat = share @ rng.standard_normal((pair.shape[0], 24)).astype(np.float32)
-    weight = np.sqrt(pair.sum(axis=0)[:-1] + 1)
-    centres = flat[np.argsort(-weight, kind="stable")[: CLASSES - 1]]
+    weight = np.sqrt(pair.sum(axis=0) + 1)
+    centres = flat[np.argsort(-weight, kind="stable")[:CLASSES]]
     for _ in range(rounds):
         own = ((flat**2).sum(1)[:, None] - 2 * flat @ centres.T + (centres**2).sum(1)).argmin(axis=1)
-        for c in range(CLASSES - 1):
+        for c in range(len(centres)):
             if (own == c).any():
                 centres[c] = np.average(flat[own == c], axis=0, weights=weight[own == c])
-    return np.append(own, CLASSES - 1).astype(np.int32)
+    return own.astype(np.int32)
 
 
 def build(reduced: np.ndarray, pair: np.ndarray, single: np.ndarray, seed: int = 42) -> Model:
@@ -266,9 +303,8 @@ def build(reduced: np.ndarray, pair: np.ndarray, single: np.ndarray, seed: int =
     within = total / (member.T @ total)[cls]  # P(v | class)
     pull = 20.0  # pseudo-counts by which P(v | class, u) is drawn to P(v | class)
     table = np.log((pair + pull * within) / ((pair @ member)[:, cls] + pull)).astype(np.float32)
-    others = reduced == n - 1
-    rest = np.zeros(len(reduced), np.float32)
-    rest[others] = np.log((single[others] + 1) / (single[others].sum() + others.sum()))
+    # Of a row's subwords each has its share; a row of one subword gives 1.
+    rest = np.log((single + 1) / np.bincount(reduced, single + 1, n)[reduced]).astype(np.float32)
     init = lambda scale: (rng.standard_normal((n, DIM)) * scale).astype(np.float32)
     # A class without members gets a little, so that its score stays finite.
     out = np.log(pair @ member + 0.5 * CLASSES * (member.T @ total + 0.01) / total.sum()).astype(np.float32)
@@ -278,44 +314,29 @@ def build(reduced: np.ndarray, pair: np.ndarray, single: np.ndarray, seed: int =
     )
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, learn, path: str, most: int = FIT_DOCS) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, id_col: str, text_col: str, learn, path: str) -> tuple[Model, DataFrame]:
     """The model, and a staged table (kind, key, n): counts of all rows where ``learn``; kind 0:
-    words by hash, 1: pairs of rows, 2: subwords."""
+    words by hash, 2: subwords.
+
+    Every training text takes part in all of it: the counts, the choice of subwords with a row
+    of their own, and one pass of the attention weights. In that pass each task learns from its
+    own texts, beginning with the same weights; the model is the mean of theirs by tokens.
+    """
     spark = docs.sparkSession
-    own = docs.where(learn).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(id_col).alias("h"))
-    held = own.orderBy("h", "text").limit(most).select("text").toPandas()["text"]
-    sub = Subwords.at_path(path)
-    stream, lengths, *_ = sub.texts(pa.array(list(held), pa.string()))
+    own = docs.where(learn).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    width = np.uint16 if Subwords.at_path(path).size <= 1 << 16 else np.uint32
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Token streams of slices, and counts of words and subwords."""
         sub = Subwords.at_path(path)
-        totals = np.zeros(sub.size, np.int64)
-        for batch in batches:
-            for a, b in cuts(batch.column(0), SLICE):
-                totals += np.bincount(sub.texts(batch.column(0).slice(a, b - a))[0], minlength=sub.size)
-        at = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[at])], names=["key", "n"])
-
-    # Subwords with a row of their own are the most frequent of all rows where ``learn``.
-    tallied = own.select("text").mapInArrow(tally, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    seen = np.zeros(sub.size, np.int64)
-    seen[tallied["key"].to_numpy(np.int64)] = tallied["n"].to_numpy(np.int64)
-    seen[-1] = max(seen[-1], seen.max() + 1)  # the end has a row
-    top = np.sort(np.argsort(-seen, kind="stable")[: KEPT - 1])
-    top = top[seen[top] > 0]
-    reduced = np.full(sub.size, len(top), np.int32)
-    reduced[top] = np.arange(len(top))
-    n = len(top) + 1
-    shared = spark.sparkContext.broadcast(reduced)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub, rows = Subwords.at_path(path), shared.value
-        pairs, singles = np.zeros(n * n, np.int64), np.zeros(sub.size, np.int64)
+        singles = np.zeros(sub.size, np.int64)
         found: list[np.ndarray] = []
         counts: list[np.ndarray] = []
+        names = ["kind", "key", "n", "ids", "lengths"]
 
         def table(kind: int, keys: np.ndarray, n_: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n_)], names=["kind", "key", "n"])
+            none = pa.nulls(len(keys), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n_), none, none], names=names)
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             keys, which = np.unique(np.concatenate(found), return_inverse=True)
@@ -325,11 +346,9 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn, path: str, most: i
             column = batch.column(0)
             for a, b in cuts(column, SLICE):
                 stream, lengths, distinct, which, w = sub.texts(column.slice(a, b - a))
-                r = rows[stream].astype(np.int64)
-                u = np.concatenate([[rows[-1]], r[:-1]])
-                u[np.cumsum(lengths) - lengths] = rows[-1]
-                pairs += np.bincount(u * n + r, minlength=n * n)
                 singles += np.bincount(stream, minlength=sub.size)
+                packed = [pa.array([x.tobytes()], pa.binary()) for x in (stream.astype(width), lengths)]
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0]), pa.array([len(stream)]), *packed], names=names)
                 found.append(distinct)
                 counts.append(np.bincount(which, minlength=len(distinct)))
                 if sum(map(len, found)) > 1_500_000:
@@ -340,19 +359,67 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn, path: str, most: i
                         found, counts = [], []
         if found:
             yield table(0, *merged())
-        for kind, values in ((1, pairs), (2, singles)):
-            at = np.flatnonzero(values)
-            yield table(kind, at, values[at])
-
-    counted = staged(own.select("text").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    pair, single = np.zeros(n * n), np.zeros(sub.size)
-    bounded = counted.where("kind > 0").toPandas()  # KEPT * KEPT and the vocabulary at most
-    for kind, into in ((1, pair), (2, single)):
-        part = bounded[bounded["kind"] == kind]
-        into[part["key"].to_numpy()] = part["n"].to_numpy()
+        at = np.flatnonzero(singles)
+        yield table(2, at, singles[at])
+
+    pieces = staged(own.mapInArrow(cut, "kind int, key long, n long, ids binary, lengths binary"), "zstd")
+    streams = pieces.where("kind = 1").select("ids", "lengths")
+    counted = staged(pieces.where("kind <> 1").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    size = Subwords.at_path(path).size
+    single = np.zeros(size)
+    for r in counted.where("kind = 2").collect():  # the vocabulary at most
+        single[r.key] = r.n
+    # Subwords with a row of their own are the most frequent ones; the end is one of them.
+    rank = single.copy()
+    rank[-1] = rank.max() + 1
+    top = np.sort(np.argsort(-rank, kind="stable")[: KEPT - 1])
+    top = top[rank[top] > 0]
+    reduced = (len(top) + np.arange(size) % SHARED).astype(np.int32)
+    reduced[top] = np.arange(len(top))
+    n = len(top) + SHARED
+    shared = spark.sparkContext.broadcast(reduced)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for ids, lengths in zip(batch.column(0), batch.column(1), strict=True):
+                yield np.frombuffer(ids.as_buffer(), width).astype(np.int32), np.frombuffer(lengths.as_buffer(), np.int64)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, pairs = shared.value, np.zeros(n * n, np.int64)
+        for stream, lengths in unpack(batches):
+            r = rows[stream].astype(np.int64)
+            u = np.concatenate([[rows[-1]], r[:-1]])
+            u[np.cumsum(lengths) - lengths] = rows[-1]
+            pairs += np.bincount(u * n + r, minlength=n * n)
+        at = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(pairs[at])], names=["key", "n"])
+
+    pair = np.zeros(n * n)
+    followed = streams.mapInArrow(follow, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # n * n rows at most
+    pair[followed["key"].to_numpy(np.int64)] = followed["n"].to_numpy()
     model = build(reduced, pair.reshape(n, n), single)
-    if len(lengths):
-        fit(stream, lengths, model)
+    first = spark.sparkContext.broadcast(model)
+
+    def learn_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_model = replace(first.value)
+        trainer, rng, seen = Trainer(own_model), np.random.default_rng(42), 0
+        for stream, lengths in unpack(batches):
+            trainer.learn(stream, lengths, rng)
+            seen += len(stream)
+        if seen:
+            flat = np.concatenate([getattr(own_model, name).ravel() for name in LEARNED] + [np.ones(1)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat.astype(np.float64) * seen)], names=["at", "v"])
+
+    learned = streams.mapInArrow(learn_part, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+    if len(learned):
+        flat = learned.sort_values("at")["v"].to_numpy()
+        flat = (flat / flat[-1]).astype(np.float32)
+        at = 0
+        for name in LEARNED:
+            old = getattr(model, name)
+            setattr(model, name, flat[at : at + old.size].reshape(old.shape))
+            at += old.size
+    discard(pieces)
     return model, counted
 
 

@@ -337,6 +337,6 @@ def test_toxicity_learns_from_its_whole_bound(spark, monkeypatch):
 def test_lm_rows_come_from_all_training_texts(spark):
     names = ["zebra", "kettle", "violin", "harbour", "pepper", "lantern", "glacier", "walnut"]
     docs = spark.createDataFrame([(k, f"{w} {w} {w}") for k, w in enumerate(names)], "doc_id long, text string")
-    model, _ = lm.train(docs, "doc_id", "text", F.lit(True), lm.tokenizer_path(), most=1)
+    model, _ = lm.train(docs, "doc_id", "text", F.lit(True), lm.tokenizer_path())
     stream = lm.Subwords.at_path(lm.tokenizer_path()).texts(pa.array([f"{w} {w} {w}" for w in names]))[0]
     assert (model.reduced[stream] < model.reduced.max()).all()
