@@ -1,11 +1,10 @@
 """License scan: MinHash bands over overlapping windows retrieve templates, exact shingle
 containment verifies them.
 
-Templates of m shingles are looked for in windows of at most 4 m shingles that overlap by
-half, so a whole notice lies in one window with a Jaccard similarity of 1/4 or more. With
-BANDS bands of one row each it is missed with probability (3/4)^48, about 10^-6; with a
-fifth of its shingles changed, about 4 * 10^-5. Templates of up to four shingles are looked
-up shingle by shingle, which misses none.
+A template of m shingles is looked for in windows of twice the smallest power of two that is
+m or more, so of fewer than 4 m shingles; they overlap by half, so a whole notice lies in one
+window with a Jaccard similarity of 1/4 or more. With BANDS bands of one row each it is missed
+with probability (3/4)^48, about 10^-6; with a fifth of its shingles changed, about 4 * 10^-5.
 """
 
 from __future__ import annotations
@@ -22,15 +21,12 @@ from .bytewords import LOWER, cuts, mix, words
 
 BANDS = 48
 SHINGLE = 5
-#: Shingles in half of the smallest window; each scale has windows twice as long.
-HALF = 8
-SMALL = 4
 #: Lower-case letters; ASCII punctuation is a blank.
 FOLD = LOWER.copy()
 for _b in range(128):
     if not chr(_b).isalnum() and _b not in range(0x09, 0x0E):
         FOLD[_b] = 0x20
-# Notices of common public licenses.
+# Notices and well-known sentences of common public licenses.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -51,6 +47,16 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("Apache-2.0", "\"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
 ]
 
@@ -79,15 +85,11 @@ class Matcher:
         h, owner, _ = _shingles(pa.array([t for _, t in templates], pa.string()))
         self.sets = [np.unique(h[owner == k]) for k in range(len(templates))]
         self.size = [int((owner == k).sum()) for k in range(len(templates))]
+        #: Of each scale, by shingles in half of a window, its templates.
         self.scales: dict[int, list[int]] = {}
-        small = [k for k, n in enumerate(self.size) if 0 < n <= SMALL]
-        self.small = np.array(sorted((int(x), k) for k in small for x in self.sets[k]), dtype=[("h", np.uint64), ("k", np.int64)])
         for k, n in enumerate(self.size):
-            if n > SMALL:
-                half = HALF
-                while half < n:
-                    half *= 2
-                self.scales.setdefault(half, []).append(k)
+            if n:
+                self.scales.setdefault(1 << (n - 1).bit_length(), []).append(k)
         self.tables = {}
         for half, ks in self.scales.items():
             for f in range(bands):
@@ -104,25 +106,31 @@ class Matcher:
         """(template, first shingle, shingle after the last) of windows to look at."""
         found: set[tuple[int, int, int]] = set()
         n = len(h)
-        if not n:
+        if not n or not self.scales:
             return found
-        if len(self.small):
-            lo, hi = np.searchsorted(self.small["h"], h, "left"), np.searchsorted(self.small["h"], h, "right")
-            for i in np.flatnonzero(hi > lo).tolist():
-                found |= {(int(k), i, i + 1) for k in self.small["k"][lo[i] : hi[i]]}
-        for half in self.scales:
-            new = np.append(True, (owner[1:] != owner[:-1]) | (place[1:] % half == 0))
-            starts = np.flatnonzero(new)
-            ends = np.append(starts[1:], n)
+        # Blocks of 1, 2, 4, ... shingles of one text; a window is two neighbouring blocks.
+        blocks, half, starts = [], 1, np.arange(n)
+        while half <= max(self.scales):
+            among = np.append(True, (owner[starts][1:] != owner[starts][:-1]) | (place[starts][1:] % half == 0))
+            within = np.flatnonzero(among)
+            starts = starts[within]
             joined = np.append(owner[starts][1:] == owner[starts][:-1], False)
-            for f in range(len(self.odd)):
-                least = np.minimum.reduceat(self._rank(h, f), starts)
-                least = np.where(joined, np.minimum(least, np.append(least[1:], least[-1])), least)
+            blocks.append((half, within, starts, joined))
+            half *= 2
+        for f in range(len(self.odd)):
+            least = self._rank(h, f)
+            for half, within, starts, joined in blocks:
+                if half > 1:
+                    least = np.minimum.reduceat(least, within)
+                if half not in self.scales:
+                    continue
+                both = np.where(joined, np.minimum(least, np.append(least[1:], least[-1])), least)
                 values, ks, high = self.tables[half, f]
-                for b in np.flatnonzero(high[least >> np.uint64(48)]).tolist():
-                    lo, hi = np.searchsorted(values, least[b], "left"), np.searchsorted(values, least[b], "right")
+                for b in np.flatnonzero(high[both >> np.uint64(48)]).tolist():
+                    lo, hi = np.searchsorted(values, both[b], "left"), np.searchsorted(values, both[b], "right")
                     for k in ks[lo:hi].tolist():
-                        found.add((k, int(starts[b]), int(ends[b + 1] if joined[b] else ends[b])))
+                        last = b + 1 + int(joined[b])
+                        found.add((k, int(starts[b]), int(starts[last]) if last < len(starts) else n))
         return found
 
     def matches(self, column: pa.Array, least: float) -> list[tuple[int, str, float, int]]:
