@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 from .common import shared_dir, staged
 
 DICTIONARY_FRAME = 0x184D2A5D
-#: Records that the dictionary is trained on, at most, and the bytes taken of each.
-FIT_RECORDS, FIT_BYTES = 400, 16_384
+#: Bytes of records that the dictionary is trained on, about, and of one record at most.
+FIT_BYTES, FIT_RECORD = 4_000_000, 65_536
 DICTIONARY_BYTES = 32_768
+#: Repeated payloads that are broadcast; above, a bitmap of MAP_WORDS 64-bit words rules most
+#: other pages out.
+FEW, MAP_WORDS = 10_000, 1 << 20
 #: A new archive is begun once one has this many bytes.
 ARCHIVE_BYTES = 256 << 20
 LEVEL = 3
@@ -55,12 +58,12 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
     return head.encode("utf-8", "surrogatepass") + http + payload + b"\r\n\r\n"
 
 
-def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary of at most ``size`` bytes; of too few samples, their bytes as they are."""
+def train_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A dictionary of at most ``size`` bytes; of too few records, their bytes as they are."""
     try:
-        return zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes()
+        return zstandard.train_dictionary(size, records, k=512, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        return b"".join(records)[-size:]
 
 
 class Writer:
@@ -114,6 +117,88 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block.partition(b"\r\n\r\n")[2]
 
 
+def planned(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
+    """(page_id, url, html, refers_to): the page that each repeated payload refers to.
+
+    The largest id of each payload is found by its digest, combined before the shuffle. Few
+    repeated payloads are broadcast. Of many, a bitmap of their hashes is (MAP_WORDS rows at
+    most): pages that it rules out stay where they are, and only the others are shuffled.
+    """
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
+    rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    groups = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    repeated = staged(groups.where("n > 1 AND first IS NOT NULL").select(F.col("sha").alias("rsha"), "first"))
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    plan = lambda of, known: of.join(known, F.col("sha") == F.col("rsha"), "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    if repeated.count() <= FEW:
+        return plan(rows, F.broadcast(repeated))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * MAP_WORDS))
+    bits = repeated.select(place("rsha").alias("at")).selectExpr("at div 64 AS word", "shiftleft(1L, cast(at % 64 as int)) AS bit")
+    words = F.broadcast(staged(bits.groupBy("word").agg(F.bit_or("bit").alias("held"))))
+    marked = rows.withColumn("at", place("sha")).join(words, F.expr("at div 64 = word"), "left")
+    maybe = F.expr("coalesce(shiftrightunsigned(held, cast(at % 64 as int)) & 1L, 0L) = 1L")
+    alone = marked.where(~maybe).select("page_id", "url", "html", F.lit(None).cast(groups.schema["first"].dataType).alias("refers_to"))
+    return alone.unionByName(plan(marked.where(maybe).select("page_id", "url", "html", "sha"), repeated))
+
+
+def samples(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> list[bytes]:
+    """Distinct records for the dictionary, about FIT_BYTES in all, from all pages alike: by a
+    hash of the payload under a bound that follows from the bytes there are. Of a record longer
+    than FIT_RECORD, 16 evenly spaced pieces."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    size = F.least(F.octet_length(html), F.lit(FIT_RECORD))
+    total = pages.agg(F.sum(size)).first()[0] or 0
+    part = max(1, total // FIT_BYTES)
+    piece = FIT_RECORD // 16
+    spread = F.concat(*(F.substring(html, 1, piece) if k == 0 else F.substr(html, (F.length(html) * k / 16).cast("int"), F.lit(piece)) for k in range(16)))
+    rows = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.when(F.length(html) > FIT_RECORD, spread).otherwise(html).alias("h"), F.xxhash64(html).alias("k"))
+    # A payload counts once, however many pages repeat it; equal ones share the bound.
+    held = rows.where(F.pmod("k", F.lit(part)) == 0).groupBy("k").agg(F.min(F.struct("i", "u", "h")).alias("r")).select("r.*")
+    found = [record(r.i, r.u, p := r.h.encode("utf-8", "surrogatepass"), base32_sha1(p), None) for r in held.collect()]
+    return sorted(found)
+
+
+def write(self, raw: bytes) -> int:
+        at, packed = self.offset, self.pack(raw)
+        self.stream.write(packed)
+        self.offset += len(packed)
+        return at
+
+
+def read(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, payload) of every record of an archive, read in pieces."""
+    magic, size = struct.unpack("<II", stream.read(8))
+    if magic != DICTIONARY_FRAME:
+        raise ValueError("the archive doesn't begin with a dictionary")
+    dictionary = zstandard.ZstdDecompressor().decompress(stream.read(size))
+    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+    rest, eof = b"", False
+    while True:
+        frame, parts = unpack.decompressobj(), []
+        while not frame.eof:
+            if not rest:
+                rest = stream.read(1 << 20)
+                if not rest:
+                    if parts:
+                        raise ValueError("the archive ends inside a record")
+                    eof = True
+                    break
+            parts.append(frame.decompress(rest))
+            rest = frame.unused_data if frame.eof else b""
+        if eof:
+            return
+        yield parse(b"".join(parts))
+
+
+def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
+    head, _, block = raw.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
+    block = block[: int(fields["Content-Length"])]
+    return fields, block.partition(b"\r\n\r\n")[2]
+
+
 def planned(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
     """(page_id, url, html, refers_to): the page that each repeated payload refers to.
 
@@ -146,10 +231,8 @@ def write(
     """
     spark = pages.sparkSession
     folder = (folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}").rstrip("/")
-    picked = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.substring(F.coalesce(html_col, F.lit("")), 1, FIT_BYTES).alias("h"))
-    rows = picked.orderBy(F.xxhash64("i"), "h").limit(FIT_RECORDS).collect()
-    samples = [record(r.i, r.u, p := r.h.encode("utf-8", "surrogatepass"), base32_sha1(p), None) for r in rows]
-    dictionary = spark.sparkContext.broadcast(train_dictionary(samples) if samples else b"")
+    fit_on = samples(pages, id_col, url_col, html_col)
+    dictionary = spark.sparkContext.broadcast(train_dictionary(fit_on) if fit_on else b"")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
