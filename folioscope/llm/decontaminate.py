@@ -2,16 +2,19 @@
 
 The items are the documents of the index and every training passage is a query. Impacts
 are divided by the item's own threshold, so an item is retrieved where its impacts sum
-to 1. Upper bounds for blocks of items prune first; what remains is scored item by item
-and then verified: the item's question and its answer must each be found again.
+to 1. A bound by pieces of a text leaves few passages; each of these is searched by
+block-max WAND, and what it retrieves is verified: the item's question and its answer must
+each be found again.
 """
 
 from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
@@ -22,8 +25,11 @@ from pyspark.sql import types as T
 
 from .common import slices, splitter
 
-#: Items of one index; more items are dealt into several indexes, each run over all texts.
+#: Items of one index; more items are dealt into several indexes, each run over all texts. All
+#: take their statistics from all items, so that results don't depend on the dealing.
 INDEX_ITEMS = 20_000
+#: A score of 1, less what sums of single-precision numbers may lack.
+LEAST = 1 - 1e-5
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -59,23 +65,45 @@ def shingles(words: list[bytes], size: int = 5) -> set:
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
+@dataclass
+class Statistics:
+    """Of all items with a word: how many, their words, those of the longest, and items with
+    each word."""
+
+    n: int
+    words: int
+    longest: int
+    df: dict[bytes, int]
+
+    @classmethod
+    def of(cls, texts) -> Statistics:
+        df: Counter = Counter()
+        n = total = longest = 0
+        for t in texts:
+            if w := tokens(t):
+                n, total, longest = n + 1, total + len(w), max(longest, len(w))
+                df.update(set(w))
+        return cls(n, total, longest, df)
+
+
 class Index:
-    """Postings with impacts relative to each item's threshold, and their block maxima."""
+    """Postings with impacts relative to each item's threshold, and the maxima of their blocks,
+    kept for those blocks only in which a term has postings."""
 
-    def __init__(self, items: list[tuple], share: float = 0.6, k1: float = 1.2, b: float = 0.4, block: int = 16):
+    def __init__(self, items: list[tuple], share: float = 0.6, k1: float = 1.2, b: float = 0.4, block: int = 16, facts: Statistics | None = None):
+        facts = facts or Statistics.of(t for _, t in items)
         items = [(i, t, w) for i, t in items if (w := tokens(t))]
         self.ids = [i for i, _, _ in items]
         self.parts = [question_and_answer(t) for _, t, _ in items]
         self.shingles = [tuple((shingles(p), len(p)) for p in parts) for parts in self.parts]
-        self.longest = max((len(w) for _, _, w in items), default=0)
         counts = [Counter(w) for _, _, w in items]
-        df = Counter(chain.from_iterable(counts))
-        self.term = {t: k for k, t in enumerate(sorted(df))}
-        n, mean = len(items), sum(map(len, (w for _, _, w in items))) / max(1, len(items))
+        df = facts.df
+        self.term = {t: k for k, t in enumerate(sorted(set(chain.from_iterable(counts))))}
+        n, every, mean = len(items), facts.n, facts.words / max(1, facts.n)
         rows: list[list] = [[] for _ in self.term]
         for k, (c, (_, _, words)) in enumerate(zip(counts, items, strict=True)):
             norm = k1 * (1 - b + b * len(words) / mean)
-            impact = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (k1 + 1) / (f + norm) for t, f in c.items()}
+            impact = {t: np.log(1 + (every - df[t] + 0.5) / (df[t] + 0.5)) * f * (k1 + 1) / (f + norm) for t, f in c.items()}
             least = share * sum(impact.values())
             for t, v in impact.items():
                 rows[self.term[t]].append((k, v / least))
@@ -83,11 +111,14 @@ class Index:
         self.item = np.array([k for r in rows for k, _ in r], np.int64)
         self.impact = np.array([v for r in rows for _, v in r], np.float32)
         self.block = block
-        self.blocks = -(-n // block)
-        self.block_max = np.zeros((len(rows), self.blocks), np.float32)
+        # A term's postings ascend by item, so those of one block follow one another.
         owner = np.repeat(np.arange(len(rows)), np.diff(self.start))
-        np.maximum.at(self.block_max, (owner, self.item // block), self.impact)
-        self.most = self.block_max.max(axis=1) if self.blocks else np.zeros(len(rows), np.float32)
+        key = owner * (n // block + 1) + self.item // block
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.block_of = self.item[first] // block
+        self.block_max = np.maximum.reduceat(self.impact, first) if len(key) else np.zeros(0, np.float32)
+        self.block_start = np.searchsorted(owner[first], np.arange(len(rows) + 1))
+        self.most = np.maximum.reduceat(self.impact, self.start[:-1]) if len(key) else np.zeros(0, np.float32)
         # Frequent terms, as long as those that any one item has sum to ``frequent`` at most:
         # a passage must get the rest of 1 from the other terms, whatever frequent ones it has.
         self.frequent, held, self.rare = 0.6, np.zeros(n), np.ones(len(rows), bool)
@@ -97,7 +128,7 @@ class Index:
                 held[self.item[a:b]] += self.impact[a:b]
                 self.rare[t] = False
         self.held = held.astype(np.float32)
-        self.window = max(128, 2 * self.longest)
+        self.window = max(128, 2 * facts.longest)
 
     def retrieve(self, terms: np.ndarray, passage: np.ndarray, n: int) -> list[tuple[int, int, float]]:
         """(passage, item, score) of every score of 1 or more. ``terms``: distinct index terms
@@ -105,40 +136,70 @@ class Index:
         if not len(terms):
             return []
         bound = np.bincount(passage, self.most[terms], n)
-        ok = bound[passage] >= 1 - 1e-5
+        ok = bound[passage] >= LEAST
         terms, passage = terms[ok], passage[ok]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(passage)) + 1, [len(passage)]))
         out = []
-        step = 200_000
-        cuts = np.flatnonzero(np.diff(passage)) + 1
-        cuts = np.concatenate(([0], cuts, [len(passage)]))
-        first = 0
-        while first < len(cuts) - 1 and len(passage):
-            last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + step, "right")) - 1)
-            own = cuts[first : last + 1] - cuts[first]
-            t, p = terms[cuts[first] : cuts[last]], passage[cuts[first] : cuts[last]]
-            bounds = np.add.reduceat(self.block_max[t], own[:-1], axis=0)
-            for r, blk in zip(*np.nonzero(bounds >= 1 - 1e-5), strict=True):
-                out += self._score(t[own[r] : own[r + 1]], int(p[own[r]]), int(blk))
-            first = last
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            if b > a:
+                out += [(int(passage[a]), i, s) for i, s in self._wand(terms[a:b].tolist())]
         return out
 
-    def _score(self, terms: np.ndarray, passage: int, blk: int) -> list[tuple[int, int, float]]:
-        """Items of one block, terms by falling bound; stops once no item can reach 1."""
-        bound = self.block_max[terms, blk]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])
-        scores: dict[int, float] = {}
-        for k, at in enumerate(order.tolist()):
-            a, b = self.start[terms[at]], self.start[terms[at] + 1]
-            lo, hi = np.searchsorted(self.item[a:b], (blk * self.block, (blk + 1) * self.block))
-            fresh = rest[k] >= 1 - 1e-5  # an item first met here could still reach 1
-            for i, v in zip(self.item[a + lo : a + hi].tolist(), self.impact[a + lo : a + hi].tolist(), strict=True):
-                if i in scores or fresh:
-                    scores[i] = scores.get(i, 0.0) + v
-            if not fresh and (not scores or max(scores.values()) + rest[k + 1] < 1 - 1e-5):
-                return []
-        return [(passage, i, s) for i, s in scores.items() if s >= 1 - 1e-5]
+    def _wand(self, terms: list[int]) -> Iterator[tuple[int, float]]:
+        """(item, score) of every score of 1 or more, by block-max WAND.
+
+        Cursors stand at the next item of each term. The pivot is the first item that the
+        terms' maxima could bring to 1; if the maxima of its block can't, the cursors go past the
+        block, else they go to the pivot, which is scored once all that can add to it are there.
+        """
+        lists = [self.item[a:b].tolist() for a, b in ((self.start[t], self.start[t + 1]) for t in terms)]
+        held = [(self.block_of[a:b].tolist(), self.block_max[a:b].tolist()) for a, b in ((self.block_start[t], self.block_start[t + 1]) for t in terms)]
+        most, impact, begin = self.most[terms].tolist(), self.impact, self.start[terms].tolist()
+        at = [0] * len(terms)
+        cursors = sorted((own[0], k) for k, own in enumerate(lists))
+
+        def go(count: int, least: int) -> None:
+            """Moves the first ``count`` cursors to their next item from ``least`` on."""
+            moved = []
+            for i, k in cursors[:count]:
+                if i < least:
+                    at[k] = bisect_left(lists[k], least, at[k])
+                    if at[k] == len(lists[k]):
+                        continue
+                    i = lists[k][at[k]]
+                moved.append((i, k))
+            cursors[:count] = moved
+            cursors.sort()
+
+        while True:
+            bound, pivot = 0.0, 0
+            for pivot, (_, k) in enumerate(cursors):  # noqa: B007
+                bound += most[k]
+                if bound >= LEAST:
+                    break
+            if bound < LEAST:
+                return
+            item = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+                pivot += 1
+            block, bound = item // self.block, 0.0
+            for _, k in cursors[: pivot + 1]:
+                blocks, maxima = held[k]
+                p = bisect_left(blocks, block)
+                if p < len(blocks) and blocks[p] == block:
+                    bound += maxima[p]
+            if bound < LEAST:
+                past = (block + 1) * self.block
+                if pivot + 1 < len(cursors):
+                    past = min(past, cursors[pivot + 1][0])
+                go(pivot + 1, past)
+            elif cursors[0][0] < item:
+                go(pivot + 1, item)
+            else:
+                score = sum(float(impact[begin[k] + at[k]]) for _, k in cursors[: pivot + 1])
+                if score >= LEAST:
+                    yield item, score
+                go(pivot + 1, item + 1)
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, float]]:
         """(text, first word of the passage, item, score) of all passages of all texts.
@@ -230,11 +291,14 @@ class Index:
 
 
 def _indexes(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[Index]:
-    """Indexes of at most about ``most`` items each; every item is in one."""
+    """Indexes of at most about ``most`` items each; every item is in one. The vocabulary of all
+    items is held on the driver, their texts part by part."""
     rows = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
     parts = max(1, -(-rows.count() // most))
+    dealt = lambda part: rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).orderBy("i", "t")
+    facts = Statistics.of(r.t for part in range(parts) for r in dealt(part).toLocalIterator()) if parts > 1 else None
     for part in range(parts):
-        yield Index([(r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).orderBy("i", "t").collect()])
+        yield Index([(r.i, r.t) for r in dealt(part).collect()], facts=facts)
 
 
 def matches(
