@@ -1,9 +1,10 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into ``segments``; if two fingerprints differ in at most ``radius``
-bits, some segment differs in at most ``radius // segments`` bits. Every fingerprint is
-filed under each of its segments, and looks up the small Hamming ball around each
-segment; only found pairs are compared in full.
+A fingerprint is cut into segments. If two fingerprints differ in at most ``radius`` bits,
+some choice of ``together`` of their segments differs in few bits (see ``_near``). Every
+fingerprint is filed under each such choice and looks up the small Hamming ball around it;
+only found pairs are compared in full. Fingerprints that meet under a crowded value are
+indexed again, all of them, under finer choices.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import free_name, slices, staged
 from .components import components
 
-#: A segment value filed more often than this is compared in blocks instead of joined.
+#: A value filed more often than this is crowded: those who file or ask for it go to the next of
+#: the LEVELS, (segments, how many together); after the last they are compared in blocks.
 CROWDED = 32
+LEVELS = ((5, 2), (6, 3))
 #: Fingerprints in one block of a crowded segment value.
 BLOCK = 2048
 
@@ -67,62 +70,80 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4) -> D
     return docs.select(*kept, text_col).mapInArrow(run, schema)
 
 
+def _signed(bits: int) -> int:
+    """64 bits as a signed number."""
+    return bits - (1 << 64) if bits >= 1 << 63 else bits
+
+
 def _cuts(segments: int) -> list[tuple[int, int]]:
     """(shift, width) of each segment of 64 bits."""
     edges = [64 * k // segments for k in range(segments + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _segment(k: int, shift: int, width: int):
-    return F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1)), k
-
+def _near(radius: int, segments: int, together: int) -> int:
+    """The most bits by which the best choice of ``together`` segments can differ: the largest
+    sum of the smallest ``together`` of ``segments`` counts that sum to ``radius``."""
+    best = 0
+    for low in range(radius + 1):
+        # The smallest ones sum to at most ``low`` where each other has at least their largest.
+        largest = -(-low // together)
+        if low + (segments - together) * largest <= radius:
+            best = low
+    return best
 
-def _flips(width: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in chosen) for r in range(radius + 1) for chosen in combinations(range(width), r)]
 
-
-def near_edges(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
+def near_edges(fps: DataFrame, radius: int = 4, segments: int = 3, together: int = 1, finer=LEVELS) -> DataFrame:
     """(u, v): links among distinct fingerprints ``fps.fp`` at ``radius`` bits or fewer.
 
-    All links outside crowded segment values; inside those, enough links to connect
+    All links of pairs that meet under some value that isn't crowded. Who meets under crowded
+    ones only is linked at a finer level; at the last, enough links are given to connect
     whatever the links connect (a spanning forest for each pair of blocks).
     """
-    near = radius // segments
+    near = _near(radius, segments, together)
+    cuts = _cuts(segments)
     filed, probes = [], []
-    for k, (shift, width) in enumerate(_cuts(segments)):
-        value, _ = _segment(k, shift, width)
-        filed.append(F.struct(F.lit(k).alias("s"), value.alias("value")))
-        for flip in _flips(width, near):
-            # Of two segment values that differ, only the one that lacks the highest
-            # differing bit looks the other up, so each pair is met once a segment.
-            top = 1 << (flip.bit_length() - 1) if flip else 0
-            entry = F.struct(F.lit(k).alias("s"), value.bitwiseXOR(F.lit(flip)).alias("value"))
-            probes.append(F.when(value.bitwiseAND(F.lit(top)) == 0, entry) if top else entry)
-
-    def spread(entries: list) -> DataFrame:
-        each = fps.select("fp", F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        return each.select("fp", (F.col("e.value") * segments + F.col("e.s")).alias("key"))
+    for s, chosen in enumerate(combinations(range(segments), together)):
+        mask = sum(((1 << cuts[k][1]) - 1) << cuts[k][0] for k in chosen)
+        bits = [b for k in chosen for b in range(cuts[k][0], sum(cuts[k]))]
+        filed.append((s, mask, 0, 0))
+        # Of two values that differ, only the one that lacks the highest differing bit looks
+        # the other up, so each pair is met once a choice.
+        probes += [
+            (s, mask, sum(1 << b for b in flips), 1 << max(flips) if flips else 0)
+            for r in range(near + 1)
+            for flips in combinations(bits, r)
+        ]
+
+    def spread(entries: list[tuple]) -> DataFrame:
+        held = (f"cast(split('{','.join(str(_signed(x)) for x in column)}', ',') as array<bigint>)" for column in zip(*entries, strict=True))
+        each = fps.selectExpr("fp", f"inline(arrays_zip({', '.join(held)})) AS (s, mask, flip, top)")
+        return each.where("fp & top = 0").selectExpr("fp", "s", "(fp & mask) ^ flip AS value")
 
     index, asked = spread(filed), spread(probes)
-    crowded = staged(index.groupBy("key").count().where(F.col("count") > CROWDED))
+    crowded = staged(index.groupBy("s", "value").count().where(F.col("count") > CROWDED))
     n_crowded = crowded.count()
     if n_crowded:
         small = F.broadcast(crowded) if n_crowded <= 10_000 else crowded
-        roomy = index.join(small, "key", "left_anti")
+        roomy = index.join(small, ["s", "value"], "left_anti")
     else:
         roomy = index
     u, v = F.col("a.fp"), F.col("b.fp")
     distance = F.bit_count(u.bitwiseXOR(v))
     pairs = (
         asked.alias("a")
-        .join(roomy.alias("b"), F.expr("a.key = b.key"))
+        .join(roomy.alias("b"), F.expr("a.value = b.value AND a.s = b.s"))
         .where((u != v) & (distance <= radius))
         .select(u.alias("u"), v.alias("v"))
     )
     if not n_crowded:
         return pairs
-    members = index.join(small, "key").select("key", "fp", "count")
-    members = members.union(asked.join(small, "key").select("key", "fp", "count")).distinct()
+    if finer:
+        # Who files a crowded value asks for it too, so the askers are all that meet there.
+        again = staged(asked.join(small, ["s", "value"], "left_semi").select("fp").distinct())
+        return pairs.union(near_edges(again, radius, *finer[0], finer[1:]))
+    # Equal values have equal hashes, and what else shares a hash is compared like the rest.
+    members = asked.join(small, ["s", "value"]).select(F.xxhash64("s", "value").alias("key"), "fp", "count").distinct()
     return pairs.union(_in_blocks(members, radius))
 
 
@@ -188,8 +209,7 @@ def near_duplicates(
     of ``radius`` bits or fewer. Null and empty texts have fingerprint 0 and link like any
     other. Null ids count as larger than any id: a component of null ids only has a null
     component_id. Repeated rows each get a row. An empty table gives an empty result.
-    Exact for every radius and number of segments. Three segments suit up to some 10^9
-    distinct fingerprints; two (wider segments, larger balls) suit more.
+    Exact for every radius and number of segments.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = staged(fingerprints(rows, "text", shingle))
