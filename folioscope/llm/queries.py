@@ -56,10 +56,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(toxicity.learnable(docs), toxicity.learnable(labels))
-    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    scored = toxicity.score(docs.select("doc_id", "text"), model, spans=True)
     return scored.select(
-        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
-    )
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "toxic_spans",
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -19,6 +19,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,8 @@ cut = splitter(string.ascii_letters)
 TOKEN = re.compile(r"[^\x00-@\[-`{-\x7f]+")
 #: Largest number of labelled documents that the model is fitted on, half of each label at most.
 FIT_DOCS = 4000
+#: Texts of one labelled id that are learned from, at most.
+TEXTS = 4
 #: Length of the blocks in which a chain is evaluated.
 STEP = 256
 SPANS = T.ArrayType(
@@ -333,14 +336,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     """Fit on the documents of at most ``most`` labelled ids, ``most // 2`` of each label, the
     first by a hash (a bounded sample). Rows without an id, or a label of 0 or 1, don't count;
     ids labelled twice count once for each label. The ids are broadcast: ``most`` at the largest.
+    Of an id that repeats with different texts ``TEXTS`` count, the first by a hash, so that the
+    driver gets no more than ``most * TEXTS`` texts.
     """
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     marked = marked.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y")).distinct()
     real = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     first = lambda y: marked.where(F.col("y") == y).orderBy(F.xxhash64("lid"), "lid").limit(most // 2)
     picked = F.broadcast(first(0).union(first(1)))
-    joined = docs.join(picked, F.col(id_col) == F.col("lid")).select("lid", "y", F.col(text_col).alias("text"))
-    rows = sorted(joined.collect(), key=lambda r: (r["y"], r["lid"], r["text"] or ""))
+    own = docs.join(picked, F.col(id_col) == F.col("lid")).select("lid", "y", F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    place = F.row_number().over(W.partitionBy("lid", "y").orderBy("h"))
+    few = own.withColumn("place", place).where(F.col("place") <= TEXTS)
+    rows = sorted(few.collect(), key=lambda r: (r["y"], r["lid"], r["text"] or ""))
     ys = [r["y"] for r in rows]
     model = fit((r["text"] for r in rows), ys)
     if 0 in ys and 1 in ys:
@@ -352,13 +359,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 def score(
     docs: DataFrame, model: Chain, text_col: str = "text", spans: bool = False, keep_text: bool = False
 ) -> DataFrame:
-    """``docs`` (its text only with ``spans`` or ``keep_text``) with ``score`` (double, 0 to 1) and,
+    """``docs`` (its text only with ``keep_text``) with ``score`` (double, 0 to 1) and,
     with ``spans``, ``toxic_spans``: array of (start, end, probability) in characters.
 
     Null and empty texts score as a text without tokens. Rows, repeats included, and other
     columns are kept; where their names clash with the new ones, those get a ``_`` appended.
     """
-    passed = [c for c in docs.columns if spans or keep_text or c != text_col]
+    passed = [c for c in docs.columns if keep_text or c != text_col]
     out = free_name(docs.select(*passed) if passed else docs, "score")
     extra = free_name(docs, "toxic_spans")
     schema = T.StructType([docs.schema[c] for c in passed]).add(out, "double", False)
