@@ -134,16 +134,20 @@ def _date(y: int, m: int, d: int) -> int | None:
 def _day(form: str):
     def change(text: str, p: Permutation, back: bool) -> str | None:
         if form == "%Y-%m-%d":
-            n, shape, ok = _date(int(text[:4]), int(text[5:7]), int(text[8:])), form, lambda v: True
+            n, shape = _date(int(text[:4]), int(text[5:7]), int(text[8:])), form
         else:
             a, b, y = int(text[:2]), int(text[3:5]), int(text[6:])
-            n, shape, ok = _date(y, b, a), form, lambda v: True
+            n, shape = _date(y, b, a), form
             if n is None and form == "%d/%m/%Y":
-                # Month first only where day first is no date: those keep to days over 12.
-                n, shape, ok = _date(y, a, b), "%m/%d/%Y", lambda v: (_FIRST + timedelta(v)).day > 12
+                # Month first only where day first is no date, that is for days over 12.
+                n, shape = _date(y, a, b), "%m/%d/%Y"
         if n is None:
             return None
-        return (_FIRST + timedelta(p(n, _DAYS, "date" if shape != "%m/%d/%Y" else "date>12", ok, back))).strftime(shape)
+        # One permutation for all forms, so that a day keeps its pseudonym in each of them. Days
+        # over 12 map to such days, by which the two slashed forms stay apart.
+        late = lambda v: (_FIRST + timedelta(v)).day > 12
+        own = late(n)
+        return (_FIRST + timedelta(p(n, _DAYS, "date", lambda v: late(v) == own, back))).strftime(shape)
 
     return change
 
@@ -157,7 +161,10 @@ def _ssn(text: str, p: Permutation, back: bool) -> str | None:
 def _phone(text: str, p: Permutation, back: bool) -> str | None:
     d = _digits(text)
     head, own = d[:-10], d[-10:]
-    return _refill(text, head + str(p(int(own), 10**10, "phone", back=back)).zfill(10))
+    # Numbers that the plan allows (area and office begin with 2 to 9) map to such numbers.
+    valid = lambda v: min((s := str(v).zfill(10))[0], s[3]) > "1"
+    kind = valid(int(own))
+    return _refill(text, head + str(p(int(own), 10**10, "phone", lambda v: valid(v) == kind, back)).zfill(10))
 
 
 def _intl(text: str, p: Permutation, back: bool) -> str | None:
@@ -254,13 +261,15 @@ def pseudonymise(text: str | None, p: Permutation, back: bool = False) -> tuple[
     found: list[tuple[str, int, int, str]] = []
     if "@" in text:
         found += [("email", m.start(), m.end(), _email(m.group(), p, back)) for m in EMAIL.finditer(text)]
-    taken = [(a, b) for _, a, b, _ in found]
+    taken, past = [(a, b) for _, a, b, _ in found], 0  # ascending, apart
     m = NUMBER.search(text)
     while m:
         own = _cut(m.lastgroup, m.group())
         start, end = m.start(), m.start() + len(own)
         new = CHANGES[m.lastgroup](own, p, back)
-        if new is not None and not any(a < end and start < b for a, b in taken):
+        while past < len(taken) and taken[past][1] <= start:
+            past += 1
+        if new is not None and not (past < len(taken) and taken[past][0] < end):
             found.append((KINDS.get(m.lastgroup, m.lastgroup), start, end, new))
         m = NUMBER.search(text, end)
     found.sort(key=lambda f: f[1])
