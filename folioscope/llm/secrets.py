@@ -51,6 +51,8 @@ MARKED = "$1$3\u0001$2$4$5\u0002"
 OPEN, CLOSE = "\u0001", "\u0002"
 BEFORE, AFTER = 40, 20
 TREES, DEPTH = 25, 6
+#: Pieces of a text whose lengths are added up together.
+RUNS = 64
 #: Largest number of labelled findings that the forest is fitted on.
 FIT_FINDINGS = 6000
 # Words and letter pairs that describe a candidate and its surroundings.
@@ -257,7 +259,7 @@ def train(labelled: DataFrame, most: int = FIT_FINDINGS) -> Forest:
 
 def judged(docs: DataFrame, forest: Forest, text_col: str, path_col: str | None, least: float) -> tuple[DataFrame, str, str]:
     """``docs`` with two arrays: the text cut before each candidate, and the findings."""
-    parts, found = free_name(docs, "parts"), free_name(docs, "found")
+    parts, found, sizes, heads = (free_name(docs, c) for c in ("parts", "found", "piece_sizes", "run_heads"))
     clean = F.translate(F.coalesce(F.col(text_col), F.lit("")), OPEN + CLOSE, "  ")
     marked = F.regexp_replace(clean, CANDIDATE, MARKED)
     cut = docs.withColumn(parts, F.split(marked, OPEN, -1))
@@ -265,14 +267,23 @@ def judged(docs: DataFrame, forest: Forest, text_col: str, path_col: str | None,
     own = lambda i: F.substring_index(F.get(F.col(parts), i), CLOSE, 1)
     rest = lambda i: F.substring_index(F.get(F.col(parts), i), CLOSE, -1)
     lengths = F.transform(F.col(parts), lambda p: F.length(F.replace(p, F.lit(CLOSE), F.lit(""))))
-    # Offsets: lengths of all pieces before, as a running sum.
-    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    # Offsets: lengths of all pieces before. Sums of whole runs of RUNS pieces are added up first,
+    # so that a text with many candidates costs little more than its pieces.
+    plus = lambda a, n: a + n
+    runs = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUNS).cast("int")),
+        lambda r: F.aggregate(F.slice(F.col(sizes), r * RUNS + 1, F.lit(RUNS)), F.lit(0), plus),
+    )
+    before = F.aggregate(runs, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    start = lambda i: F.get(F.col(heads), F.floor(i / RUNS).cast("int")) + F.aggregate(
+        F.slice(F.col(sizes), F.floor(i / RUNS).cast("int") * RUNS + 1, i % RUNS), F.lit(0), plus
+    )
     places = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
     seen = F.transform(
-        F.arrays_zip(places.alias("i"), F.slice(starts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("at")),
-        lambda z: F.struct(
-            own(z["i"]).alias("candidate"), F.right(rest(z["i"] - 1), F.lit(BEFORE)).alias("before"),
-            F.left(rest(z["i"]), F.lit(AFTER)).alias("after"), z["at"].alias("start"),
+        places,
+        lambda i: F.struct(
+            own(i).alias("candidate"), F.right(rest(i - 1), F.lit(BEFORE)).alias("before"),
+            F.left(rest(i), F.lit(AFTER)).alias("after"), start(i).alias("start"),
         ),
     )
     described = F.transform(seen, lambda s: F.struct(s.alias("s"), features(s["candidate"], s["before"], s["after"], path).alias("x")))
@@ -285,7 +296,9 @@ def judged(docs: DataFrame, forest: Forest, text_col: str, path_col: str | None,
             F.round(v["p"], 6).alias("probability"), (v["p"] >= least).alias("is_secret"),
         ),
     )
-    return cut.withColumn(found, F.when(F.size(parts) > 1, out)), parts, found
+    cut = cut.withColumn(sizes, lengths)
+    cut = cut.withColumn(heads, before)
+    return cut.withColumn(found, F.when(F.size(parts) > 1, out)).drop(sizes, heads), parts, found
 
 
 def scan(
