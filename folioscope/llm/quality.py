@@ -94,17 +94,19 @@ def _sample(labels: DataFrame, id_col: str, label_col: str, value: int, most: in
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", most=FIT_DOCS) -> Model:
-    """Counts the n-grams of all documents, and those of at most ``most`` documents labelled 1.
-
-    The threshold is the mean log ratio that best tells the labels apart (largest sum of
-    the two shares that it gets right) on the same documents and as many labelled 0, halfway
-    between the neighbouring scores; without both labels nothing is rejected. Null ids and
-    labels other than 0 and 1 don't count; an id of both labels counts as both. The labelled
-    ids are broadcast: 2 * ``most`` at the largest.
+    """Counts the n-grams of all documents, and those of the labelled half that makes the target.
+
+    At most ``most`` documents of each label are used, dealt in two halves by a hash of the id.
+    The documents labelled 1 of the first are the target. The threshold is the mean log ratio
+    that best tells the labels of the second apart (largest sum of the two shares that it gets
+    right), halfway between the neighbouring scores; where the second lacks a label nothing is
+    rejected. Null ids and labels other than 0 and 1 don't count; an id of both labels counts
+    as both. The labelled ids are broadcast: 2 * ``most`` at the largest.
     """
     picked = F.broadcast(_sample(labels, id_col, label_col, 1, most).union(_sample(labels, id_col, label_col, 0, most)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    good = picked.where("label = 1").select("lid").distinct()
+    first = F.pmod(F.xxhash64(F.lit("half"), "lid"), F.lit(2)) == 0
+    good = picked.where("label = 1").where(first).select("lid").distinct()
     flagged = rows.join(F.broadcast(good), F.col("id") == F.col("lid"), "left").select("text", F.col("lid").isNotNull().alias("target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     model = Model(np.log((target + smooth * share) / (target.sum() + smooth) / share), -np.inf)
     if not target.sum():
         return model
-    labelled = rows.join(picked, F.col("id") == F.col("lid")).select("text", "label")
+    labelled = rows.join(F.broadcast(picked.where(~first)), F.col("id") == F.col("lid")).select("text", "label")
     scored = means(labelled, model, "text").select("label", "llr").where("llr is not null").toPandas()  # 2 * most rows
     s, y = scored["llr"].to_numpy(), scored["label"].to_numpy()
     if len(set(y.tolist())) == 2:
