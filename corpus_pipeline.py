@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm import decontaminate, mixing, secrets, simhash, toxicity
-from folioscope.llm.common import staged, table
+from folioscope.llm.common import discard, staged, table
 
 #: Documents that score this or more are rejected as toxic.
 TOXIC = 0.3
@@ -55,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's output goes once the next one is written."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs)
+            if held is not None:
+                discard(held)
+            held = docs
     return docs
