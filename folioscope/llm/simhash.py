@@ -102,10 +102,11 @@ def near_edges(fps: DataFrame, radius: int = 4, segments: int = 3, together: int
     """
     near = _near(radius, segments, together)
     cuts = _cuts(segments)
-    filed, probes = [], []
+    filed, probes, masks = [], [], []
     for s, chosen in enumerate(combinations(range(segments), together)):
         mask = sum(((1 << cuts[k][1]) - 1) << cuts[k][0] for k in chosen)
         bits = [b for k in chosen for b in range(cuts[k][0], sum(cuts[k]))]
+        masks.append(mask)
         filed.append((s, mask, 0, 0))
         # Of two values that differ, only the one that lacks the highest differing bit looks
         # the other up, so each pair is met once a choice.
@@ -115,9 +116,11 @@ def near_edges(fps: DataFrame, radius: int = 4, segments: int = 3, together: int
             for flips in combinations(bits, r)
         ]
 
+    def held(bits) -> str:
+        return f"cast(split('{','.join(str(_signed(x)) for x in bits)}', ',') as array<bigint>)"
+
     def spread(entries: list[tuple]) -> DataFrame:
-        held = (f"cast(split('{','.join(str(_signed(x)) for x in column)}', ',') as array<bigint>)" for column in zip(*entries, strict=True))
-        each = fps.selectExpr("fp", f"inline(arrays_zip({', '.join(held)})) AS (s, mask, flip, top)")
+        each = fps.selectExpr("fp", f"inline(arrays_zip({', '.join(map(held, zip(*entries, strict=True)))})) AS (s, mask, flip, top)")
         return each.where("fp & top = 0").selectExpr("fp", "s", "(fp & mask) ^ flip AS value")
 
     index, asked = spread(filed), spread(probes)
@@ -130,10 +133,12 @@ def near_edges(fps: DataFrame, radius: int = 4, segments: int = 3, together: int
         roomy = index
     u, v = F.col("a.fp"), F.col("b.fp")
     distance = F.bit_count(u.bitwiseXOR(v))
+    # A pair is told by the first choice under which it meets. If that one is crowded both go on.
+    first = F.expr(f"NOT exists(slice({held(masks)}, 1, cast(a.s as int)), m -> bit_count((a.fp ^ b.fp) & m) <= {near})")
     pairs = (
         asked.alias("a")
         .join(roomy.alias("b"), F.expr("a.value = b.value AND a.s = b.s"))
-        .where((u != v) & (distance <= radius))
+        .where((u != v) & (distance <= radius) & first)
         .select(u.alias("u"), v.alias("v"))
     )
     if not n_crowded:
