@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import LOWER, cuts, words
-from .common import discard, fold, staged
+from .common import fold, staged
 
 #: Subwords with a row of their own, and the rows that all others are dealt to by their id.
 KEPT, SHARED = 1024, 256
@@ -31,7 +31,6 @@ WINDOW, CONTEXT = 16, 4
 #: Windows of one training step.
 BATCH = 1024
 SLICE, CHUNK = 1_500_000, 4
-REQUEST_WORDS = 2_000_000  # words of the corpus for each shard of the count table
 
 
 def tokenizer_path() -> str:
@@ -252,7 +251,7 @@ class Trainer:
         dw *= w
         parts = [np.matmul(dw, k), np.matmul(dw.transpose(0, 2, 1), q), np.matmul(w.transpose(0, 2, 1), dh)]
         # Sums by row: tokens in the order of their rows, then runs of equal rows.
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
         by_row = flat[order]
         first = np.flatnonzero(np.append(True, by_row[1:] != by_row[:-1]))
         sums = np.add.reduceat(np.concatenate([*(x.reshape(n, DIM) for x in parts), p], axis=1)[order], first, axis=0)
@@ -314,61 +313,125 @@ def build(reduced: np.ndarray, pair: np.ndarray, single: np.ndarray, seed: int =
     )
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, learn, path: str) -> tuple[Model, DataFrame]:
-    """The model, and a staged table (kind, key, n): counts of all rows where ``learn``; kind 0:
-    words by hash, 2: subwords.
+#: Kinds of rows that ``prepare`` makes: counts of words (by hash) and of subwords, token streams
+#: of slices, words that a chunk asks for by shard, and where a chunk's words stand.
+WORDS, SUBWORDS, STREAM, ASKED, HELD = range(5)
+FIELDS = ("kind", "key", "n", "chunk", "place", "ids", "tokens", "lengths", "learn", "words", "a", "b", "c")
+SHARDS = 1 << 12
 
-    Every training text takes part in all of it: the counts, the choice of subwords with a row
-    of their own, and one pass of the attention weights. In that pass each task learns from its
-    own texts, beginning with the same weights; the model is the mean of theirs by tokens.
+
+def prepare(docs: DataFrame, id_col: str, text_col: str, learn, path: str) -> DataFrame:
+    """All that training and scoring need of the texts, in one pass and staged.
+
+    Words are asked for by ranges of their hash, SHARDS of them: each chunk of texts asks each
+    range once, for its distinct words. The words and subwords of rows where ``learn`` are
+    counted.
     """
-    spark = docs.sparkSession
-    own = docs.where(learn).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    id_type = docs.schema[id_col].dataType.simpleString()
     width = np.uint16 if Subwords.at_path(path).size <= 1 << 16 else np.uint32
+    step = np.uint64(2**64 // SHARDS)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Token streams of slices, and counts of words and subwords."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = Subwords.at_path(path)
         singles = np.zeros(sub.size, np.int64)
         found: list[np.ndarray] = []
         counts: list[np.ndarray] = []
-        names = ["kind", "key", "n", "ids", "lengths"]
+        kinds = dict(zip(FIELDS, (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), None, *[pa.binary()] * 7), strict=True))
 
-        def table(kind: int, keys: np.ndarray, n_: np.ndarray) -> pa.RecordBatch:
-            none = pa.nulls(len(keys), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n_), none, none], names=names)
+        def rows(kind: int, many: int, **columns) -> pa.RecordBatch:
+            columns |= {"kind": np.full(many, kind, np.int32)}
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[c]) if c in columns else pa.nulls(many, kinds[c]) for c in FIELDS], names=FIELDS)
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             keys, which = np.unique(np.concatenate(found), return_inverse=True)
             return keys, np.bincount(which, np.concatenate(counts), len(keys)).astype(np.int64)
 
+        def ask(chunk: str, asked: list[tuple]) -> Iterator[pa.RecordBatch]:
+            h, t, c = (np.concatenate(x) for x in zip(*asked, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, sizes = np.unique(h, return_counts=True)
+            shard = (h // step).astype(np.int64)
+            first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+            parts = [x.tobytes() for x in np.split(h, first[1:])]
+            yield rows(ASKED, len(first), key=shard[first], chunk=[chunk] * len(first), a=parts)
+            yield rows(HELD, 1, chunk=[chunk], **{k: [x.astype(np.uint32).tobytes()] for k, x in zip("abc", (sizes, t[order], c[order]), strict=True)})
+
+        chunk, place, asked = uuid.uuid4().hex, 0, []
         for batch in batches:
-            column = batch.column(0)
+            ids, column, learns = batch.column(0), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+            kinds["ids"] = pa.list_(ids.type)
             for a, b in cuts(column, SLICE):
                 stream, lengths, distinct, which, w = sub.texts(column.slice(a, b - a))
-                singles += np.bincount(stream, minlength=sub.size)
-                packed = [pa.array([x.tobytes()], pa.binary()) for x in (stream.astype(width), lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0]), pa.array([len(stream)]), *packed], names=names)
-                found.append(distinct)
-                counts.append(np.bincount(which, minlength=len(distinct)))
+                own = learns[a:b].astype(bool)
+                singles += np.bincount(stream[np.repeat(own, lengths)], minlength=sub.size)
+                packed = {"tokens": stream.astype(width), "lengths": lengths, "learn": own, "words": w.lengths}
+                yield rows(
+                    STREAM, 1, n=[len(stream)], chunk=[chunk], place=[place],
+                    ids=pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), ids.slice(a, b - a)), **{k: [x.tobytes()] for k, x in packed.items()},
+                )
+                seen = np.bincount(which[own[w.owner]], minlength=len(distinct))
+                found.append(distinct[seen > 0])
+                counts.append(seen[seen > 0])
                 if sum(map(len, found)) > 1_500_000:
                     keys, totals = merged()
                     found, counts = [keys], [totals]
                     if len(keys) > 1_000_000:
-                        yield table(0, keys, totals)
+                        yield rows(WORDS, len(keys), key=keys.view(np.int64), n=totals)
                         found, counts = [], []
+                if len(which):
+                    pairs, tf = np.unique(w.owner * len(distinct) + which, return_counts=True)
+                    asked.append((distinct[pairs % len(distinct)], place + pairs // len(distinct), tf))
+                place += b - a
+                if len(asked) >= CHUNK:
+                    yield from ask(chunk, asked)
+                    chunk, place, asked = uuid.uuid4().hex, 0, []
+        if asked:
+            yield from ask(chunk, asked)
         if found:
-            yield table(0, *merged())
+            keys, totals = merged()
+            yield rows(WORDS, len(keys), key=keys.view(np.int64), n=totals)
         at = np.flatnonzero(singles)
-        yield table(2, at, singles[at])
+        if len(at):
+            kinds["ids"] = kinds["ids"] or pa.list_(pa.null())
+            yield rows(SUBWORDS, len(at), key=at, n=singles[at])
+
+    schema = f"kind int, key long, n long, chunk string, place int, ids array<{id_type}>, " + ", ".join(f"{c} binary" for c in FIELDS[6:])
+    each = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    return staged(each.mapInArrow(run, schema), "zstd")
+
+
+def _streams(batches: Iterator[pa.RecordBatch], width, learn: bool) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """Of each slice the batch and row it is in, its tokens and the texts' lengths; with
+    ``learn`` only of texts to learn from."""
+    for batch in batches:
+        columns = {c: batch.column(batch.schema.get_field_index(c)) for c in ("tokens", "lengths", "learn")}
+        for k in range(batch.num_rows):
+            held = {c: x[k].as_buffer() for c, x in columns.items()}
+            tokens, lengths = np.frombuffer(held["tokens"], width), np.frombuffer(held["lengths"], np.int64)
+            if learn:
+                own = np.frombuffer(held["learn"], bool)
+                tokens, lengths = tokens[np.repeat(own, lengths)], lengths[own]
+            if len(lengths):
+                yield batch, k, tokens.astype(np.int32), lengths
+
+
+def train(work: DataFrame, path: str) -> tuple[Model, DataFrame, int]:
+    """The model, a staged table (key, n) of word counts, and the number of training texts, of
+    what ``prepare`` gives.
 
-    pieces = staged(own.mapInArrow(cut, "kind int, key long, n long, ids binary, lengths binary"), "zstd")
-    streams = pieces.where("kind = 1").select("ids", "lengths")
-    counted = staged(pieces.where("kind <> 1").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    Every training text takes part in all of it: the counts, the choice of subwords with a row
+    of their own, and one pass of the attention weights. In that pass each task learns from its
+    own texts, beginning with the same weights; the model is the mean of theirs by tokens.
+    """
+    spark = work.sparkSession
     size = Subwords.at_path(path).size
+    width = np.uint16 if size <= 1 << 16 else np.uint32
+    streams = work.where(F.col("kind") == STREAM).select("tokens", "lengths", "learn")
+    counted = staged(work.where(F.col("kind") == WORDS).groupBy("key").agg(F.sum("n").alias("n")))
     single = np.zeros(size)
-    for r in counted.where("kind = 2").collect():  # the vocabulary at most
+    for r in work.where(F.col("kind") == SUBWORDS).groupBy("key").agg(F.sum("n").alias("n")).collect():  # the vocabulary at most
         single[r.key] = r.n
+    ends = int(single[-1])
     # Subwords with a row of their own are the most frequent ones; the end is one of them.
     rank = single.copy()
     rank[-1] = rank.max() + 1
@@ -379,14 +442,9 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn, path: str) -> tupl
     n = len(top) + SHARED
     shared = spark.sparkContext.broadcast(reduced)
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for batch in batches:
-            for ids, lengths in zip(batch.column(0), batch.column(1), strict=True):
-                yield np.frombuffer(ids.as_buffer(), width).astype(np.int32), np.frombuffer(lengths.as_buffer(), np.int64)
-
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, pairs = shared.value, np.zeros(n * n, np.int64)
-        for stream, lengths in unpack(batches):
+        for _, _, stream, lengths in _streams(batches, width, True):
             r = rows[stream].astype(np.int64)
             u = np.concatenate([[rows[-1]], r[:-1]])
             u[np.cumsum(lengths) - lengths] = rows[-1]
@@ -403,7 +461,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn, path: str) -> tupl
     def learn_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_model = replace(first.value)
         trainer, rng, seen = Trainer(own_model), np.random.default_rng(42), 0
-        for stream, lengths in unpack(batches):
+        for _, _, stream, lengths in _streams(batches, width, True):
             trainer.learn(stream, lengths, rng)
             seen += len(stream)
         if seen:
@@ -419,88 +477,47 @@ def train(docs: DataFrame, id_col: str, text_col: str, learn, path: str) -> tupl
             old = getattr(model, name)
             setattr(model, name, flat[at : at + old.size].reshape(old.shape))
             at += old.size
-    discard(pieces)
-    return model, counted
+    return model, counted, ends
 
 
-def score(docs: DataFrame, model: Model, counted: DataFrame, ends: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
+def score(work: DataFrame, model: Model, counted: DataFrame, ends: int, path: str, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score) for every text of ``work``.
 
-    ``ends``: training texts, each of which has one end. Words are looked up in the count table
-    by shards: each chunk of texts asks each shard once, for its distinct words; the replies meet
-    at the chunk, so that what travels grows with the distinct words of the chunks. Null and empty texts are an end only. Repeated rows and
-    null ids each get their row; an empty table gives an empty result, an empty training set
-    counts of 0.
+    Words are looked up in the count table by shards; the replies meet at the chunk, so that
+    what travels grows with the distinct words of the chunks. Null and empty texts are an end
+    only. Repeated rows and null ids each get their row; an empty table gives an empty result,
+    an empty training set counts of 0.
     """
-    path = path or tokenizer_path()
-    spark = docs.sparkSession
-    vocabulary = counted.where("kind = 0")
-    facts = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    spark = work.sparkSession
+    facts = counted.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     total, distinct_words = facts.n + ends, facts.v + (ends > 0)
-    shards = max(64, -(-total // REQUEST_WORDS))
     shared = spark.sparkContext.broadcast(model)
-    id_type = docs.schema[id_col].dataType.simpleString()
+    id_type = work.schema["ids"].dataType.elementType.simpleString()
+    width = np.uint16 if len(model.reduced) <= 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub = Subwords.at_path(path)
-        names = ["chunk", "place", "id", "n_tokens", "score", "shard", "hashes", "sizes", "texts", "counts"]
-
-        def ask(chunk: str, asked: list[tuple]) -> pa.RecordBatch:
-            h, t, c = (np.concatenate(x) for x in zip(*asked, strict=True))
-            order = np.argsort(h, kind="stable")
-            h, t, c = h[order], t[order], c[order]
-            cut = np.searchsorted(h, np.arange(1, shards, dtype=np.uint64) * np.uint64(2**64 // shards))
-            rows = []
-            for s, (a, b) in enumerate(zip(np.append(0, cut).tolist(), np.append(cut, len(h)).tolist(), strict=True)):
-                if b > a:
-                    rows.append((s, np.unique(h[a:b]).tobytes(), None, None, None))
-            sizes = np.unique(h, return_counts=True)[1]
-            rows.append((-1, None, *(x.astype(np.uint32).tobytes() for x in (sizes, t, c))))
-            n = len(rows)
-            s, *packed = zip(*rows, strict=True)
-            none = [pa.nulls(n, x) for x in (pa.int32(), kind, pa.int64(), pa.float64())]
-            return pa.RecordBatch.from_arrays([pa.array([chunk] * n), *none, pa.array(s, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=names)
-
-        chunk, place, asked = uuid.uuid4().hex, 0, []
-        kind = None
-        for batch in batches:
-            ids, column = batch.column(0), batch.column(1)
-            kind = ids.type
-            for a, b in cuts(column, SLICE):
-                stream, lengths, distinct, which, w = sub.texts(column.slice(a, b - a))
-                logs = log_probabilities(shared.value, stream, lengths) / np.log(10)
-                sums = np.add.reduceat(logs, np.cumsum(lengths) - lengths)
-                n = b - a
-                none = [pa.nulls(n, x) for x in (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * n), pa.array(np.arange(place, place + n, dtype=np.int32)), ids.slice(a, n), pa.array(w.lengths + 1), pa.array(sums), *none],
-                    names=names,
-                )
-                pairs, tf = np.unique(w.owner * len(distinct) + which, return_counts=True) if len(which) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                if len(pairs):
-                    asked.append((distinct[pairs % len(distinct)], place + pairs // len(distinct), tf))
-                place += n
-                if len(asked) >= CHUNK:
-                    yield ask(chunk, asked)
-                    chunk, place, asked = uuid.uuid4().hex, 0, []
-        if asked:
-            yield ask(chunk, asked)
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"chunk string, place int, id {id_type}, n_tokens long, score double, shard int, hashes binary, sizes binary, texts binary, counts binary"
-    work = staged(rows.mapInArrow(run, schema))
-    # Shards of the count table by the same ranges of the (unsigned) hash.
-    width = 2**64 // shards
-    bounds = [np.uint64(k * width) for k in range(1, shards)]
-    edges = np.array(bounds, np.uint64)
+        for batch, k, stream, lengths in _streams(batches, width, False):
+            logs = log_probabilities(shared.value, stream, lengths) / np.log(10)
+            n, place = len(lengths), batch.column(1)[k].as_py()
+            words_ = np.frombuffer(batch.column(3)[k].as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([batch.column(0)[k].as_py()] * n), pa.array(np.arange(place, place + n, dtype=np.int32)), batch.column(2)[k].values,
+                    pa.array(words_ + 1), pa.array(np.add.reduceat(logs, np.cumsum(lengths) - lengths)),
+                ],
+                names=["chunk", "place", "id", "n_tokens", "score"],
+            )
+
+    streams = work.where(F.col("kind") == STREAM).select("chunk", "place", "ids", "words", "tokens", "lengths", "learn")
+    each = streams.mapInArrow(run, f"chunk string, place int, id {id_type}, n_tokens long, score double")
+    step = 2**64 // SHARDS
 
     def place_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy().view(np.uint64)
-            at = np.searchsorted(edges, keys, "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], names=["shard", "key", "n"])
+            at = batch.column(0).to_numpy().view(np.uint64) // np.uint64(step)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), *batch.columns], names=["shard", "key", "n"])
 
-    table = vocabulary.select("key", "n").mapInArrow(place_words, "shard int, key long, n long")
+    table = counted.select("key", "n").mapInArrow(place_words, "shard long, key long, n long")
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         """Counts of the words that each chunk asks this shard for; 0 where it has none."""
@@ -521,21 +538,20 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, ends: int, id_col:
             return pa.table(empty)
         parts = replies.sort_by("shard").column("found").to_pylist()
         n = np.concatenate([np.frombuffer(x, np.int64) for x in parts])
-        sizes, t, c = (np.frombuffer(held.column(x)[0].as_py(), np.uint32).astype(np.int64) for x in ("sizes", "texts", "counts"))
+        sizes, t, c = (np.frombuffer(held.column(x)[0].as_py(), np.uint32).astype(np.int64) for x in "abc")
         n = np.repeat(n, sizes)
         live = np.unique(t)
         known = np.bincount(t, (n > 0) * c)[live].astype(np.int64)
         logs = np.bincount(t, np.log10(n + 1.0) * c)[live]
         return pa.table({"chunk": pa.array([held.column("chunk")[0].as_py()] * len(live)), "place": pa.array(live.astype(np.int32)), "known": pa.array(known), "logs": pa.array(logs)})
 
-    asked = work.where("shard >= 0").select("chunk", "shard", "hashes")
-    replies = asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(answer, "chunk string, shard int, found binary")
-    held = work.where("shard = -1").select("chunk", "sizes", "texts", "counts")
+    asked = work.where(F.col("kind") == ASKED).select("chunk", F.col("key").alias("shard"), F.col("a").alias("hashes"))
+    replies = asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(answer, "chunk string, shard long, found binary")
+    held = work.where(F.col("kind") == HELD).select("chunk", "a", "b", "c")
     sums = held.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(add_up, "chunk string, place int, known long, logs double")
-    each = work.where("shard is null").select("chunk", "place", "id", "n_tokens", "score").join(sums, ["chunk", "place"], "left")
     end_log = float(np.log10(ends + 1.0))
     norm = float(np.log10(total + distinct_words + 1.0))
-    return each.select(
+    return each.join(sums, ["chunk", "place"], "left").select(
         F.col("id").alias(id_col), "n_tokens", (F.coalesce("known", F.lit(0)) + int(ends > 0)).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.coalesce("logs", F.lit(0.0)) + end_log - F.col("n_tokens") * norm).alias("base_score"), "score",
@@ -545,7 +561,6 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, ends: int, id_col:
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Fit on the rows whose crc32(id as text) mod 7 is not 2 and score all rows; see ``score``."""
     path = path or tokenizer_path()
-    learn = fold(id_col, 7) != 2
-    model, counted = train(docs, id_col, text_col, learn, path)
-    ends = docs.where(learn).count()
-    return score(docs, model, counted, ends, id_col, text_col, path)
+    work = prepare(docs, id_col, text_col, fold(id_col, 7) != 2, path)
+    model, counted, ends = train(work, path)
+    return score(work, model, counted, ends, path, id_col)

@@ -138,6 +138,16 @@ def test_attention_is_causal_and_scores_each_token_once():
     assert abs(total - 1) < 1e-3
 
 
+def test_attention_learns(spark):
+    """Held-out texts score better than with the unigram base, and better than untrained."""
+    rng = np.random.default_rng(4)
+    nouns, verbs = ["river", "garden", "window", "letter"], ["follows", "opens", "paints", "carries"]
+    say = lambda: " ".join(f"the {nouns[int(a)]} {verbs[int(a + b) % 4]} a {nouns[int(b)]}" for a, b in rng.integers(0, 4, (6, 2)))
+    docs = spark.createDataFrame([(k, say()) for k in range(600)], "doc_id long, text string")
+    rows = lm.scored(docs).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).collect()
+    assert len(rows) > 40 and np.mean([r.score > r.base_score for r in rows]) > 0.95
+
+
 def test_mixing(spark, odd, empty):
     once, again = (sorted(map(str, mixing.mix(odd).collect())) for _ in range(2))
     assert once == again and len(once) == odd.count() and mixing.mix(empty).count() == 0
@@ -337,6 +347,8 @@ def test_toxicity_learns_from_its_whole_bound(spark, monkeypatch):
 def test_lm_rows_come_from_all_training_texts(spark):
     names = ["zebra", "kettle", "violin", "harbour", "pepper", "lantern", "glacier", "walnut"]
     docs = spark.createDataFrame([(k, f"{w} {w} {w}") for k, w in enumerate(names)], "doc_id long, text string")
-    model, _ = lm.train(docs, "doc_id", "text", F.lit(True), lm.tokenizer_path())
+    model, _, ends = lm.train(lm.prepare(docs, "doc_id", "text", F.lit(True), lm.tokenizer_path()), lm.tokenizer_path())
+    assert ends == len(names)
+    assert (model.reduced < len(model.cls)).all()
     stream = lm.Subwords.at_path(lm.tokenizer_path()).texts(pa.array([f"{w} {w} {w}" for w in names]))[0]
-    assert (model.reduced[stream] < model.reduced.max()).all()
+    assert (model.reduced[stream] < len(model.cls) - lm.SHARED).all()
