@@ -317,19 +317,25 @@ def build(reduced: np.ndarray, pair: np.ndarray, single: np.ndarray, seed: int =
 #: of slices, words that a chunk asks for by shard, and where a chunk's words stand.
 WORDS, SUBWORDS, STREAM, ASKED, HELD = range(5)
 FIELDS = ("kind", "key", "n", "chunk", "place", "ids", "tokens", "lengths", "learn", "words", "a", "b", "c")
-SHARDS = 1 << 12
+#: Ranges of the word hash: one for so many bytes of text, LEAST_SHARDS at least.
+SHARD_BYTES, LEAST_SHARDS = 1 << 26, 1 << 10
 
 
-def prepare(docs: DataFrame, id_col: str, text_col: str, learn, path: str) -> DataFrame:
+def shards_of(docs: DataFrame, text_col: str) -> int:
+    """Shards of the count table, so that what is asked of one stays the same at every size."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(LEAST_SHARDS, size // SHARD_BYTES)
+
+
+def prepare(docs: DataFrame, id_col: str, text_col: str, learn, path: str, shards: int = LEAST_SHARDS) -> DataFrame:
     """All that training and scoring need of the texts, in one pass and staged.
 
-    Words are asked for by ranges of their hash, SHARDS of them: each chunk of texts asks each
-    range once, for its distinct words. The words and subwords of rows where ``learn`` are
-    counted.
+    Words are asked for by ``shards`` ranges of their hash: each chunk of texts asks each range
+    once, for its distinct words. The words and subwords of rows where ``learn`` are counted.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     width = np.uint16 if Subwords.at_path(path).size <= 1 << 16 else np.uint32
-    step = np.uint64(2**64 // SHARDS)
+    step = np.uint64(2**64 // shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = Subwords.at_path(path)
@@ -480,10 +486,10 @@ def train(work: DataFrame, path: str) -> tuple[Model, DataFrame, int]:
     return model, counted, ends
 
 
-def score(work: DataFrame, model: Model, counted: DataFrame, ends: int, path: str, id_col: str = "doc_id") -> DataFrame:
+def score(work: DataFrame, model: Model, counted: DataFrame, ends: int, path: str, id_col: str = "doc_id", shards: int = LEAST_SHARDS) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for every text of ``work``.
 
-    Words are looked up in the count table by shards; the replies meet at the chunk, so that
+    Words are looked up in the count table by the ``shards`` of ``prepare``; the replies meet at the chunk, so that
     what travels grows with the distinct words of the chunks. Null and empty texts are an end
     only. Repeated rows and null ids each get their row; an empty table gives an empty result,
     an empty training set counts of 0.
@@ -510,7 +516,7 @@ def score(work: DataFrame, model: Model, counted: DataFrame, ends: int, path: st
 
     streams = work.where(F.col("kind") == STREAM).select("chunk", "place", "ids", "words", "tokens", "lengths", "learn")
     each = streams.mapInArrow(run, f"chunk string, place int, id {id_type}, n_tokens long, score double")
-    step = 2**64 // SHARDS
+    step = 2**64 // shards
 
     def place_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -561,6 +567,7 @@ def score(work: DataFrame, model: Model, counted: DataFrame, ends: int, path: st
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Fit on the rows whose crc32(id as text) mod 7 is not 2 and score all rows; see ``score``."""
     path = path or tokenizer_path()
-    work = prepare(docs, id_col, text_col, fold(id_col, 7) != 2, path)
+    shards = shards_of(docs, text_col)
+    work = prepare(docs, id_col, text_col, fold(id_col, 7) != 2, path, shards)
     model, counted, ends = train(work, path)
-    return score(work, model, counted, ends, path, id_col)
+    return score(work, model, counted, ends, path, id_col, shards)
