@@ -6,7 +6,7 @@ spatial predicates are joined by grid cells, never by a cross join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -101,31 +101,36 @@ def heading_map(items: DataFrame) -> DataFrame:
     return good.withColumn("level", level).where("level <= 6").select("doc_id", "size", "level")
 
 
-def overlap_dedup(items: DataFrame, cell: float = 64.0) -> DataFrame:
-    """Items that no later one of the page covers: intersection over half of the smaller area, and
-    the same text or areas within a factor of five.
+def is_upright(rotation: Column, within: float = 2.0) -> Column:
+    """Within ``within`` degrees of a right angle."""
+    return F.abs(rotation - F.floor(rotation / 90 + 0.5) * 90) <= within
 
-    Candidates meet in grid cells; a pair that shares several cells is judged in each, which the
-    anti-join doesn't mind.
-    """
 
-    def cells(df: DataFrame, p: str) -> DataFrame:
-        span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(a) + F.col(b)) / cell))
-        out = df.withColumn("cx", F.explode(span("x", "width"))).withColumn("cy", F.explode(span("y", "height")))
-        return out.select(*(F.col(c).alias(f"{p}{c}") for c in ("doc_id", "page_number", "idx", "text", "x", "y", "width", "height", "cx", "cy")))
+def overlap_dedup(items: DataFrame, cell_x: float = 48.0, cell_y: float = 16.0) -> DataFrame:
+    """Items that no later one of the page covers: intersection over half of the smaller area, and
+    the same text or areas within a factor of five. Items that stand aslant (``rotation``, where
+    there is one) neither cover nor are covered.
 
-    a, b = cells(items, "a_"), cells(items, "b_")
-    ix = F.least(F.expr("a_x + a_width"), F.expr("b_x + b_width")) - F.greatest("a_x", "b_x")
-    iy = F.least(F.expr("a_y + a_height"), F.expr("b_y + b_height")) - F.greatest("a_y", "b_y")
-    area_a, area_b = F.expr("a_width * a_height"), F.expr("b_width * b_height")
-    meets = F.expr("a_doc_id = b_doc_id AND a_page_number = b_page_number AND a_cx = b_cx AND a_cy = b_cy AND b_idx > a_idx")
+    Candidates meet in the grid cell that holds the upper left corner of their intersection, so
+    each pair is judged once. Both sides share one exchange.
+    """
+    keys = ("doc_id", "page_number", "idx")
+    upright = items.where(is_upright(F.coalesce("rotation", F.lit(0.0)))) if "rotation" in items.columns else items
+    span = lambda a, b, cell: F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(a) + F.col(b)) / cell))
+    cells = upright.select(*keys, "text", "x", "y", "width", "height", F.explode(span("x", "width", cell_x)).alias("cx"))
+    cells = cells.withColumn("cy", F.explode(span("y", "height", cell_y)))
+    a, b = cells.alias("a"), cells.alias("b")
+    left, top = F.greatest("a.x", "b.x"), F.greatest("a.y", "b.y")
+    ix = F.least(F.expr("a.x + a.width"), F.expr("b.x + b.width")) - left
+    iy = F.least(F.expr("a.y + a.height"), F.expr("b.y + b.height")) - top
+    area_a, area_b = F.expr("a.width * a.height"), F.expr("b.width * b.height")
+    meets = F.expr("a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.cx = b.cx AND a.cy = b.cy AND b.idx > a.idx")
+    once = (F.floor(left / cell_x) == F.col("a.cx")) & (F.floor(top / cell_y) == F.col("a.cy"))
     covers = (ix > 0) & (iy > 0) & (ix * iy > 0.5 * F.least(area_a, area_b)) & (
-        F.expr("a_text = b_text") | (F.greatest(area_a, area_b) <= 5 * F.least(area_a, area_b))
+        F.expr("a.text = b.text") | (F.greatest(area_a, area_b) <= 5 * F.least(area_a, area_b))
     )
-    gone = a.join(b, meets & covers, "left_semi").select(
-        F.col("a_doc_id").alias("doc_id"), F.col("a_page_number").alias("page_number"), F.col("a_idx").alias("idx")
-    ).distinct()
-    return items.join(gone, ["doc_id", "page_number", "idx"], "left_anti")
+    gone = a.join(b, meets & once & covers, "left_semi").select(*keys)
+    return items.join(gone, list(keys), "left_anti")
 
 
 def crop(items: DataFrame, width: float, height: float, left=0.0, top=0.0, right=0.0, bottom=0.0) -> DataFrame:

@@ -28,25 +28,21 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def items(docs: DataFrame) -> DataFrame:
     """Positioned words: (doc_id, page_number, line_no, word_no, text, x, y, width, height,
-    font_size, font_name). Offsets come from a running sum inside each line's array; only the
-    numbering of wrapped rows needs the rows of a document together."""
-    words = F.filter(
-        F.transform(F.split("line", " ", -1), lambda w, i: F.struct(i.alias("word_no"), w.alias("text"))), lambda s: s["text"] != ""
-    )
-    placed = F.aggregate(
-        words,
-        F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<word_no: int, text: string, off: int>>))"),
-        lambda a, s: F.struct(
-            (a["at"] + F.length(s["text"]) + 1).alias("at"),
-            F.concat(a["out"], F.array(F.struct(s["word_no"].alias("word_no"), s["text"].alias("text"), a["at"].alias("off")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    each = lines(docs).select("doc_id", "line_no", F.explode(placed).alias("w")).select("doc_id", "line_no", "w.*")
-    wrapped = each.withColumn("wrap", F.floor(F.col("off") / COLUMNS).cast("int"))
-    row = F.dense_rank().over(W.partitionBy("doc_id").orderBy("line_no", "wrap")) - 1
+    font_size, font_name).
+
+    One exchange by document and one sort serve both running sums: that of the offsets in a
+    line and that of the rows, each of which begins where a line or its next 80 columns do.
+    """
+    words = lines(docs).select("doc_id", "line_no", F.posexplode(F.split("line", " ", -1)).alias("word_no", "text")).where("text <> ''")
+    dealt = words.repartition("doc_id")
+    line = W.partitionBy("doc_id", "line_no").orderBy("word_no")
+    before = F.coalesce(F.sum(F.length("text") + 1).over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    placed = dealt.withColumn("off", before).withColumn("wrap", F.floor(F.col("off") / COLUMNS).cast("int"))
+    begins = (~F.lag("wrap").over(line).eqNullSafe(F.col("wrap"))).cast("int")
+    page = W.partitionBy("doc_id").orderBy("line_no", "word_no").rowsBetween(W.unboundedPreceding, 0)
+    rows = placed.withColumn("begins", begins).withColumn("rw", F.sum("begins").over(page) - 1)
     size = F.when(F.col("line_no") % 7 == 0, 14.0).when(F.col("line_no") % 5 == 0, 9.0).otherwise(10.0)
-    return wrapped.withColumn("rw", row).select(
+    return rows.select(
         "doc_id", (F.floor(F.col("rw") / ROWS) + 1).cast("int").alias("page_number"), "line_no", "word_no", "text",
         (36.0 + 6 * (F.col("off") - COLUMNS * F.col("wrap"))).alias("x"), (36.0 + 12 * (F.col("rw") % ROWS)).alias("y"),
         (6.0 * F.length("text")).alias("width"), F.lit(10.0).alias("height"), size.alias("font_size"),
@@ -62,8 +58,9 @@ def shifted_copies(words: DataFrame) -> DataFrame:
 
 
 def segments(lineitem: DataFrame) -> DataFrame:
-    """Line segments on 40 pages, numbered within each page."""
-    page = F.col("l_orderkey") % 40
+    """Line segments, numbered within each page; a page holds those of 40 orders, so that pages
+    grow in number with the table and not in size."""
+    page = F.expr("l_orderkey div 40")
     w = W.partitionBy(page).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     x1, y1 = F.col("l_quantity") * 10, (F.col("l_partkey") % 500).cast("double")
     return lineitem.select(
@@ -87,6 +84,6 @@ items AS (SELECT doc_id, (rw // 60 + 1)::INT AS page_number, line_no, word_no, t
   (CASE WHEN line_no % 7 = 0 THEN 14.0 WHEN line_no % 5 = 0 THEN 9.0 ELSE 10.0 END)::DOUBLE AS font_size, 'F' || (line_no % 3)::VARCHAR AS font_name FROM rws)
 """
 SEGMENTS_SQL = r"""
-segments AS (SELECT (l_orderkey % 40)::BIGINT AS page, (row_number() OVER (PARTITION BY l_orderkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice))::INT AS idx,
+segments AS (SELECT (l_orderkey // 40)::BIGINT AS page, (row_number() OVER (PARTITION BY l_orderkey // 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice))::INT AS idx,
   l_quantity * 10 AS x1, (l_partkey % 500)::DOUBLE AS y1, l_quantity * 10 + l_linenumber * 7 AS x2, ((l_partkey % 500)::DOUBLE + l_suppkey % 9) AS y2 FROM lineitem)
 """
