@@ -5,19 +5,62 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that begin a caption, and bullets that begin a list item.
+# Characters that are white space, bullets, dividers, closing signs.
+WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+BULLETS = "•·◦▪▸▶●○■□"
+DIVIDERS = "*_–—•·●▪■◦★☆-"
+BULLET_CELLS = "•●○◦▪■□‣⁃*–—⮚►▶-"
+CLOSERS = "\"')\\]»”’"
+#: Ends after which a paragraph doesn't go on in the next column.
+STOPS = ".!?:;”\")\\]。』」"
+# Words that begin a caption, an attribution, the titles of a table of contents,
+# bodies that issue standards, leads of a section number.
 CAPTION_WORDS = "figures figure fig. fig tables table tab. tab equation eq. eq scheme chart plate photo algorithm listing".split()
-BULLETS = "•◦▪‣●○■□–—"
+ATTRIBUTIONS = (
+    "source: sources: note: notes: image: photo: credit: caption:".split()
+    + ["adapted from", "reproduced from", "reprinted from", "image source:", "photo credit:"]
+)
+TOC_TITLES = ["contents", "table of contents", "table of content", "index", "list of figures", "list of tables", "table of figures", "toc"]
+STANDARDS = ["NZS", "AS", "BS", "ISO", "EN", "AS/NZS", "BS/EN"]
+SECTION_LEADS = ["Sec.", "Sec", "Ch.", "Ch", "Chapter", "Chap.", "Chap", "Part"]
+CHROME = (
+    r"https?://|^www\.| www\.|doi:|doi\.org/|please cite this article|contents lists available at"
+    r"|available online at|downloaded from|©|copyright |all rights reserved|^page [0-9]|^[0-9]{1,4}$"
+)
+RTL = r"[\x{590}-\x{7BF}\x{800}-\x{85F}\x{8A0}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}\x{10800}-\x{10FFF}\x{1E800}-\x{1EFFF}]"
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern of the words as they are."""
+    return "|".join(w.replace(".", r"\.") for w in words)
+
+
+def trim(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
 def collapse(c: Column) -> Column:
-    """Runs of blanks and tabs become one blank; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, r"[ \t]+", " "))
+    """Runs of white space become one blank; ends are trimmed."""
+    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+
+
+def words(c: Column) -> Column:
+    """The words between white space; none of a blank line."""
+    return F.filter(F.split(c, f"{WS}+", -1), lambda w: w != "")
+
+
+def kept(c: Column, pattern: str) -> Column:
+    """How many characters match the class ``pattern``."""
+    return F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+
+
+def digits_as_sign(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), "[0-9]+", "#")
 
 
 def repetition_key(c: Column) -> Column:
     """Lower case, collapsed, digit runs as #: what makes two running lines the same."""
-    return F.regexp_replace(F.lower(collapse(c)), "[0-9]+", "#")
+    return digits_as_sign(collapse(c))
 
 
 def letters(c: Column) -> Column:
@@ -28,50 +71,350 @@ def vowels(c: Column) -> Column:
     return F.length(F.regexp_replace(c, "[^AEIOUaeiou]", ""))
 
 
+def is_likely_garbled(c: Column) -> Column:
+    return (letters(c) >= 10) & (vowels(c) * 10 < letters(c))
+
+
+def has_year(c: Column) -> Column:
+    """A year of the last or this century that stands alone."""
+    return c.rlike("(?<![0-9A-Za-z])(?:19|20)[0-9]{2}(?![0-9A-Za-z])")
+
+
+def has_digit_range(c: Column) -> Column:
+    """Two numbers with a dash between, other than a year and its month."""
+    found = F.regexp_extract_all(c, F.lit("[0-9]+ *[-–—] *[0-9]+"), F.lit(0))
+    return F.exists(found, lambda r: ~r.rlike("^(?:19|20)[0-9]{2} *[-–—] *[0-9]{1,2}$"))
+
+
 def is_chrome_pattern(c: Column) -> Column:
     """Whether a line alone looks like a running header or footer."""
-    low, t = F.lower(c), F.trim(c)
-    return (
-        low.rlike(r"https?://| www\.|doi:|doi\.org/|copyright |all rights reserved|©") | low.startswith("www.")
-        | low.rlike("page [0-9]") | t.rlike("^[0-9]{1,4}$")
-    )
+    t = trim(c)
+    low = F.lower(t)
+    volume = low.rlike("(?<![0-9a-z])vol[. ,].*[0-9]")
+    cited = (F.octet_length(t) <= 120) & has_year(low) & has_digit_range(t)
+    return low.rlike(CHROME) | volume | cited
+
+
+def divider_kind(c: Column) -> Column:
+    """True for a rule of three signs or more, false for one or two, null for anything else."""
+    bare = F.regexp_replace(c, WS, "")
+    return F.when(bare.rlike(f"^[{DIVIDERS}]+$"), F.length(bare) >= 3)
 
 
 def is_divider(c: Column) -> Column:
-    return F.trim(c).rlike(r"^([-_=*~] ?){3,}$")
+    return F.coalesce(divider_kind(c), F.lit(False))
 
 
 def list_marker(c: Column) -> Column:
-    """'unordered', 'ordered' or null. Hyphens and asterisks aren't bullets."""
-    t = F.trim(c)
-    return F.when(t.rlike(f"^[{BULLETS}][ \t]"), "unordered").when(t.rlike(r"^[0-9]{1,3}[.)][ \t]"), "ordered")
+    """(ordered, marker, rest), or null. Hyphens and asterisks aren't bullets."""
+    t = trim(c)
+    bullet, number = f"^([{BULLETS}]){WS}+(.*)$", rf"^([0-9]{{1,3}}[.)]){WS}+(.*)$"
+    # A marker needs white space behind it, of which a trimmed line may have lost all.
+    full = F.regexp_replace(c, f"^{WS}+", "")
+    bare = f"^([{BULLETS}]){WS}+$", rf"^([0-9]{{1,3}}[.)]){WS}+$"
+    held = lambda ordered, pattern, of: F.struct(
+        F.lit(ordered).alias("ordered"), F.regexp_extract(of, pattern, 1).alias("marker"),
+        (F.regexp_extract(of, pattern, 2) if "(.*)" in pattern else F.lit("")).alias("rest"),
+    )
+    return (
+        F.when(t.rlike(bullet), held(False, bullet, t)).when(t.rlike(number), held(True, number, t))
+        .when(full.rlike(bare[0]), held(False, bare[0], full)).when(full.rlike(bare[1]), held(True, bare[1], full))
+    )
+
+
+def ordered_marker(c: Column) -> Column:
+    """(body, marker, rest) of a lettered or roman marker with text behind it, or null."""
+    t = trim(c)
+    inside, suffix = rf"^\(([^)]+)\){WS}+(.+)$", rf"^([A-Za-z]{{1,7}})([.)]){WS}+(.+)$"
+    return F.when(
+        t.rlike(inside),
+        F.struct(F.regexp_extract(t, inside, 1).alias("body"), F.concat(F.lit("("), F.regexp_extract(t, inside, 1), F.lit(")")).alias("marker"), F.regexp_extract(t, inside, 2).alias("rest")),
+    ).when(
+        t.rlike(suffix),
+        F.struct(F.regexp_extract(t, suffix, 1).alias("body"), F.concat(F.regexp_extract(t, suffix, 1), F.regexp_extract(t, suffix, 2)).alias("marker"), F.regexp_extract(t, suffix, 3).alias("rest")),
+    )
+
+
+def roman_value(c: Column) -> Column:
+    """Value of a lower-case roman numeral, whatever its form; null where a letter is none.
+
+    From the right, a letter less than the largest so far is taken off, else it is added.
+    """
+    value = lambda x: F.get(F.array(*map(F.lit, (1, 5, 10, 50, 100, 500, 1000))), F.instr(F.lit("ivxlcdm"), x) - 1)
+    state = F.aggregate(
+        F.reverse(F.split(c, "")), F.struct(F.lit(0).alias("total"), F.lit(0).alias("most")),
+        lambda s, x: F.struct((s["total"] + F.when(value(x) < s["most"], -value(x)).otherwise(value(x))).alias("total"), F.greatest(s["most"], value(x)).alias("most")),
+        lambda s: s["total"],
+    )
+    return F.when(c.rlike("^[ivxlcdm]+$") & (state > 0), state)
+
+
+def marker_kinds(body: Column) -> Column:
+    """Array of (kind, value): what a marker's body can count as."""
+    low = F.lower(body)
+    one, lower, upper = body.rlike("^[A-Za-z]$"), body.rlike("^[a-z]+$"), body.rlike("^[A-Z]+$")
+    case = F.when(lower, "lower").when(upper, "upper")
+    entry = lambda kind, value: F.struct(F.concat(F.lit(kind), case).alias("kind"), value.cast("int").alias("value"))
+    alpha = F.when(one, entry("alpha-", F.ascii(low) - 96))
+    roman = F.when((lower | upper) & roman_value(low).isNotNull(), entry("roman-", roman_value(low)))
+    return F.array_compact(F.array(alpha, roman))
 
 
 def is_caption(c: Column) -> Column:
-    words = "|".join(w.replace(".", r"\.") for w in CAPTION_WORDS)
-    return F.lower(F.trim(c)).rlike(rf"^({words})[ ]+([0-9]|\([0-9]|[ivxlc])")
+    """A caption's word, then a number, an opening bracket and a digit, or a roman numeral."""
+    t = F.regexp_replace(c, f"^{WS}+", "")
+    return t.rlike(rf"^(?i:{any_of(CAPTION_WORDS)})(?:{WS}*(?:[0-9]|\([0-9])|{WS}+[IVXLC])")
+
+
+def is_attribution(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{WS}+", "").rlike(f"^(?i:{any_of(ATTRIBUTIONS)})")
+
+
+def is_toc_title(c: Column) -> Column:
+    return F.lower(F.regexp_replace(trim(c), ":+$", "")).isin(TOC_TITLES)
+
+
+TOC = rf"^(.*[^.{WS[1:-1]}])(?:\.|{WS})*{WS}(?:\.|{WS})*([0-9]{{1,4}})$"
+TOC_ROMAN = rf"^(.*[^.{WS[1:-1]}])(?:\.|{WS})*{WS}(?:\.|{WS})*([ivxlcdmIVXLCDM]{{2,6}})$"
+
+
+def toc_number(c: Column) -> Column:
+    """Page number of a line of a table of contents: eight letters or more that don't end in a
+    digit, white space and dots, one to four digits. Else null."""
+    t = trim(c)
+    body = F.regexp_extract(t, TOC, 1)
+    return F.when(t.rlike(TOC) & (kept(body, r"\p{L}") >= 8) & ~body.rlike("[0-9]$"), F.regexp_extract(t, TOC, 2).cast("int"))
 
 
 def is_toc_entry(c: Column) -> Column:
-    """A title of eight letters or more, a separator with white space, and a page number."""
-    t = F.trim(c)
-    body = F.regexp_replace(t, r"[ .\t]*[ \t][ .\t]*[0-9]{1,4}$", "")
-    return t.rlike(r"[^0-9][ .\t]*[ \t][ .\t]*[0-9]{1,4}$") & (letters(body) >= 8) & ~body.rlike("[0-9]$")
+    """``toc_number`` isn't null, or a roman page number behind five letters or more."""
+    t = trim(c)
+    roman = t.rlike(TOC_ROMAN) & (kept(F.regexp_extract(t, TOC_ROMAN, 1), r"\p{L}") >= 5)
+    return toc_number(c).isNotNull() | roman
+
+
+def is_section_number(c: Column) -> Column:
+    """A section's number as "1.5", "A.2", "Sec. 3" or "§4"."""
+    t = trim(c)
+    rest = F.regexp_replace(t, rf"^(?:§|(?:{any_of(SECTION_LEADS)}){WS}*)", "")
+    numbered = rest.rlike(r"^(?:[A-Z][0-9]*|[0-9]+)(?:\.(?:[A-Z][0-9]*|[0-9]+))*\.?$") & rest.rlike("[0-9]")
+    return (t != "") & ((rest == "") | numbered)
 
 
 def numbered_level(c: Column) -> Column:
-    """Heading level of a numbered title: dots of its number plus one, 6 at most."""
-    first = F.regexp_replace(F.split(F.trim(c), "[ \t]+")[0], r"[.)]+$", "")
-    dots = F.length(first) - F.length(F.replace(first, F.lit("."), F.lit("")))
-    low = F.lower(F.trim(c))
-    return F.when(low.rlike("^(section|part|appendix) "), 1).when(first.rlike(r"^[0-9]+(\.[0-9]+)*$"), F.least(dots + 1, F.lit(6)))
+    """Heading level of a numbered title: dots of its number plus one; 1 for a named section."""
+    w = words(c)
+    first = F.get(w, F.when(F.get(w, 0).rlike("/AS|/as"), 1).otherwise(0))
+    number = F.regexp_replace(first, "[.):]+$", "")
+    dots = F.length(number) - F.length(F.replace(number, F.lit("."), F.lit("")))
+    return F.when(F.lower(c).rlike("^(?:section|part|appendix) "), 1).when(number.rlike(r"^[0-9]+(?:\.[0-9]+)*$"), dots + 1)
+
+
+def has_short_number(c: Column) -> Column:
+    stem = F.substring_index(F.regexp_replace(F.get(words(c), 0), "[.):]+$", ""), ".", 1)
+    return F.coalesce(stem.rlike("^[0-9]{1,2}$"), F.lit(False))
+
+
+def is_spec_code(c: Column) -> Column:
+    """A word of four digits and up to four more signs, with a title behind it."""
+    w = words(c)
+    return (F.size(w) >= 2) & F.get(w, 0).rlike("^[0-9]{4}[0-9A-Za-z]{0,4}$")
+
+
+def level_in_context(c: Column, coded: Column, inside: Column) -> Column:
+    """``numbered_level`` where a document is ``coded`` by sections and the title ``inside`` one."""
+    deeper = inside & ~is_spec_code(c) & has_short_number(c)
+    level = numbered_level(c)
+    return F.when(coded & is_spec_code(c), 1).otherwise(F.when(deeper, F.least(level + 1, F.lit(6) + 0 * level)).otherwise(level))
 
 
 def title_key(c: Column) -> Column:
-    """Letters and digits in lower case: what makes two titles the same."""
-    return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    """Letters, digits and single blanks in lower case: what makes two titles the same."""
+    return collapse(F.lower(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}{WS[1:-1]}]", "")))
+
+
+def is_page_number_heading(c: Column, pages: Column) -> Column:
+    """Three words or more, the last a page of the document, and no standard's number."""
+    w = words(c)
+    last, n = F.try_element_at(w, F.lit(-1)), F.size(w)
+    number = F.when(last.rlike("^[0-9]{1,9}$"), last.cast("int"))
+    named = F.exists(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), lambda x: x.rlike(r"\p{L}"))
+    before = F.upper(F.regexp_replace(F.get(w, n - 2), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    return F.coalesce((n >= 3) & (number > 0) & ((pages <= 0) | (number <= pages)) & named & ~before.isin(STANDARDS), F.lit(False))
+
+
+def is_counter_only(c: Column) -> Column:
+    return c.rlike(r"^[0-9.\t\n\f\r ]*[0-9][0-9.\t\n\f\r ]*$")
+
+
+def is_drawing_note(c: Column) -> Column:
+    return F.lower(c).rlike(rf"^{WS}*a[0-9]+{WS}+drawing{WS}+page(?:{WS}|$)")
+
+
+def is_caption_heading(c: Column) -> Column:
+    return F.lower(trim(c)).rlike(r"^(?:figure|table)(?: |$)|^fig\. ")
+
+
+def is_uppercase_title(c: Column) -> Column:
+    return (F.size(words(c)) >= 2) & c.rlike(r"\p{L}") & ~c.rlike(r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]")
+
+
+def is_amendment(c: Column) -> Column:
+    return F.lower(c).rlike("^(?:add|delete|replace) ")
+
+
+def is_body_sentence(c: Column) -> Column:
+    """A sentence that stands as a heading: long with a full stop, a rule, or long with commas."""
+    low, n = F.lower(c), F.octet_length(c)
+    commas = F.length(c) - F.length(F.replace(c, F.lit(","), F.lit("")))
+    return (
+        ((n >= 100) & c.rlike(rf"\.{WS}*$")) | (low.startswith("the ") & low.contains(" shall ") & c.endswith(":"))
+        | ((n >= 110) & (commas >= 2) & numbered_level(c).isNull())
+    )
+
+
+def is_priced(c: Column) -> Column:
+    return numbered_level(c).isNotNull() & c.contains("$")
+
+
+def is_log_observation(c: Column) -> Column:
+    return c.rlike("^[0-9. ]*@")
+
+
+def is_contact(c: Column) -> Column:
+    return F.lower(c).rlike(r"www\.|https?://")
+
+
+def is_numbered_sentence(c: Column) -> Column:
+    """A number alone, or a numbered sentence of six words or more."""
+    w, low = words(c), F.lower(c)
+    numbered = F.regexp_replace(F.get(w, 0), "[.)]+$", "").rlike("^[0-9]+$")
+    sentence = (F.size(w) >= 7) & (c.rlike("[.;:]$") | low.contains(" will ") | low.contains(" shall "))
+    return F.coalesce(numbered, F.lit(False)) & ((F.size(w) == 1) | sentence)
+
+
+def is_physical_heading(c: Column) -> Column:
+    """A short numbered title that begins in upper case and doesn't end in a full stop."""
+    w = words(c)
+    short = (F.octet_length(c) <= 100) & (F.size(w) <= 12) & ~c.endswith(".")
+    told = F.get(w, 0).rlike("^[0-9]") & numbered_level(c).isNotNull() & (F.get(w, 0).contains(".") | is_uppercase_title(c))
+    return F.coalesce((F.size(w) >= 2) & told & short & F.get(w, 1).rlike(r"^\p{Lu}"), F.lit(False))
+
+
+def is_contents_page(c: Column) -> Column:
+    """A page of Markdown with three dotted leaders, or the word and one of them or a table."""
+    leaders = F.size(F.filter(F.split(c, "\n", -1), lambda x: x.contains("...") & F.regexp_replace(F.regexp_replace(trim(x), r"\*+$", ""), f"{WS}+$", "").rlike("[0-9]$")))
+    return (leaders >= 3) | (F.lower(c).contains("contents") & ((leaders > 0) | c.contains("|---")))
+
+
+def is_rule_artifact(c: Column, width: Column, height: Column) -> Column:
+    """What was read of a rule: no letter or digit, or one thin sign that is far taller than wide."""
+    t = trim(c)
+    thin = t.rlike(r"^[|Il1!ij\[\](){}/\\]$") & (height > 0) & (width < 0.35 * height)
+    return ~t.rlike(r"[\p{L}\p{N}]") | thin
+
+
+def is_chart_label(c: Column) -> Column:
+    t = trim(c)
+    return (F.length(t) <= 3) | (t.rlike("[0-9]") & t.rlike(r"^[0-9,.%\-+$€£ kKMx]+$"))
+
+
+def is_alpha_dominant(c: Column) -> Column:
+    return kept(c, r"\p{L}") > kept(c, "[0-9]")
+
+
+def is_value_like(c: Column) -> Column:
+    t = trim(c)
+    return t.rlike("^[-–—]+$|[$%±]|[0-9][.,][0-9]")
+
+
+def is_bullet_only(c: Column) -> Column:
+    """Bullets alone, or a list's number or letter alone."""
+    t = trim(c)
+    return t.rlike(rf"^[{BULLET_CELLS}]+$|^\([0-9]{{0,3}}\)$|^\([A-Za-z]\)$|^(?:[0-9]+|[ivxIVX]+|[A-Za-z])[.)]$")
+
+
+def is_label_like(c: Column) -> Column:
+    """Forty characters and four words at most, no bullet, no sentence's end inside."""
+    t = trim(c)
+    return (t != "") & (F.length(t) <= 40) & ~is_bullet_only(t) & (F.size(words(t)) <= 4) & ~t.rlike(r"\. [A-Z]")
+
+
+def is_page_ref(c: Column) -> Column:
+    return trim(c).rlike("^[0-9]+$|^(?i:[ivxlcdm]{1,6})$")
+
+
+def looks_like_caption(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, f"^{WS}+", "")).rlike(r"^(?:figure|fig\.|fig|table|tab\.|tab) [0-9]")
+
+
+def is_margin_number(c: Column) -> Column:
+    """One or two digits, perhaps with an O that was read for a zero."""
+    return trim(c).rlike("^[0-9]{1,2}O?$")
+
+
+def alpha_ratio(c: Column) -> Column:
+    """Share of letters among the characters that aren't white space; 0 of none."""
+    total = F.length(F.regexp_replace(c, WS, ""))
+    return F.when(total > 0, kept(c, r"\p{L}") / total).otherwise(0.0)
+
+
+def heading_role(c: Column) -> Column:
+    """Level of a role H1 to H6, or null."""
+    number = F.regexp_extract(trim(c), "^[Hh][+]?(0*[1-6])$", 1)
+    return F.when(number != "", number.cast("int"))
+
+
+def is_rtl(c: Column) -> Column:
+    """More letters that run to the left than others."""
+    left = kept(c, RTL)
+    return left > kept(F.regexp_replace(c, RTL, ""), r"\p{L}")
 
 
 def escape_inline(c: Column) -> Column:
-    """Backslashes before the characters that Markdown gives a meaning."""
-    return F.regexp_replace(c, r"([\\`*_\[\]<>|#])", r"\\$1")
+    """Backslashes before what Markdown takes for emphasis: backslash, asterisk, underscore."""
+    return F.regexp_replace(c, r"([\\*_])", r"\\$1")
+
+
+def escape_html(c: Column) -> Column:
+    """Text of an HTML cell: the three signs as entities, line breaks as blanks."""
+    out = F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.replace(out, F.lit("\n"), F.lit(" "))
+
+
+def emphasis(c: Column, bold: Column, italic: Column) -> Column:
+    sign = F.when(bold & italic, "***").when(bold, "**").when(italic, "*").otherwise("")
+    return F.when(trim(c) == "", c).otherwise(F.concat(sign, c, sign))
+
+
+def ends_hyphenated(c: Column) -> Column:
+    return c.rlike(rf"\p{{L}}-{WS}*$")
+
+
+def ends_sentence(c: Column) -> Column:
+    """A full stop, an exclamation or a question mark at the end, closing signs left out."""
+    return F.regexp_replace(c, f"{WS}+$", "").rlike(f"[.!?][{CLOSERS}]*$")
+
+
+def starts_lower(c: Column) -> Column:
+    return c.rlike(rf"^{WS}*\p{{Ll}}")
+
+
+def is_soft_break(before: Column, after: Column) -> Column:
+    return ends_hyphenated(before) & starts_lower(after)
+
+
+def dehyphenate(before: Column, after: Column) -> Column:
+    """Two pieces of a text joined: a word cut by a hyphen grows together, else with a blank."""
+    whole = F.concat(F.regexp_replace(before, f"-{WS}*$", ""), F.regexp_replace(after, f"^{WS}+", ""))
+    return F.when(after == "", before).when(before == "", after).when(is_soft_break(before, after), whole).otherwise(F.concat_ws(" ", before, after))
+
+
+def code_language(c: Column) -> Column:
+    """'json', 'cpp', 'python' or null, by signs of each in a block of code."""
+    has = lambda signs: sum((c.contains(s).cast("int") for s in signs), F.lit(0))
+    cpp = has(["#include", "std::", "int main", "nullptr", "->", "::", "template<"])
+    python = has(["self.", "import ", "from ", "def ", "class ", "print(", "lambda ", "elif ", "f'", 'f"', "__", " for ", "len(", "sorted(", "range("])
+    opens = c.rlike(rf"(?m)^{WS}*(?:if |for |while |def |class |elif |else|try|except|with )[^\n]*:[\t\r ]*$")
+    json = c.rlike(rf"^{WS}*[{{\[]") & c.contains('":')
+    return F.when(json, "json").when(cpp >= 2, "cpp").when((python >= 2) | ((python >= 1) & opens), "python")

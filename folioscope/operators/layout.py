@@ -55,8 +55,7 @@ def strip_chrome(lines: DataFrame, least_share: float = 0.5, least: int = 2) ->
 
 def garbled_items(items: DataFrame) -> DataFrame:
     """Items of ten letters or more with less than a tenth of them vowels."""
-    n = T.letters(F.col("text"))
-    return items.where((n >= 10) & (T.vowels(F.col("text")) * 10 < n))
+    return items.where(T.is_likely_garbled(F.col("text")))
 
 
 def garbled_scope(items: DataFrame) -> DataFrame:
@@ -73,14 +72,6 @@ def garbled_scope(items: DataFrame) -> DataFrame:
     return marked.where("scope is not null").select("doc_id", "page_number", "scope").distinct()
 
 
-def page_complexity(items: DataFrame, width: float, height: float) -> DataFrame:
-    """(doc_id, page_number, n_items, text_length, text_coverage, is_sparse) of each page."""
-    return items.groupBy("doc_id", "page_number").agg(
-        F.count("*").alias("n_items"), F.sum(F.octet_length("text")).cast("long").alias("text_length"),
-        (F.sum(F.col("width") * F.col("height")) / (width * height)).alias("text_coverage"),
-    ).withColumn("is_sparse", (F.col("text_length") < 50) | (F.col("text_coverage") < 0.02))
-
-
 def body_size(items: DataFrame) -> DataFrame:
     """(doc_id, body_size): the largest size with half the characters of the commonest one."""
     sized = items.where("font_size > 0").groupBy("doc_id", F.round(F.col("font_size") * 100).alias("key")).agg(F.sum(F.length("text")).alias("weight"))

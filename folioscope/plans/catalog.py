@@ -7,26 +7,15 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import layout as L
+from folioscope.plans import pages, shapes  # noqa: F401  register their queries
+from folioscope.plans import specimens as X
+from folioscope.plans.registry import ORACLES, QUERIES, query
 from folioscope.sources import typeset as S
 
-QUERIES: dict = {}
-ORACLES: dict = {}
 #: A share low enough that running lines of these tables repeat often enough to count.
 SHARE = 0.02
 
 
-def query(oracle: str | None = None):
-    """Registers a function under its name, with the DuckDB SQL that says the same."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     return S.lines(S.read(spark, d, "documents"))
 
@@ -40,10 +29,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 L1, I1, G1 = ("WITH " + x.strip() for x in (S.LINES_SQL, S.ITEMS_SQL, S.SEGMENTS_SQL))
-COLLAPSED = r"trim(regexp_replace(line, '[ \t]+', ' ', 'g'))"
-KEY = rf"regexp_replace(lower({COLLAPSED}), '[0-9]+', '#', 'g')"
-PATTERN = r"""(regexp_matches(lower(line), 'https?://| www\.|doi:|doi\.org/|copyright |all rights reserved|©') OR starts_with(lower(line), 'www.')
-  OR regexp_matches(lower(line), 'page [0-9]') OR regexp_matches(trim(line), '^[0-9]{1,4}$'))"""
+KEY = f"regexp_replace(lower({X.COLLAPSE}), '[0-9]+', '#', 'g')"
+PATTERN = X.CHROME
 KEYS = f"""{L1}, banded AS (
   SELECT *, {KEY} AS key, {PATTERN} AS p, 'header' AS band FROM lines WHERE line_no / n_lines <= 0.12
   UNION ALL SELECT *, {KEY}, {PATTERN}, 'footer' FROM lines WHERE (line_no + 1) / n_lines >= 0.88
@@ -104,13 +91,6 @@ def garbled_scope(spark, d):
     return L.garbled_scope(_items(spark, d))
 
 
-@query(f"""{I1}, p AS (SELECT doc_id, page_number, count(*) AS n_items, sum(octet_length(encode(text)))::BIGINT AS text_length,
-  sum(width * height) / (612.0::DOUBLE * 792.0::DOUBLE) AS text_coverage FROM items GROUP BY doc_id, page_number)
-SELECT *, text_length < 50 OR text_coverage < 0.02::DOUBLE AS is_sparse FROM p""")
-def page_complexity(spark, d):
-    return L.page_complexity(_items(spark, d), S.WIDTH, S.HEIGHT)
-
-
 BODY = f"""{I1}, sized AS (SELECT doc_id, round(font_size * 100) AS key, sum(length(text)) AS weight FROM items GROUP BY ALL),
 body AS (SELECT doc_id, max(key) / 100 AS body_size FROM (SELECT *, max(greatest(weight, 1)) OVER (PARTITION BY doc_id) AS most FROM sized)
   WHERE weight >= floor(most * 0.5::DOUBLE) GROUP BY doc_id)"""
@@ -129,56 +109,6 @@ def heading_map(spark, d):
     return L.heading_map(_items(spark, d))
 
 
-@query(rf"""{L1} SELECT doc_id, line_no, CASE WHEN regexp_matches(trim(line), '^[{T.BULLETS}][ \t]') THEN 'unordered' ELSE 'ordered' END AS kind FROM lines
-WHERE regexp_matches(trim(line), '^[{T.BULLETS}][ \t]') OR regexp_matches(trim(line), '^[0-9]{{1,3}}[.)][ \t]')""")
-def list_markers(spark, d):
-    kind = T.list_marker(F.col("line"))
-    return _lines(spark, d).select("doc_id", "line_no", kind.alias("kind")).where("kind is not null")
-
-
-CAPTION = "|".join(w.replace(".", r"\.") for w in T.CAPTION_WORDS)
-
-
-@query(rf"{L1} SELECT doc_id, line_no FROM lines WHERE regexp_matches(lower(trim(line)), '^({CAPTION})[ ]+([0-9]|\([0-9]|[ivxlc])')")
-def caption_lines(spark, d):
-    return _lines(spark, d).where(T.is_caption(F.col("line"))).select("doc_id", "line_no")
-
-
-@query(rf"""{L1}, b AS (SELECT *, trim(line) AS t, regexp_replace(trim(line), '[ .\t]*[ \t][ .\t]*[0-9]{{1,4}}$', '') AS body FROM lines)
-SELECT doc_id, line_no FROM b WHERE regexp_matches(t, '[^0-9][ .\t]*[ \t][ .\t]*[0-9]{{1,4}}$')
-AND length(regexp_replace(body, '[^A-Za-z]', '', 'g')) >= 8 AND NOT regexp_matches(body, '[0-9]$')""")
-def toc_entries(spark, d):
-    return _lines(spark, d).where(T.is_toc_entry(F.col("line"))).select("doc_id", "line_no")
-
-
-@query(r"""WITH f AS (SELECT o_orderkey, o_orderkey // 100 || '.' || o_orderkey % 100 || '. ' || o_orderpriority AS title FROM orders),
-n AS (SELECT *, regexp_replace(regexp_extract(trim(title), '^[^ \t]*'), '[.)]+$', '') AS w FROM f)
-SELECT o_orderkey, least(length(w) - length(replace(w, '.', '')) + 1, 6)::INT AS level FROM n WHERE regexp_matches(w, '^[0-9]+(\.[0-9]+)*$')""")
-def numbered_levels(spark, d):
-    title = F.expr("concat(o_orderkey div 100, '.', o_orderkey % 100, '. ', o_orderpriority)")
-    return S.read(spark, d, "orders").select("o_orderkey", T.numbered_level(title).alias("level")).where("level is not null")
-
-
-@query("SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS title_key FROM part")
-def title_keys(spark, d):
-    return S.read(spark, d, "part").select("p_partkey", T.title_key(F.col("p_name")).alias("title_key"))
-
-
-@query(rf"{L1} SELECT doc_id, line_no, {COLLAPSED} AS line FROM lines")
-def whitespace_collapse(spark, d):
-    return _lines(spark, d).select("doc_id", "line_no", T.collapse(F.col("line")).alias("line"))
-
-
-@query(rf"{L1} SELECT doc_id, line_no FROM lines WHERE regexp_matches(trim(line), '^([-_=*~] ?){{3,}}$')")
-def dividers(spark, d):
-    return _lines(spark, d).where(T.is_divider(F.col("line"))).select("doc_id", "line_no")
-
-
-@query(r"SELECT doc_id, regexp_replace(text, '([\\`*_\[\]<>|#])', '\\\1', 'g') AS text FROM documents")
-def escape_inline(spark, d):
-    return S.read(spark, d, "documents").select("doc_id", T.escape_inline(F.col("text")).alias("text"))
-
-
 @query(f"""{I1}, dup AS (SELECT *, line_no * 10000 + word_no * 2 AS idx FROM items UNION ALL BY NAME
   SELECT * REPLACE (x + 1 AS x, y + 1 AS y), line_no * 10000 + word_no * 2 + 1 AS idx FROM items WHERE word_no % 6 = 0)
 SELECT doc_id, page_number, count(*) AS kept, sum(idx)::BIGINT AS idx_sum FROM dup a WHERE NOT EXISTS (
@@ -262,29 +192,3 @@ def nearest_labels_all(spark, d):
     segments = S.segments(S.read(spark, d, "lineitem"))
     points = segments.selectExpr("page", "idx AS point", "(x1 + x2) / 2 + 3 AS px", "(y1 + y2) / 2 + 2 AS py")
     return L.nearest_segments(points, segments)
-
-
-@query("""SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95
-FROM events GROUP BY event_type""")
-def bench_summary(spark, d):
-    return S.read(spark, d, "events").groupBy("event_type").agg(
-        F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"),
-        F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95"),
-    )
-
-
-@query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, len(regexp_extract_all(html, '<p[ >]'))::INT AS paragraphs,
-len(regexp_extract_all(html, '<li[ >]'))::INT AS list_items, len(regexp_extract_all(html, '<h[1-6][ >]'))::INT AS headings FROM pages""")
-def html_blocks(spark, d):
-    count = lambda p: F.regexp_count("html", F.lit(p))
-    return S.read(spark, d, "pages").select(
-        "page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), count("<p[ >]").alias("paragraphs"),
-        count("<li[ >]").alias("list_items"), count("<h[1-6][ >]").alias("headings"),
-    )
-
-
-@query(rf"""{L1}, c AS (SELECT doc_id, line_no, regexp_split_to_array(line, ' \| ') AS cells FROM lines)
-SELECT doc_id, line_no, len(cells)::INT AS n_cells, trim(cells[1]) AS first_cell FROM c WHERE len(cells) >= 3""")
-def split_cells(spark, d):
-    cells = _lines(spark, d).select("doc_id", "line_no", F.split("line", r" \| ", -1).alias("cells"))
-    return cells.where("size(cells) >= 3").select("doc_id", "line_no", F.size("cells").alias("n_cells"), F.trim(F.col("cells")[0]).alias("first_cell"))
