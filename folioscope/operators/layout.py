@@ -79,15 +79,22 @@ def body_size(items: DataFrame) -> DataFrame:
     return sized.withColumn("most", most).where(F.col("weight") >= F.floor(F.col("most") * 0.5)).groupBy("doc_id").agg((F.max("key") / 100).alias("body_size"))
 
 
-def heading_map(items: DataFrame) -> DataFrame:
-    """(doc_id, size, level): sizes over the body's, with enough letters, largest first, six at
-    most."""
-    sized = items.groupBy("doc_id", F.col("font_size").alias("size")).agg(
-        F.sum(F.length("text")).alias("chars"), F.count_distinct("line_no").alias("n_lines"), F.sum(T.letters(F.col("text"))).alias("alpha")
-    )
-    good = sized.join(body_size(items), "doc_id").where(
-        "size > body_size + 0.5 AND chars >= 10 AND chars / n_lines BETWEEN 8 AND 200 AND alpha / chars >= 0.5"
+def heading_map(lines: DataFrame, body: DataFrame) -> DataFrame:
+    """(doc_id, size, level): sizes half a point over the body's that make headings, largest
+    first, six at most.
+
+    ``lines``: (doc_id, font_size, text); ``body``: (doc_id, body_size). Captions don't count, nor
+    texts that three candidates or more have. A size needs ten characters, 8 to 200 a line, and
+    letters for half of them.
+    """
+    text = F.col("text")
+    big = lines.join(body, "doc_id").where((F.col("font_size") > F.col("body_size") + 0.5) & ~T.is_caption(text))
+    keyed = big.withColumn("key", F.lower(T.collapse(text)))
+    rare = keyed.withColumn("same", F.count("*").over(W.partitionBy("doc_id", "key"))).where("same < 3")
+    sized = rare.groupBy("doc_id", F.col("font_size").alias("size")).agg(
+        F.sum(F.length("text")).alias("chars"), F.count("*").alias("n_lines"), F.sum(T.kept(text, r"\p{L}")).alias("alpha"), F.sum(F.length(F.regexp_replace("text", T.WS, ""))).alias("ink")
     )
+    good = sized.where("chars >= 10 AND chars / n_lines BETWEEN 8 AND 200 AND alpha >= 0.5 * ink")
     level = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("size")))
     return good.withColumn("level", level).where("level <= 6").select("doc_id", "size", "level")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import layout as L
-from folioscope.plans import pages, shapes  # noqa: F401  register their queries
+from folioscope.plans import more, pages, shapes  # noqa: F401  register their queries
 from folioscope.plans import specimens as X
 from folioscope.plans.registry import ORACLES, QUERIES, query
 from folioscope.sources import typeset as S
@@ -101,14 +101,6 @@ def body_size(spark, d):
     return L.body_size(_items(spark, d))
 
 
-@query(f"""{BODY}, s AS (SELECT doc_id, font_size AS size, sum(length(text)) AS chars, count(DISTINCT line_no) AS nl, sum({LETTERS}) AS alpha FROM items GROUP BY doc_id, font_size),
-r AS (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC)::INT AS level FROM s JOIN body USING (doc_id)
-  WHERE size > body_size + 0.5 AND chars >= 10 AND chars / nl BETWEEN 8 AND 200 AND alpha / chars >= 0.5)
-SELECT * FROM r WHERE level <= 6""")
-def heading_map(spark, d):
-    return L.heading_map(_items(spark, d))
-
-
 @query(f"""{I1}, dup AS (SELECT *, line_no * 10000 + word_no * 2 AS idx FROM items UNION ALL BY NAME
   SELECT * REPLACE (x + 1 AS x, y + 1 AS y), line_no * 10000 + word_no * 2 + 1 AS idx FROM items WHERE word_no % 6 = 0)
 SELECT doc_id, page_number, count(*) AS kept, sum(idx)::BIGINT AS idx_sum FROM dup a WHERE NOT EXISTS (

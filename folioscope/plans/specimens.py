@@ -79,8 +79,18 @@ def specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey AS id", "CAST(o_custkey % 97 + 1 AS STRING) AS a", "CAST(o_orderkey % 9 + 1 AS STRING) AS b",
         "CAST(1950 + o_custkey % 90 AS STRING) AS y", "substr(o_orderpriority, 3) AS w", "o_custkey % 40 AS n",
     )
-    pick = lambda selector: F.expr(_case(selector))
-    return src.select("id", "n", pick(f"id % {len(LINES)}").alias("line"), pick(f"(id * 7 + n) % {len(LINES)}").alias("after"))
+    plain = [(k, kind.replace("\\t", "\t")) for k, kind in enumerate(LINES)]
+    kinds = F.broadcast(spark.createDataFrame(plain, "k long, kind string"))
+
+    def made(rows: DataFrame, selector: str, name: str) -> DataFrame:
+        text = F.col("kind")
+        for sign in "abyw":
+            text = F.replace(text, F.lit("{" + sign + "}"), F.col(sign))
+        braces = F.replace(F.replace(text, F.lit("<<"), F.lit("{")), F.lit(">>"), F.lit("}"))
+        return rows.join(kinds, F.expr(selector) == F.col("k")).withColumn(name, braces).drop("k", "kind")
+
+    both = made(made(src, f"id % {len(LINES)}", "line"), f"(id * 7 + n) % {len(LINES)}", "after")
+    return both.select("id", "n", "line", "after")
 
 
 # The same rules in DuckDB's words. W: the words of a line.
