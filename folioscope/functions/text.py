@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # Characters that are white space, bullets, dividers, closing signs.
 WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-BULLETS = "•·◦▪▸▶●○■□"
+BULLETS = "•·◦▪▸▶●○■□\uf0b7"
 DIVIDERS = "*_–—•·●▪■◦★☆-"
-BULLET_CELLS = "•●○◦▪■□‣⁃*–—⮚►▶-"
+BULLET_CELLS = "•●○◦▪■□‣⁃*–—⮚►▶\uf0b7-"
 CLOSERS = "\"')\\]»”’"
 #: Ends after which a paragraph doesn't go on in the next column.
 STOPS = ".!?:;”\")\\]。』」"

@@ -27,12 +27,19 @@ def rows(values):
     return Counter(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in values)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_every_query_finds_something(spark):
+    few = {"garbled_scope"}  # needs the larger tables
+    for name in sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - few):
+        assert not catalog.QUERIES[name](spark, DATA).isEmpty(), name
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_oracle(spark, duck, name):
     got = catalog.QUERIES[name](spark, DATA)
     columns = sorted(got.columns)
     want = duck.execute(f"select {', '.join(columns)} from ({catalog.ORACLES[name]})").fetchall()
-    assert rows(got.select(columns).collect()) == rows(want)
+    have = got.select(columns).collect()
+    assert rows(have) == rows(want) and (have or name == "garbled_scope")
 
 
 def test_entry(spark):
