@@ -6,34 +6,17 @@ executors share; where the session names none (tests) a temporary one is set.
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.operators.staging import shared_dir
+
 #: A word: a run of characters other than ASCII white space (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session. Where none is set, a temporary one on a local master;
-    on a cluster that is an error, as executors don't share their disks."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not re.match(r"local($|\[)", context.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-    context.setCheckpointDir(own)
-    return own
-
-
 def staged(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
