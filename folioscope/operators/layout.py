@@ -161,8 +161,11 @@ def phrase_search(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     told = phrases.where("phrase <> ''").withColumn("ws", F.split("phrase", " ", -1))
     inner = F.when(F.size("ws") > 2, F.slice("ws", 2, F.greatest(F.size("ws") - 2, F.lit(0))))
     told = told.withColumn("w", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).drop("ws")
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("w"))
-    joined = words.join(told.where("w <> ''"), "w").where("contains(text, phrase)").select("doc_id", "text", "item_id", "phrase")
+    # Words travel without their texts; texts are fetched for what was found.
+    own = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
+    words = own.select("h", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("w"))
+    met = words.join(told.where("w <> ''"), "w").select("h", "item_id", "phrase").distinct()
+    joined = own.join(met, "h").where("contains(text, phrase)").select("doc_id", "text", "item_id", "phrase")
     short = F.broadcast(told.where("w is null or w = ''").drop("w"))
     both = joined.unionByName(docs.select("doc_id", "text").join(short, F.expr("contains(text, phrase)")).select("doc_id", "text", "item_id", "phrase"))
     hits = (F.length("text") - F.length(F.expr("replace(text, phrase, '')"))) / F.length("phrase")
