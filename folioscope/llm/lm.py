@@ -30,7 +30,9 @@ DIM = 8
 WINDOW, CONTEXT = 16, 4
 #: Windows of one training step.
 BATCH = 1024
-SLICE, CHUNK = 1_500_000, 4
+SLICE, CHUNK = 1_000_000, 6
+#: Words whose counts a task holds before it hands them on, and rows of one batch of them.
+HELD_WORDS, BATCH_ROWS = 500_000, 1 << 16
 
 
 def tokenizer_path() -> str:
@@ -45,7 +47,7 @@ class Subwords:
 
     _shared: dict[str, Subwords] = {}
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 500_000):
         import public_tokenizers
 
         with open(path, "rb") as lines:
@@ -352,6 +354,11 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, learn, path: str, shard
             keys, which = np.unique(np.concatenate(found), return_inverse=True)
             return keys, np.bincount(which, np.concatenate(counts), len(keys)).astype(np.int64)
 
+        def handed(keys: np.ndarray, totals: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(keys), BATCH_ROWS):
+                own = keys[a : a + BATCH_ROWS]
+                yield rows(WORDS, len(own), key=own.view(np.int64), n=totals[a : a + BATCH_ROWS])
+
         def ask(chunk: str, asked: list[tuple]) -> Iterator[pa.RecordBatch]:
             h, t, c = (np.concatenate(x) for x in zip(*asked, strict=True))
             order = np.argsort(h, kind="stable")
@@ -378,11 +385,11 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, learn, path: str, shard
                 seen = np.bincount(which[own[w.owner]], minlength=len(distinct))
                 found.append(distinct[seen > 0])
                 counts.append(seen[seen > 0])
-                if sum(map(len, found)) > 1_500_000:
+                if sum(map(len, found)) > 2 * HELD_WORDS:
                     keys, totals = merged()
                     found, counts = [keys], [totals]
-                    if len(keys) > 1_000_000:
-                        yield rows(WORDS, len(keys), key=keys.view(np.int64), n=totals)
+                    if len(keys) > HELD_WORDS:
+                        yield from handed(keys, totals)
                         found, counts = [], []
                 if len(which):
                     pairs, tf = np.unique(w.owner * len(distinct) + which, return_counts=True)
@@ -394,8 +401,7 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, learn, path: str, shard
         if asked:
             yield from ask(chunk, asked)
         if found:
-            keys, totals = merged()
-            yield rows(WORDS, len(keys), key=keys.view(np.int64), n=totals)
+            yield from handed(*merged())
         at = np.flatnonzero(singles)
         if len(at):
             kinds["ids"] = kinds["ids"] or pa.list_(pa.null())
