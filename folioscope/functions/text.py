@@ -418,3 +418,79 @@ def code_language(c: Column) -> Column:
     opens = c.rlike(rf"(?m)^{WS}*(?:if |for |while |def |class |elif |else|try|except|with )[^\n]*:[\t\r ]*$")
     json = c.rlike(rf"^{WS}*[{{\[]") & c.contains('":')
     return F.when(json, "json").when(cpp >= 2, "cpp").when((python >= 2) | ((python >= 1) & opens), "python")
+
+
+# What a font's name says of its style, and the bits of its flags.
+BOLD_NAMES = ["Bold", "Black", "Heavy", "Semibold", "Demibold"]
+ITALIC_NAMES = ["Italic", "Oblique"]
+MONO_NAMES = ["Courier", "Mono", "Consolas", "Menlo", "Source Code", "Inconsolata", "Hack", "Fira Code"]
+FIXED_PITCH, ITALIC, FORCE_BOLD = 1, 64, 262144
+
+
+def _styled(names: list[str], flag: int, name: Column, flags: Column) -> Column:
+    return F.coalesce(name.rlike("|".join(names)), F.lit(False)) | F.coalesce(flags.bitwiseAND(F.lit(flag)) != 0, F.lit(False))
+
+
+def is_bold(name: Column, flags: Column, weight: Column) -> Column:
+    return _styled(BOLD_NAMES, FORCE_BOLD, name, flags) | F.coalesce(weight >= 600, F.lit(False))
+
+
+def is_italic(name: Column, flags: Column) -> Column:
+    return _styled(ITALIC_NAMES, ITALIC, name, flags)
+
+
+def is_mono(name: Column, flags: Column) -> Column:
+    return _styled(MONO_NAMES, FIXED_PITCH, name, flags)
+
+
+def link(inner: Column, url: Column) -> Column:
+    """A Markdown link; the address in angle brackets where it has blanks or round brackets."""
+    broken = url.rlike(r"[ \t()]")
+    return F.concat(F.lit("["), inner, F.when(broken, "](<").otherwise("]("), url, F.when(broken, ">)").otherwise(")"))
+
+
+def style(inner: Column, bold: Column, italic: Column, mono: Column, strike: Column) -> Column:
+    """Markdown signs around a run of text: code wins over emphasis, strike-out is outermost. The
+    fence of code is longer than any run of backticks inside."""
+    longest = F.array_max(F.transform(F.regexp_extract_all(inner, F.lit("`+"), F.lit(0)), lambda r: F.length(r)))
+    fence = F.rpad(F.lit(""), F.coalesce(longest, F.lit(0)) + 1, F.lit("`"))
+    code = F.when(longest.isNull(), F.concat(F.lit("`"), inner, F.lit("`"))).otherwise(F.concat(fence, F.lit(" "), inner, F.lit(" "), fence))
+    sign = F.when(bold & italic, "***").when(bold, "**").when(italic, "*").otherwise("")
+    told = F.when(mono, code).otherwise(F.concat(sign, inner, sign))
+    return F.when(strike, F.concat(F.lit("~~"), told, F.lit("~~"))).otherwise(told)
+
+
+def plain_punctuation(c: Column) -> Column:
+    """Typographic quotes, primes and dashes as ASCII."""
+    c = F.regexp_replace(c, "[\u2018\u2019\u201a\u2032]", "'")
+    c = F.regexp_replace(c, "[\u201c\u201d\u201e\u2033]", '"')
+    return F.regexp_replace(c, "[\u2010-\u2015\u2212]", "-")
+
+
+def narrow_spaces(c: Column, least: int, width: int) -> Column:
+    """Runs of ``least`` blanks or more become ``width`` of them."""
+    return F.regexp_replace(c, f" {{{least},}}", " " * width)
+
+
+def clean_ocr(c: Column) -> Column:
+    """Brackets and bars around a number are what was read of a table's borders; a pair of round
+    brackets right around it makes it negative and stays."""
+    t = trim(c)
+    core = trim(F.regexp_replace(t, r"^[|\[\](){}]+|[|\[\](){}]+$", ""))
+    number = core.rlike(r"^[0-9,. %\-+*/]+$") | core.isin("N/A", "Z", "-")
+    place = F.instr(t, core)
+    before, after = F.substr(t, place - 1, F.lit(1)), F.substr(t, place + F.length(core), F.lit(1))
+    negative = (place > 1) & (before == "(") & (after == ")")
+    return F.when(core == "", t).when(number & negative, F.concat(F.lit("("), core, F.lit(")"))).when(number, core).otherwise(t)
+
+
+def markdown_heading(c: Column) -> Column:
+    """(level, title) of a Markdown heading of up to six signs, or null."""
+    pattern = r"^(#{1,6})([\t\n\f\r ].*)$"
+    return F.when(c.rlike(pattern), F.struct(F.length(F.regexp_extract(c, pattern, 1)).alias("level"), F.regexp_extract(c, pattern, 2).alias("title")))
+
+
+def content_length(c: Column) -> Column:
+    """Characters but for white space, code fences and rules of five dashes."""
+    bare = F.regexp_replace(c, r"(?m)^\s*```[a-zA-Z]*\s*$", "")
+    return F.length(F.regexp_replace(F.replace(bare, F.lit("-----"), F.lit("")), WS, ""))

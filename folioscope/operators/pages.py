@@ -337,3 +337,74 @@ def pipe_tables(cells: DataFrame, keys: list[str]) -> DataFrame:
     head = F.col("row") == F.min("row").over(W.partitionBy(*keys))
     ruled = F.when(head, F.concat(line, F.lit("\n|"), F.expr("repeat('---|', cast(row_width as int))"))).otherwise(line)
     return row.withColumn("row_line", ruled).groupBy(*keys).agg(F.array_join(_in_order("row", F.col("row_line")), "\n").alias("markdown"))
+
+
+def horizontal_rules(strokes: DataFrame, lines: DataFrame, width: float) -> DataFrame:
+    """(doc_id, page_number, y, x0, x1) of level strokes that divide a page.
+
+    Two points thick and askew at most, three tenths of the page wide, and not the underline of
+    a line: within three points of its bottom and inside its box but for two points.
+    """
+    level = strokes.select(*PAGE, F.expr("(sy1 + sy2) / 2").alias("y"), F.least("sx1", "sx2").alias("x0"), F.greatest("sx1", "sx2").alias("x1"), F.abs(F.expr("sy2 - sy1")).alias("rise"), "stroke")
+    wide = level.where((F.col("rise") <= 2) & (F.col("stroke") <= 2) & (F.expr("x1 - x0") >= 0.3 * width)).select(*PAGE, "y", "x0", "x1").distinct()
+    own = lines.select(*(F.col(c).alias(f"l_{c}") for c in PAGE), F.expr("y + height").alias("bottom"), F.col("x").alias("lx"), F.expr("x + width").alias("lr"))
+    under = F.expr("doc_id = l_doc_id AND page_number = l_page_number AND abs(y - bottom) < 3 AND x0 >= lx - 2 AND x1 <= lr + 2")
+    return wide.join(own, under, "left_anti")
+
+
+def uncovered_area(paths: DataFrame, items: DataFrame, cell: float = 96.0) -> DataFrame:
+    """(doc_id, page_number, uncovered): area of filled paths (doc_id, page_number, path, px, py,
+    pw, ph) that no item lies over; overlaps add up, to a path's own area at most."""
+    cells = lambda df, x, y, w, h: df.withColumn("cx", F.explode(F.sequence(F.floor(F.col(x) / cell), F.floor((F.col(x) + F.col(w)) / cell)))).withColumn(
+        "cy", F.explode(F.sequence(F.floor(F.col(y) / cell), F.floor((F.col(y) + F.col(h)) / cell)))
+    )
+    a, b = cells(paths, "px", "py", "pw", "ph").alias("a"), cells(items.select(*PAGE, "x", "y", "width", "height"), "x", "y", "width", "height").alias("b")
+    left, top = F.greatest("a.px", "b.x"), F.greatest("a.py", "b.y")
+    ix, iy = F.least(F.expr("a.px + a.pw"), F.expr("b.x + b.width")) - left, F.least(F.expr("a.py + a.ph"), F.expr("b.y + b.height")) - top
+    once = (F.floor(left / cell) == F.col("a.cx")) & (F.floor(top / cell) == F.col("a.cy"))
+    met = a.join(b, F.expr("a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.cx = b.cx AND a.cy = b.cy") & (ix > 0) & (iy > 0) & once)
+    covered = met.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.page_number").alias("page_number"), F.col("a.path").alias("path")).agg(F.sum(ix * iy).alias("covered"))
+    each = paths.where("pw * ph > 0").join(covered, [*PAGE, "path"], "left")
+    return each.groupBy(*PAGE).agg(F.sum(F.greatest(F.lit(0.0), F.expr("pw * ph") - F.coalesce("covered", F.lit(0.0)))).alias("uncovered"))
+
+
+def splice_soft_hyphens(blocks: DataFrame, key: str) -> DataFrame:
+    """Paragraphs that end in a cut word take the next one in, if that begins in lower case; runs
+    of such pieces become one block. ``blocks``: (key, idx, kind, text)."""
+    order = W.partitionBy(key).orderBy("idx")
+    before = lambda c: F.lag(c).over(order)
+    joins = F.coalesce((F.col("kind") == "paragraph") & (before("kind") == "paragraph") & T.is_soft_break(before("text"), F.col("text")), F.lit(False))
+    told = blocks.withColumn("new", (~joins).cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    text = F.aggregate(_in_order("idx", F.col("text")), F.lit(None).cast("string"), lambda held, t: F.when(held.isNull(), t).otherwise(F.concat(F.regexp_replace(held, f"-{T.WS}*$", ""), t)))
+    return told.groupBy(key, "run").agg(F.min("idx").alias("idx"), F.first("kind").alias("kind"), text.alias("text")).drop("run")
+
+
+def html_tables(cells: DataFrame, keys: list[str], header_rows: int = 1) -> DataFrame:
+    """(keys, html) of cells (keys, row, col, text, colspan, rowspan); the first rows are heads."""
+    tag = F.when(F.col("row") < header_rows, "th").otherwise("td")
+    span = lambda name: F.when(F.col(name) > 1, F.concat(F.lit(f' {name}="'), F.col(name).cast("string"), F.lit('"'))).otherwise("")
+    one = F.concat(F.lit("\n<"), tag, span("colspan"), span("rowspan"), F.lit(">"), T.escape_html(F.col("text")), F.lit("</"), tag, F.lit(">"))
+    row = cells.groupBy(*keys, "row").agg(F.concat(F.lit("\n<tr>"), F.array_join(_in_order("col", one), ""), F.lit("\n</tr>")).alias("row_html"))
+    return row.groupBy(*keys).agg(F.concat(F.lit("<table>"), F.array_join(_in_order("row", F.col("row_html")), ""), F.lit("\n</table>")).alias("html"))
+
+
+def outline_levels(lines: DataFrame, outline: DataFrame, page_height: float) -> DataFrame:
+    """(doc_id, page_number, band, level): lines that a bookmark points at.
+
+    ``outline``: (doc_id, page_number, entry, title, level, y_top). Within one and a half line
+    heights of it, and one text begins with the other; the first bookmark counts.
+    """
+    told = outline.select(*(F.col(c).alias(f"o_{c}") for c in PAGE), "entry", F.lower(T.collapse(F.col("title"))).alias("o_key"), "level", "y_top")
+    own = lines.select(*PAGE, "band", "y", "height", F.lower(T.collapse(F.col("text"))).alias("key")).where("key <> ''")
+    near = F.expr("doc_id = o_doc_id AND page_number = o_page_number AND abs(y - y_top) <= 1.5 * height AND o_key <> '' AND (startswith(key, o_key) OR startswith(o_key, key))")
+    met = own.join(told, near)
+    return met.groupBy(*PAGE, "band").agg(F.min(F.struct("entry", "level"))["level"].alias("level"))
+
+
+def structure_levels(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, page_number, band, level): lines whose marked content a heading node holds, the
+    first of them. ``lines``: (doc_id, page_number, band, mcid); ``nodes``: (doc_id, page_number,
+    node, role, mcids)."""
+    level = T.heading_role(F.col("role"))
+    each = nodes.withColumn("level", level).where("level IS NOT NULL").select(*PAGE, "node", "level", F.explode("mcids").alias("mcid"))
+    return lines.join(each, [*PAGE, "mcid"]).groupBy(*PAGE, "band").agg(F.min(F.struct("node", "level"))["level"].alias("level"))
