@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import layout as L
-from folioscope.plans import more, pages, shapes, styles  # noqa: F401  register their queries
+from folioscope.plans import more, pages, rest, shapes, styles  # noqa: F401  register their queries
 from folioscope.plans import specimens as X
 from folioscope.plans.registry import ORACLES, QUERIES, query
 from folioscope.sources import typeset as S
