@@ -5,6 +5,8 @@ Each group is one page (or one list of lines), so its size doesn't grow with the
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,3 +167,117 @@ def first_cuts(items: DataFrame) -> DataFrame:
 
     own = items.select("doc_id", "page_number", "text", "x", "y", "width", "height")
     return own.groupBy("doc_id", "page_number").applyInArrow(run, f"doc_id {doc_type}, page_number int, axis string, position double, score double")
+
+
+# Play of tops, heights and gaps between pieces of one run; overlap of two items of
+# one line; how much taller than its smallest item a line may be; blank lines at most.
+RUN_PLAY, RUN_GAP, OVERLAP, TALL, TALL_LEAST, BLANKS = 0.1, (-0.5, 0.1), 5.0, 1.8, 0.6, 10
+NUMBER = re.compile(r"^\$?-?[0-9,]*(?:\.[0-9,]*)?%?$")
+
+
+def is_number_cell(text: str) -> bool:
+    """A figure of two signs or more, with its separators and marks."""
+    bare = text.strip().rstrip("*†‡ \t")
+    return len(bare) > 1 and any("0" <= c <= "9" for c in bare) and NUMBER.match(bare) is not None
+
+
+def _middle(values: list[float]) -> float:
+    """The median; the mean of the middle two."""
+    v = sorted(values)
+    return (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 if v else 0.0
+
+
+def _box(a: dict, b: dict) -> dict:
+    x, y = min(a["x"], b["x"]), min(a["y"], b["y"])
+    return {"x": x, "y": y, "width": max(a["x"] + a["width"], b["x"] + b["width"]) - x, "height": max(a["y"] + a["height"], b["y"] + b["height"]) - y}
+
+
+def form_lines(items: list[dict]) -> list[list[dict]]:
+    """The items of a page as lines from the top, each from the left.
+
+    In the order of (y, x) pieces of one run grow together first. An item joins the line at hand
+    if it overlaps none of its items, the line wouldn't become too tall, and its top or its middle
+    lies within the line. Inside a line neighbours a point apart or less become one word, unless
+    both are figures or two letters stand apart.
+    """
+    runs: list[dict] = []
+    for item in sorted(items, key=lambda i: (round(i["y"] * 1000), i["x"])):
+        last = runs[-1] if runs else None
+        if last and abs(item["y"] - last["y"]) <= RUN_PLAY and abs(item["height"] - last["height"]) <= RUN_PLAY and RUN_GAP[0] <= item["x"] - last["x"] - last["width"] < RUN_GAP[1]:
+            runs[-1] = last | _box(last, item) | {"text": last["text"] + item["text"]}
+        else:
+            runs.append(dict(item))
+    height = _middle([i["height"] for i in items])
+    width = _middle([i["width"] / max(1, len(i["text"])) for i in items])
+    lines: list[list[dict]] = []
+    top = bottom = 0.0
+    for item in runs:
+        if lines:
+            line, low = lines[-1], item["y"] + item["height"]
+            clash = any(min(o["x"] + o["width"], item["x"] + item["width"]) - max(o["x"], item["x"]) > max(OVERLAP, width / 3) for o in line)
+            told = [o["height"] for o in line if (o["font_size"] or 0) > 1.5 or o["height"] < height]
+            most = max(TALL * min(told), TALL_LEAST * height) if told else TALL * height
+            within = top <= item["y"] + item["height"] / 2 <= bottom or top <= item["y"] <= bottom
+            if within and not clash and max(bottom, low) - min(top, item["y"]) <= most:
+                line.append(item)
+                top, bottom = min(top, item["y"]), max(bottom, low)
+                continue
+        lines.append([item])
+        top, bottom = item["y"], item["y"] + item["height"]
+    out = []
+    for line in sorted((sorted(line, key=lambda i: i["x"]) for line in lines), key=lambda line: line[0]["y"]):
+        joined: list[dict] = []
+        for item in line:
+            last = joined[-1] if joined else None
+            gap = item["x"] - last["x"] - last["width"] if last else 0.0
+            if last and abs(item["y"] - last["y"]) <= 1.5 and gap <= 1 and last["text"] and item["text"]:
+                figures = is_number_cell(last["text"]) and is_number_cell(item["text"])
+                apart = gap > 0 and last["text"][-1].isalpha() and item["text"][0].isalpha()
+                if not figures and not apart:
+                    joined[-1] = last | _box(last, item) | {"text": last["text"] + item["text"]}
+                    continue
+            joined.append(item)
+        out.append(joined)
+    return out
+
+
+def render_lines(lines: list[list[dict]], char_width: float, height: float) -> str:
+    """Lines as text: items where their left edge puts them in a grid of characters, a blank at
+    least between two that are over two points apart, blank lines where the gap below is wide."""
+    if not lines:
+        return ""
+    left = min(i["x"] for line in lines for i in line)
+    rows: list[str] = []
+    before = None
+    for line in lines:
+        y, tall = min(i["y"] for i in line), max(i["height"] for i in line)
+        if before is not None:
+            step, unit = y - before[0], max(height, min(before[1], tall), 1.0)
+            if step > unit:
+                rows += [""] * (min(max(round(step / unit) - 1, 1), BLANKS) if step > 1.5 * unit else 0)
+        text, last = "", None
+        for item in line:
+            gap = item["x"] - last["x"] - last["width"] if last else 0.0
+            column = int((item["x"] - left) / max(char_width, 0.1))
+            text = text.ljust(column if last is None or gap > 2 * char_width else 0)
+            text += (" " if last is not None and gap > 2 and not text.endswith(" ") else "") + item["text"]
+            last = item
+        rows.append(text.rstrip())
+        before = (y, tall)
+    return "\n".join(rows)
+
+
+def project_to_grid(items: DataFrame) -> DataFrame:
+    """(doc_id, page_number, n_lines, text): each page as text in a grid of characters."""
+    doc_type = items.schema["doc_id"].dataType.simpleString()
+
+    def run(page: pa.Table) -> pa.Table:
+        rows = page.to_pylist()
+        lines = form_lines(rows)
+        width = _middle([r["width"] / max(1, len(r["text"])) for r in rows])
+        text = render_lines(lines, width, _middle([r["height"] for r in rows]))
+        keys = {c: pa.array([rows[0][c]], page.schema.field(c).type) for c in ("doc_id", "page_number")}
+        return pa.table(keys | {"n_lines": pa.array([len(lines)], pa.int64()), "text": pa.array([text], pa.string())})
+
+    own = items.select("doc_id", "page_number", "text", "x", "y", "width", "height", "font_size")
+    return own.groupBy("doc_id", "page_number").applyInArrow(run, f"doc_id {doc_type}, page_number int, n_lines long, text string")

@@ -146,6 +146,19 @@ def xy_find_best_cut(spark, d):
     return K.first_cuts(split)
 
 
+@query(f"""{Q.ITEMS} SELECT doc_id, page_number, count(*) AS n_lines, sum(length(text))::BIGINT AS ink FROM (
+  SELECT i.doc_id, i.page_number, y, string_agg(text, '') AS text FROM items i GROUP BY ALL) GROUP BY ALL""")
+def form_lines(spark, d):
+    """Lines of each page and their characters without blanks: rows of typeset pages don't mix."""
+    told = K.project_to_grid(Q.items(spark, d))
+    return told.select("doc_id", "page_number", "n_lines", F.length(F.regexp_replace("text", "[ \n]", "")).cast("long").alias("ink"))
+
+
+@query()
+def project_pages_to_grid(spark, d):
+    return K.project_to_grid(Q.items(spark, d))
+
+
 # Numbers and paths made from orders.
 PATHS = "CASE o_orderkey % 8 WHEN 0 THEN '/in/a/b' || k || '.PDF' WHEN 1 THEN '/in/' || k || '.tar.gz' WHEN 2 THEN '/in/x.d/' || k WHEN 3 THEN '/other/' || k || '.docx' WHEN 4 THEN '/in/.hidden' WHEN 5 THEN '/in/' || k || '.Csv' WHEN 6 THEN '/in/' || k || '.md' ELSE '/in/c/' || k || '.jpeg' END"
 SRC = f"WITH q AS (SELECT o_orderkey AS id, o_orderkey::STRING AS k, o_custkey AS c, o_orderpriority AS w FROM orders), p AS (SELECT q.*, {PATHS.replace('o_orderkey', 'id')} AS path FROM q)"

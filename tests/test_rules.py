@@ -69,6 +69,30 @@ def test_phrases_in_items():
     assert K.find_phrase(items, "") == [] and K.find_phrase([], "x") == []
 
 
+def item(text, x, y, width=None, height=10.0):
+    return {"text": text, "x": float(x), "y": float(y), "width": float(width or 5 * len(text)), "height": height, "font_size": height}
+
+
+def told(lines):
+    return [[i["text"] for i in line] for line in lines]
+
+
+def test_lines_of_items():
+    assert told(K.form_lines([item("b", 40, 0), item("a", 0, 0), item("c", 0, 14)])) == [["a", "b"], ["c"]]
+    assert told(K.form_lines([item("arch", 0, 0), item("itec", 20, 0), item("ture", 40.05, 0.05)])) == [["architecture"]]  # one run
+    assert told(K.form_lines([item("low", 0, 4), item("high", 60, 0)])) == [["low", "high"]]  # tops within each other's line
+    assert told(K.form_lines([item("a" * 10, 0, 0), item("over", 10, 4)])) == [["a" * 10], ["over"]]  # they overlap
+    assert told(K.form_lines([item("small", 0, 0), item("Tall", 60, 0, height=30.0)])) == [["small"], ["Tall"]]
+    assert told(K.form_lines([item("12", 0, 0), item("34", 10.5, 0), item("x", 30, 0), item(",", 35.5, 0)])) == [["12", "34", "x,"]]
+    assert told(K.form_lines([item("a", 0, 0), item("b", 5.5, 0)])) == [["a", "b"]] and K.form_lines([]) == []
+
+
+def test_text_grid():
+    lines = K.form_lines([item("name", 10, 0), item("price", 110, 0), item("pen", 10, 12), item("2.50", 110, 12), item("end", 10, 60)])
+    assert K.render_lines(lines, 5.0, 10.0) == "name                price\npen                 2.50\n\n\n\n\nend"
+    assert K.render_lines(K.form_lines([item("one", 0, 0), item("two", 18, 0)]), 5.0, 10.0) == "one two" and K.render_lines([], 5.0, 10.0) == ""
+
+
 def test_ordered_lists():
     a, i = "alpha-lower", "roman-lower"
     rows = [(0, 0.0, [(a, 1)]), (1, 20.0, [(a, 9), (i, 1)]), (2, 20.0, [(i, 2)]), (3, 0.0, [(a, 2)]), (4, 0.0, [("alpha-upper", 10)]), (20, 0.0, [(a, 3)]), (30, 0.0, [(a, 1)])]
