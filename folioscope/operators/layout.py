@@ -49,8 +49,11 @@ def strip_chrome(lines: DataFrame, least_share: float = 0.5, least: int = 2) ->
     """``lines`` without those in a band whose key is in the set of their source."""
     keys = header_footer_set(lines, least_share, least).select(F.col("source").alias("s"), F.col("key").alias("k")).distinct()
     top, bottom = F.col("line_no") / F.col("n_lines"), (F.col("line_no") + 1) / F.col("n_lines")
-    marked = lines.withColumn("key", F.when((top <= HEADER) | (bottom >= FOOTER), T.repetition_key(F.col("line"))))
-    return marked.join(keys, (F.col("source") == F.col("s")) & (F.col("key") == F.col("k")), "left_anti").drop("key")
+    inside = (top <= HEADER) | (bottom >= FOOTER)
+    # Lines outside the bands have no key; they stay out of the join, where one task would get them.
+    told = lines.where(inside).withColumn("key", T.repetition_key(F.col("line")))
+    kept = told.join(keys, (F.col("source") == F.col("s")) & (F.col("key") == F.col("k")), "left_anti").drop("key")
+    return lines.where(~inside).unionByName(kept)
 
 
 def garbled_items(items: DataFrame) -> DataFrame:

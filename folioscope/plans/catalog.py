@@ -119,39 +119,22 @@ def crop_filter(spark, d):
     return L.crop(_items(spark, d), 612.0, 792.0, 0.1, 0.1, 0.1, 0.1).select("doc_id", "page_number", "line_no", "word_no")
 
 
-LINKS = "SELECT doc_id, page_number, line_no AS link_id, min(x) AS lx, min(y) AS ly, 120.0 AS lw, 12.0 AS lh FROM items WHERE line_no % 4 = 0 GROUP BY doc_id, page_number, line_no"
+LINKS = "SELECT doc_id, page_number, line_no AS link_id, min(x) AS lx, min(y) AS ly, 120.0 AS lw, 12.0 AS lh FROM items GROUP BY doc_id, page_number, line_no"
 
 
 @query(f"""{I1}, links AS ({LINKS}) SELECT i.doc_id, i.page_number, i.line_no, i.word_no, min(link_id) AS link_id FROM items i JOIN links l
 ON i.doc_id = l.doc_id AND i.page_number = l.page_number AND x + width / 2 BETWEEN lx AND lx + lw AND y + height / 2 BETWEEN ly AND ly + lh GROUP BY ALL""")
 def assign_links(spark, d):
-    items = _items(spark, d)
-    group = items.where("line_no % 4 = 0").groupBy("doc_id", "page_number", F.col("line_no").alias("link_id"))
-    links = group.agg(F.min("x").alias("lx"), F.min("y").alias("ly")).withColumns({"lw": F.lit(120.0), "lh": F.lit(12.0)})
-    return L.assign_links(items, links)
-
-
-@query(ORACLES["assign_links"].replace(" WHERE line_no % 4 = 0", ""))
-def assign_links_all(spark, d):
-    """``assign_links`` with a link from every line."""
+    """A link from every line."""
     items = _items(spark, d)
     links = items.groupBy("doc_id", "page_number", F.col("line_no").alias("link_id")).agg(F.min("x").alias("lx"), F.min("y").alias("ly"))
     return L.assign_links(items, links.withColumns({"lw": F.lit(120.0), "lh": F.lit(12.0)}))
 
 
-@query(r"""WITH p AS (SELECT item_id, array_to_string(string_split(regexp_extract(text, '^[^\n]*'), ' ')[1:4], ' ') AS phrase FROM benchmark)
-SELECT doc_id, item_id, ((length(d.text) - length(replace(d.text, phrase, ''))) // length(phrase))::BIGINT AS hits FROM documents d JOIN p ON contains(d.text, phrase)
-WHERE phrase <> '' AND list_contains(regexp_split_to_array(d.text, '[ \n]+'), string_split(phrase, ' ')[1])""")
-def phrase_search(spark, d):
-    first = F.split(F.regexp_extract("text", "^[^\n]*", 0), " ")
-    phrases = S.read(spark, d, "benchmark").select("item_id", F.array_join(F.slice(first, 1, 4), " ").alias("phrase"))
-    return L.phrase_search(S.read(spark, d, "documents"), phrases)
-
-
 @query(r"""WITH p AS (SELECT item_id, regexp_extract(text, '^[^\n]*') AS phrase FROM benchmark)
 SELECT doc_id, item_id, ((length(d.text) - length(replace(d.text, phrase, ''))) // length(phrase))::BIGINT AS hits FROM documents d JOIN p ON contains(d.text, phrase)
 WHERE phrase <> ''""")
-def phrase_search_whole(spark, d):
+def phrase_search(spark, d):
     """The whole first line of each item, wherever it is in a text."""
     phrases = S.read(spark, d, "benchmark").select("item_id", F.regexp_extract("text", "^[^\n]*", 0).alias("phrase"))
     return L.phrase_search(S.read(spark, d, "documents"), phrases)
@@ -165,7 +148,7 @@ def segments_preview_topk(spark, d):
     return L.segments_preview(S.segments(S.read(spark, d, "lineitem")))
 
 
-@query(f"""{G1}, pts AS (SELECT page, idx AS point, (x1 + x2) / 2 + 3 AS px, (y1 + y2) / 2 + 2 AS py FROM segments WHERE idx <= 60),
+@query(f"""{G1}, pts AS (SELECT page, idx AS point, (x1 + x2) / 2 + 3 AS px, (y1 + y2) / 2 + 2 AS py FROM segments),
 n AS (SELECT p.page, point, idx, x1, y1, px, py, x2 - x1 AS dx, y2 - y1 AS dy FROM pts p JOIN segments s ON p.page = s.page
   AND px BETWEEN least(x1, x2) - 40 AND greatest(x1, x2) + 40 AND py BETWEEN least(y1, y2) - 40 AND greatest(y1, y2) + 40),
 t AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((px - x1) * dx + (py - y1) * dy) / (dx * dx + dy * dy))) ELSE 0.0::DOUBLE END AS t FROM n),
@@ -173,14 +156,7 @@ e AS (SELECT *, round(sqrt((px - x1 - t * dx) * (px - x1 - t * dx) + (py - y1 -
 b AS (SELECT *, row_number() OVER (PARTITION BY page, point ORDER BY distance, idx) AS k FROM e WHERE distance <= 40)
 SELECT page, point, idx, distance, round(100 * (1 - distance / 40))::INT AS confidence FROM b WHERE k = 1""")
 def nearest_labels(spark, d):
-    segments = S.segments(S.read(spark, d, "lineitem"))
-    points = segments.where("idx <= 60").selectExpr("page", "idx AS point", "(x1 + x2) / 2 + 3 AS px", "(y1 + y2) / 2 + 2 AS py")
-    return L.nearest_segments(points, segments)
-
-
-@query(ORACLES["nearest_labels"].replace(" WHERE idx <= 60", ""))
-def nearest_labels_all(spark, d):
-    """``nearest_labels`` with a point from every segment."""
+    """A point from every segment."""
     segments = S.segments(S.read(spark, d, "lineitem"))
     points = segments.selectExpr("page", "idx AS point", "(x1 + x2) / 2 + 3 AS px", "(y1 + y2) / 2 + 2 AS py")
     return L.nearest_segments(points, segments)

@@ -73,5 +73,5 @@ def test_phrases_behind_other_signs(spark):
 
 
 def test_every_line_and_segment_is_asked(spark):
-    assert catalog.QUERIES["nearest_labels_all"](spark, DATA).agg({"point": "max"}).first()[0] > 60
-    assert catalog.QUERIES["assign_links_all"](spark, DATA).where("link_id % 4 <> 0").count() > 0
+    assert catalog.QUERIES["nearest_labels"](spark, DATA).agg({"point": "max"}).first()[0] > 60
+    assert catalog.QUERIES["assign_links"](spark, DATA).where("link_id % 4 <> 0").count() > 0
