@@ -6,11 +6,15 @@ spatial predicates are joined by grid cells, never by a cross join.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.operators import paged as G
 
 HEADER, FOOTER = 0.12, 0.88
 
@@ -107,31 +111,56 @@ def is_upright(rotation: Column, within: float = 2.0) -> Column:
     return F.abs(rotation - F.floor(rotation / 90 + 0.5) * 90) <= within
 
 
-def overlap_dedup(items: DataFrame, cell_x: float = 48.0, cell_y: float = 16.0) -> DataFrame:
+def _covered(page: np.ndarray, order: np.ndarray, text: np.ndarray, x: np.ndarray, y: np.ndarray, width: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """Which rows a later one (by ``order``) of their page covers.
+
+    In the order of tops each row meets those that begin above its bottom: all rows' first next
+    one, then their second, and so on, so memory follows the rows and not the pairs.
+    """
+    sort = np.lexsort((y, page))
+    page, order, text, x, y, width, height = (c[sort] for c in (page, order, text, x, y, width, height))
+    right, bottom, area = x + width, y + height, width * height
+    gone, at, step = np.zeros(len(page), bool), np.arange(len(page)), 1
+    while len(at):
+        at = at[at + step < len(page)]
+        b = at + step
+        near = (page[b] == page[at]) & (y[b] < bottom[at])
+        at, b = at[near], b[near]
+        ix = np.minimum(right[at], right[b]) - np.maximum(x[at], x[b])
+        met = ix > 0
+        p, q, ix = at[met], b[met], ix[met]
+        iy = np.minimum(bottom[p], bottom[q]) - np.maximum(y[p], y[q])
+        small, large = np.minimum(area[p], area[q]), np.maximum(area[p], area[q])
+        covers = (iy > 0) & (ix * iy > 0.5 * small) & ((text[p] == text[q]) | (large <= 5 * small))
+        p, q = p[covers], q[covers]
+        gone[p[order[p] < order[q]]] = True
+        gone[q[order[q] < order[p]]] = True
+        step += 1
+    out = np.empty(len(gone), bool)
+    out[sort] = gone
+    return out
+
+
+def overlap_dedup(items: DataFrame, together: bool = False) -> DataFrame:
     """Items that no later one of the page covers: intersection over half of the smaller area, and
     the same text or areas within a factor of five. Items that stand aslant (``rotation``, where
     there is one) neither cover nor are covered.
 
-    Candidates meet in the grid cell that holds the upper left corner of their intersection, so
-    each pair is judged once. Both sides share one exchange.
+    Each page is judged in one kernel, so no item travels more than once; where pages stand
+    ``together`` none does.
     """
-    keys = ("doc_id", "page_number", "idx")
-    upright = items.where(is_upright(F.coalesce("rotation", F.lit(0.0)))) if "rotation" in items.columns else items
-    span = lambda a, b, cell: F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(a) + F.col(b)) / cell))
-    cells = upright.select(*keys, "text", "x", "y", "width", "height", F.explode(span("x", "width", cell_x)).alias("cx"))
-    cells = cells.withColumn("cy", F.explode(span("y", "height", cell_y)))
-    a, b = cells.alias("a"), cells.alias("b")
-    left, top = F.greatest("a.x", "b.x"), F.greatest("a.y", "b.y")
-    ix = F.least(F.expr("a.x + a.width"), F.expr("b.x + b.width")) - left
-    iy = F.least(F.expr("a.y + a.height"), F.expr("b.y + b.height")) - top
-    area_a, area_b = F.expr("a.width * a.height"), F.expr("b.width * b.height")
-    meets = F.expr("a.doc_id = b.doc_id AND a.page_number = b.page_number AND a.cx = b.cx AND a.cy = b.cy AND b.idx > a.idx")
-    once = (F.floor(left / cell_x) == F.col("a.cx")) & (F.floor(top / cell_y) == F.col("a.cy"))
-    covers = (ix > 0) & (iy > 0) & (ix * iy > 0.5 * F.least(area_a, area_b)) & (
-        F.expr("a.text = b.text") | (F.greatest(area_a, area_b) <= 5 * F.least(area_a, area_b))
-    )
-    gone = a.join(b, meets & once & covers, "left_semi").select(*keys)
-    return items.join(gone, list(keys), "left_anti")
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        page = G.groups(starts, table.num_rows)
+        flat = np.ones(table.num_rows, bool)
+        if "rotation" in table.column_names:
+            turn = pc.fill_null(table.column("rotation").cast(pa.float64()), 0.0).to_numpy()
+            flat = np.abs(turn - np.floor(turn / 90 + 0.5) * 90) <= 2.0
+        own = np.flatnonzero(flat)
+        gone = _covered(page[own], G.array(table, "idx")[own], G.codes(table.column("text"))[own], *(G.array(table, c)[own] for c in ("x", "y", "width", "height")))
+        return table.take(pa.array(np.setdiff1d(np.arange(table.num_rows), own[gone], True)))
+
+    return G.by_page(items, ("doc_id", "page_number"), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields), together)
 
 
 def crop(items: DataFrame, width: float, height: float, left=0.0, top=0.0, right=0.0, bottom=0.0) -> DataFrame:

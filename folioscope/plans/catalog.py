@@ -110,7 +110,7 @@ SELECT doc_id, page_number, count(*) AS kept, sum(idx)::BIGINT AS idx_sum FROM d
     AND (a.text = b.text OR greatest(a.width * a.height, b.width * b.height) <= 5 * least(a.width * a.height, b.width * b.height)))
 GROUP BY doc_id, page_number""")
 def overlap_dedup(spark, d):
-    kept = L.overlap_dedup(S.shifted_copies(_items(spark, d)))
+    kept = L.overlap_dedup(S.shifted_copies(_items(spark, d).select("doc_id", "page_number", "line_no", "word_no", "text", "x", "y", "width", "height")), together=True)
     return kept.groupBy("doc_id", "page_number").agg(F.count("*").alias("kept"), F.sum("idx").cast("long").alias("idx_sum"))
 
 
