@@ -112,10 +112,19 @@ def clip(x1: Column, y1: Column, x2: Column, y2: Column, box: tuple[float, float
 
 
 def circle_of(xs: Column, ys: Column) -> Column:
-    """(cx, cy, radius) of points whose distances from their mean vary by a twentieth at most."""
-    n = F.size(xs)
-    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / n
-    far = F.transform(F.arrays_zip(xs.alias("x"), ys.alias("y")), lambda p: F.sqrt(F.pow(p["x"] - mean(xs), 2) + F.pow(p["y"] - mean(ys), 2)))
-    radius = mean(far)
-    spread = F.sqrt(F.aggregate(far, F.lit(0.0), lambda s, v: s + F.pow(v - radius, 2)) / n)
-    return F.when((radius > 0) & (spread / radius <= 0.05), F.struct(mean(xs).alias("cx"), mean(ys).alias("cy"), radius.alias("radius")))
+    """(cx, cy, radius) of points whose distances from their mean vary by a twentieth at most.
+
+    What later steps use again is bound to a lambda's variable: written out, each mean would be
+    worked out anew for every point.
+    """
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    off = lambda p, m: F.sqrt(F.pow(p["x"] - m["x"], 2) + F.pow(p["y"] - m["y"], 2))
+
+    def told(m: Column, far: Column, radius: Column) -> Column:
+        spread = F.sqrt(F.aggregate(far, F.lit(0.0), lambda s, v: s + F.pow(v - radius, 2)) / F.size(far))
+        return F.when((radius > 0) & (spread / radius <= 0.05), F.struct(m["x"].alias("cx"), m["y"].alias("cy"), radius.alias("radius")))
+
+    points = F.arrays_zip(xs.alias("x"), ys.alias("y"))
+    middle = F.struct(mean(xs).alias("x"), mean(ys).alias("y"))
+    return bound(middle, lambda m: bound(F.transform(points, lambda p: off(p, m)), lambda far: bound(mean(far), lambda radius: told(m, far, radius))))

@@ -52,3 +52,8 @@ def test_overlaps_by_loop(spark):
     assert {(r.doc_id, r.idx) for r in L.overlap_dedup(made).collect()} == want and len(want) < 600
     told = plan(catalog.QUERIES["overlap_dedup"](spark, DATA))
     assert "Join" not in told and told.count("RepartitionByExpression") == 1
+
+
+def test_circle_means_are_worked_out_once(spark):
+    shown = plan(catalog.QUERIES["circularity"](spark, DATA))
+    assert shown.count("aggregate(") <= 4
