@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import time
 
+from folioscope.operators import kernels as K
 from folioscope.operators import layout as L
 from folioscope.plans import catalog
 from folioscope.sources import typeset as S
@@ -57,3 +59,41 @@ def test_overlaps_by_loop(spark):
 def test_circle_means_are_worked_out_once(spark):
     shown = plan(catalog.QUERIES["circularity"](spark, DATA))
     assert shown.count("aggregate(") <= 4
+
+
+def test_page_kernels_by_loop(spark):
+    """Plain, crowded and lone-item pages; words are dealt out and come back in no order."""
+    rng, rows = random.Random(3), []
+    for d in range(40):
+        for k in range(1 if d == 0 else 60):
+            text = rng.choice(["the", "of", "end ", "12", "a", "othe", "\u03a3o"])
+            if d % 2:  # set in rows
+                x, y, h = 30.0 + k % 6 * 60 + (k // 6 % 3) * 7, 20.0 + k // 6 * 14 + (40 if k > 30 else 0), 10.0
+            else:
+                x, y, h = rng.random() * 300, rng.choice([10.0, 10.05, 14.0, 30.0, 62.0, 90.5]), rng.choice([0.5, 9.0, 10.0, 30.0])
+            rows.append((d, 1, k // 6, k % 6, text, x, y, 6.0 * len(text), h, rng.choice([None, 10.0, 12.0])  if d % 4 == 0 else 10.0))
+    names = "doc_id long, page_number int, line_no int, word_no int, text string, x double, y double, width double, height double, font_size double"
+    made = spark.createDataFrame(rows, names).orderBy("text", "x", "word_no", "line_no", "doc_id")
+    keys = [c.split()[0] for c in names.split(", ")]
+    pages = {d: [dict(zip(keys, r, strict=True)) for r in rows if r[0] == d] for d in range(40)}
+    grid = {r.doc_id: (r.n_lines, r.text) for r in K.project_to_grid(made).collect()}
+    found = {(r.doc_id, r.phrase, r.x, r.y, r.width, r.height) for r in K.search_items(made, ["the of", "END", "\u03c3o", ""]).collect()}
+    cuts = {(r.doc_id, r.axis): (r.position, r.score) for r in K.first_cuts(made).collect()}
+    want = set()
+    for d, own in pages.items():
+        lines = K.form_lines(own)
+        assert d % 2 == 0 or grid[d] == (len(lines), K.render_lines(lines, K._middle([i["width"] / len(i["text"]) for i in own]), K._middle([i["height"] for i in own])))
+        assert grid[d][0] == len(lines) or d % 2 == 0
+        want |= {(d, p, *place[:4]) for p in ("the of", "END", "\u03c3o") for place in K.find_phrase(own, p)}
+        tall = sorted(i["height"] for i in own)[len(own) // 2]
+        for axis, c, s, least in (("vertical", "x", "width", 8.0), ("horizontal", "y", "height", 1.4 * tall)):
+            low = min(i[c] for i in own)
+            cut = K.best_cut([(i[c], i[c] + i[s], len(i["text"])) for i in own], low, max(i[c] + i[s] for i in own) - low, least)
+            assert cuts.get((d, axis)) == cut
+    assert found == want and want and cuts
+
+
+def test_long_lists_are_linear():
+    began = time.process_time()
+    kept = K.chain_markers([(20 * n, 0.0, [("alpha_lower", 1)]) for n in range(60000)])
+    assert kept == [] and time.process_time() - began < 5
