@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.operators.staging import staged
+from folioscope.operators import kernels as K
 
 # Of pairs the largest angle in degrees, the least and largest offset and the
 # least overlap; of circles the largest distance of centres and the least difference of radii;
@@ -151,24 +151,10 @@ def measure(shapes: DataFrame, scale: float) -> DataFrame:
     return out.withColumns({"real_distance_mm": F.col("distance_mm") * scale, "real_area_mm2": F.col("area_mm2") * (scale * scale)})
 
 
-def vertex_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def vertex_components(edges: DataFrame) -> DataFrame:
     """(page, vertex, component): the smallest vertex that each vertex of a page is joined to.
-
-    ``edges``: (page, u, v). Labels spread along the edges and by pointers to labels of labels;
-    each round is written to the shared folder, so a lost executor repeats none.
-    """
-    both = staged(edges.select("page", F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("page", F.col("v"), F.col("u"))).distinct())
-    labels = both.groupBy("page", F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("vertex", "b"), ["page", "b"]).groupBy("page", F.col("a").alias("vertex")).agg(F.min("component").alias("least"))
-        far = labels.select("page", F.col("vertex").alias("component"), F.col("component").alias("jump"))
-        new = labels.join(near, ["page", "vertex"]).join(far, ["page", "component"], "left")
-        new = staged(new.select("page", "vertex", F.least("component", "least", F.coalesce("jump", "component")).alias("new"), "component"))
-        changed = not new.where("new <> component").isEmpty()
-        labels = new.select("page", "vertex", F.col("new").alias("component"))
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
+    ``edges``: (page, u, v)."""
+    return K.components(edges)
 
 
 def preview_polylines(polylines: DataFrame, most: int = 0, least: float = 0.01, box=None) -> DataFrame:

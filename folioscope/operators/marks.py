@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.operators.geometry import vertex_components
+from folioscope.operators.kernels import figures
 from folioscope.operators.pages import BACKGROUND, LEAST_IMAGE, PAGE
 
 #: Pixels of the largest render, and points of an inch.
@@ -85,17 +85,10 @@ def layout_reasons(columns: Column, ruled: Column, borderless: Column, figures:
     return F.array_join(F.array_compact(F.array(F.when(columns >= 2, "multi-column"), F.when(ruled + borderless > 0, "table-likely"), F.when(figures >= 0.2, "dense-graphics"))), ",")
 
 
-def figure_boxes(boxes: DataFrame, gap: float = 10.0, cell: float = 64.0) -> DataFrame:
+def figure_boxes(boxes: DataFrame, gap: float = 10.0) -> DataFrame:
     """(page, figure, bx0, by0, bx1, by1, n): boxes (page, idx, bx0, by0, bx1, by1) chained where
     neither axis parts them by more than ``gap``; figure: the first box of each."""
-    at = lambda low, high, slack: F.explode(F.sequence(F.floor((F.col(low) - slack) / cell), F.floor((F.col(high) + slack) / cell)))
-    a = boxes.withColumn("cx", at("bx0", "bx1", gap)).withColumn("cy", at("by0", "by1", gap)).alias("a")
-    b = boxes.withColumn("cx", at("bx0", "bx1", 0.0)).withColumn("cy", at("by0", "by1", 0.0)).alias("b")
-    near = F.expr(f"a.page = b.page AND a.cx = b.cx AND a.cy = b.cy AND a.idx < b.idx AND greatest(a.bx0 - b.bx1, b.bx0 - a.bx1) <= {gap} AND greatest(a.by0 - b.by1, b.by0 - a.by1) <= {gap}")
-    edges = a.join(b, near).select(F.col("a.page").alias("page"), F.col("a.idx").alias("u"), F.col("b.idx").alias("v")).distinct()
-    alone = boxes.select("page", F.col("idx").alias("u"), F.col("idx").alias("v"))
-    label = vertex_components(edges.union(alone)).withColumnsRenamed({"vertex": "idx", "component": "figure"})
-    return boxes.join(label, ["page", "idx"]).groupBy("page", "figure").agg(F.min("bx0").alias("bx0"), F.min("by0").alias("by0"), F.max("bx1").alias("bx1"), F.max("by1").alias("by1"), F.count("*").alias("n"))
+    return figures(boxes, gap)
 
 
 def clip(x1: Column, y1: Column, x2: Column, y2: Column, box: tuple[float, float, float, float]) -> Column:

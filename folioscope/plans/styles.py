@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.operators import kernels as K
 from folioscope.operators import pages as P
 from folioscope.plans import more as M
 from folioscope.plans import pages as Q
@@ -62,7 +63,7 @@ def detect_horizontal_rules(spark, d):
         F.min("x").alias("sx1"), F.expr("min(y) + 10 + line_no % 9").alias("sy1"), F.expr("min(x) + 150 + line_no % 5 * 40").alias("sx2"),
         F.expr("min(y) + 10 + line_no % 9 + line_no % 2").alias("sy2"), F.expr("CAST(line_no % 3 + 0.5 AS DOUBLE)").alias("stroke"),
     )
-    return P.horizontal_rules(strokes, P.lines_of(P.band_lines(own)), S.WIDTH)
+    return P.horizontal_rules(strokes, K.lines_of(own, together=True), S.WIDTH)
 
 
 @query(f"""{Q.ITEMS}, paths AS (SELECT doc_id, page_number, line_no AS path, min(x) + 20 AS px, min(y) - 5 AS py, 200.0::DOUBLE AS pw, (12 + line_no % 4 * 9)::DOUBLE AS ph FROM items WHERE line_no % 3 = 0 GROUP BY ALL),
@@ -99,7 +100,7 @@ m AS (SELECT r.doc_id, r.page_number, r.band, entry, level FROM (SELECT *, lower
   AND abs(r.y - y_top) <= 1.5 * height AND key <> '' AND okey <> '' AND (starts_with(key, okey) OR starts_with(okey, key)))
 SELECT doc_id, page_number, band, arg_min(level, entry)::INT AS level FROM m GROUP BY ALL""")
 def outline_heading_level(spark, d):
-    lines = P.lines_of(P.band_lines(Q.items(spark, d)))
+    lines = Q._lines(spark, d)
     outline = lines.where("band % 2 = 0").selectExpr("doc_id", "page_number", "band AS entry", "CASE WHEN band % 3 = 0 THEN left(text, 12) ELSE text || ' and more' END AS title", "band % 4 + 1 AS level", "y + band % 6 * 4 AS y_top")
     return P.outline_levels(lines, outline, S.HEIGHT)
 
