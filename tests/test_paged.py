@@ -7,6 +7,8 @@ import time
 
 from folioscope.operators import kernels as K
 from folioscope.operators import layout as L
+from folioscope.operators import pages as P
+from folioscope.operators import tables as B
 from folioscope.plans import catalog
 from folioscope.sources import typeset as S
 
@@ -97,3 +99,28 @@ def test_long_lists_are_linear():
     began = time.process_time()
     kept = K.chain_markers([(20 * n, 0.0, [("alpha_lower", 1)]) for n in range(60000)])
     assert kept == [] and time.process_time() - began < 5
+
+
+def test_lines_and_rows_in_one_pass(spark):
+    """The kernels tell what the relational operators do, on pages whose tops and sizes mix."""
+    rng, rows = random.Random(5), []
+    for d in range(12):
+        for k in range(50):
+            text = rng.choice(["a", "bc d", "  ", "e\tf", "ghi"])
+            rows.append((d % 4, d // 4 + 1, k // 8, k % 8, text, rng.random() * 500, k // 8 * 12 + rng.random() * 3, 5.0 * len(text), rng.choice([0.4, 8.0, 30.0]), rng.choice([9.0, 10.0, 14.0])))
+    made = spark.createDataFrame(rows, "doc_id long, page_number int, line_no int, word_no int, text string, x double, y double, width double, height double, font_size double")
+    banded = P.band_lines(made)
+    lines, cells = P.lines_of(banded), P.split_cells(banded)
+    near = lambda frame, columns: sorted(str(tuple([round(v, 9) for v in x] if isinstance(x, list) and x and isinstance(x[0], float) else round(x, 9) if isinstance(x, float) else x for x in r)) for r in frame.select(columns).collect())
+    assert near(K.lines_of(made), lines.columns) == near(lines, lines.columns)
+    rows_ = B.rows_of(cells, lines)
+    assert near(K.table_rows(made), rows_.columns) == near(rows_, rows_.columns)
+
+
+def test_tables_and_components_travel_once(spark):
+    for name, most in (("union_find", 1), ("detect_figure_rects", 1), ("row_spacing_cv", 0)):
+        told = plan(catalog.QUERIES[name](spark, DATA))
+        assert "Join" not in told and told.count("RepartitionByExpression") == most, name
+    assert "cell" in plan(catalog.QUERIES["outline_heading_level"](spark, DATA))
+    for name in ("paragraph_flow", "heading_map", "detect_horizontal_rules"):
+        assert "lag(y" not in plan(catalog.QUERIES[name](spark, DATA)), name
