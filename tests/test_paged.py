@@ -123,4 +123,4 @@ def test_tables_and_components_travel_once(spark):
         assert "Join" not in told and told.count("RepartitionByExpression") == most, name
     assert "cell" in plan(catalog.QUERIES["outline_heading_level"](spark, DATA))
     for name in ("paragraph_flow", "heading_map", "detect_horizontal_rules"):
-        assert "lag(y" not in plan(catalog.QUERIES[name](spark, DATA)), name
+        assert plan(catalog.QUERIES[name](spark, DATA)).count("MapInArrow") >= 2, name
