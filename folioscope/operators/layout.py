@@ -106,11 +106,6 @@ def heading_map(lines: DataFrame, body: DataFrame) -> DataFrame:
     return good.withColumn("level", level).where("level <= 6").select("doc_id", "size", "level")
 
 
-def is_upright(rotation: Column, within: float = 2.0) -> Column:
-    """Within ``within`` degrees of a right angle."""
-    return F.abs(rotation - F.floor(rotation / 90 + 0.5) * 90) <= within
-
-
 def _covered(page: np.ndarray, order: np.ndarray, text: np.ndarray, x: np.ndarray, y: np.ndarray, width: np.ndarray, height: np.ndarray) -> np.ndarray:
     """Which rows a later one (by ``order``) of their page covers.
 
