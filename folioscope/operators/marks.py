@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.operators.kernels import figures
+from folioscope.operators import paged as G
+from folioscope.operators.kernels import figures, lost_in_frames
 from folioscope.operators.pages import BACKGROUND, LEAST_IMAGE, PAGE
 
 #: Pixels of the largest render, and points of an inch.
@@ -66,11 +69,19 @@ def safe_dpi(requested: Column, width: Column, height: Column) -> Column:
 
 def restored(after: DataFrame, before: DataFrame, widgets: DataFrame) -> DataFrame:
     """Items of ``after``, and those of ``before`` that it lacks though their centre is in a widget
-    (doc_id, page_number, wx, wy, ww, wh)."""
-    lost = before.join(after.select(*PAGE, "text", "x", "y").distinct(), [*PAGE, "text", "x", "y"], "left_anti")
-    own = widgets.select(*(F.col(c).alias(f"w_{c}") for c in PAGE), "wx", "wy", "ww", "wh")
-    inside = F.expr("doc_id = w_doc_id AND page_number = w_page_number AND x + width / 2 BETWEEN wx AND wx + ww AND y + height / 2 BETWEEN wy AND wy + wh")
-    return after.unionByName(lost.join(own, inside, "left_semi"))
+    (doc_id, page_number, wx, wy, ww, wh). All of a page meet in one kernel."""
+    box, columns = ("x", "y", "width", "height"), after.columns
+    own = widgets.select(*PAGE, *(F.col(c).cast("double").alias(n) for c, n in zip(("wx", "wy", "ww", "wh"), box, strict=True)), F.lit(2).alias("kind"))
+    rows = after.withColumn("kind", F.lit(0)).unionByName(before.withColumn("kind", F.lit(1))).unionByName(own, True)
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        page, kind, text = G.groups(starts, table.num_rows), G.array(table, "kind"), table.column("text").combine_chunks()
+        kept, item, frame = (np.flatnonzero(kind == k) for k in range(3))
+        at = lambda rows: tuple(G.array(table, c)[rows] for c in box)
+        lost = lost_in_frames(page[item], text.take(pa.array(item)), at(item), page[kept], text.take(pa.array(kept)), *at(kept)[:2], page[frame], at(frame), len(starts))
+        return table.take(pa.array(np.concatenate([kept, item[lost]]))).select(columns)
+
+    return G.by_page(rows, PAGE, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in after.schema.fields))
 
 
 def track_of(start: Column, end: Column, tracks: Column) -> Column:

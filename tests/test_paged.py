@@ -7,6 +7,7 @@ import time
 
 from folioscope.operators import kernels as K
 from folioscope.operators import layout as L
+from folioscope.operators import marks as M
 from folioscope.operators import pages as P
 from folioscope.operators import tables as B
 from folioscope.plans import catalog
@@ -124,3 +125,67 @@ def test_tables_and_components_travel_once(spark):
     assert "cell" in plan(catalog.QUERIES["outline_heading_level"](spark, DATA))
     for name in ("paragraph_flow", "heading_map", "detect_horizontal_rules"):
         assert plan(catalog.QUERIES[name](spark, DATA)).count("MapInArrow") >= 2, name
+
+
+def inside(b, f):
+    return f[0] <= b[0] + b[2] / 2 <= f[0] + f[2] and f[1] <= b[1] + b[3] / 2 <= f[1] + f[3]
+
+
+def test_ocr_meets_a_page_in_one_kernel(spark):
+    """Against loops: tall items, several figures of a page, rows that share a result's number."""
+    rng = random.Random(11)
+    items, reads, figures = [], [], []
+    for d in range(12):
+        for _ in range(30):
+            items.append((d, 1, rng.choice(["ab", "xkcdqwrtzpl", "e"]), rng.random() * 500, rng.random() * 700, rng.random() * 40, rng.choice([9.0, 10.0, 80.0]), "F", 9.0))
+        for k in range(40):
+            x, y = rng.random() * 500, rng.random() * 700
+            reads.append((d, 1, k // 2 if d == 3 else k, rng.choice(["12 %", "word", "|", "a", "two words", "--", "　一 "]), x, y, x + rng.random() * 40, y + rng.random() * 20, 72.0, rng.choice([0.05, 0.2, 0.5, 0.9])))
+        figures += [(d, 1, k, 100.0 * k, 200.0, 150.0, 300.0) for k in range(d % 4)]
+    made = [spark.createDataFrame(rows, f"doc_id long, page_number int, {names}") for rows, names in (
+        (items, "text string, x double, y double, width double, height double, font_name string, font_size double"),
+        (reads, "result_id long, text string, x0 double, y0 double, x1 double, y1 double, dpi double, confidence double"),
+        (figures, "figure int, fx double, fy double, fw double, fh double"),
+    )]
+    native = [i for i in items if i[2] != "xkcdqwrtzpl"]
+    boxes = [(r, (r[4], r[5], r[6] - r[4], r[7] - r[5])) for r in reads]
+    drawn = set()
+    for f in figures:
+        held = [r for r, b in boxes if r[0] == f[0] and inside(b, f[3:])]
+        if len(held) >= 4 and sum(len(r[3].strip()) <= 3 or r[3] == "12 %" for r in held) >= 0.5 * len(held):
+            drawn |= {(r[0], r[2]) for r in held}
+    want = [(i[0], i[2], i[3]) for i in native]
+    for r, b in boxes:
+        rule = r[3] == "--" or r[3] == "|"
+        near = any(i[0] == r[0] and b[0] < i[3] + i[5] + 2 and b[0] + b[2] > i[3] - 2 and b[1] < i[4] + i[6] + 2 and b[1] + b[3] > i[4] - 2 for i in native)
+        if r[9] >= 0.3 and not rule and (r[0], r[2]) not in drawn and not near:
+            want.append((r[0], r[3], b[0]))
+    assert sorted((r.doc_id, r.text, r.x) for r in P.merge_ocr(*made, 0.3).collect()) == sorted(want) and drawn and len(want) > len(native)
+    told = plan(catalog.QUERIES["merge_ocr_results"](spark, DATA))
+    assert "Join" not in told and told.count("RepartitionByExpression") == 1
+
+
+def test_texts_are_restored_in_one_kernel(spark):
+    rng, before = random.Random(13), []
+    for d in range(10):
+        before += [(d, 1, rng.choice(["a", "b", None]), float(rng.randrange(20)), float(rng.randrange(20)), 4.0, 2.0) for _ in range(60)]
+    after = [r for r in before if rng.random() < 0.5]
+    frames = [(d, 1, 5 * k, 3, 4, 9) for d in range(10) for k in range(d % 3)]
+    names = "doc_id long, page_number int, text string, x double, y double, width double, height double"
+    made = M.restored(spark.createDataFrame(after, names), spark.createDataFrame(before, names), spark.createDataFrame(frames, "doc_id long, page_number int, wx int, wy int, ww int, wh int"))
+    held = {r[:5] for r in after if r[2] is not None}
+    want = after + [r for r in before if r[:5] not in held and any(f[0] == r[0] and inside(r[3:], f[2:]) for f in frames)]
+    assert sorted(map(str, map(tuple, made.collect()))) == sorted(map(str, want)) and len(want) > len(after)
+    told = plan(catalog.QUERIES["restore_flattened_over_text"](spark, DATA))
+    assert "Join" not in told and told.count("RepartitionByExpression") == 1
+
+
+def test_page_facts_in_one_pass(spark):
+    """What the relational operators tell, of one row a page; words are set once."""
+    texts = ["a b c", "bcdfghjklmnpq " * 5, "zrt klmnb " * 30, "the quick brown fox " * 90, "é" * 90, "  \n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    facts = {(r.doc_id, r.page_number): tuple(r)[2:] for r in S.by_page(docs, lambda t, s: K.page_facts(t, s, 612.0, 792.0), "n_items long, text_length long, text_coverage double, is_garbled boolean").collect()}
+    bad = {(r.doc_id, r.page_number) for r in L.garbled_scope(S.items(docs)).collect() if r.scope == "page"}
+    want = {(r.doc_id, r.page_number): (r.n_items, r.text_length, r.text_coverage, (r.doc_id, r.page_number) in bad) for r in P.native_text(S.items(docs), 612.0, 792.0).collect()}
+    assert facts == want and bad
+    assert "MapInArrow" not in plan(catalog.QUERIES["page_complexity"](spark, DATA))
