@@ -81,7 +81,12 @@ def garbled_scope(items: DataFrame) -> DataFrame:
 
 def body_size(items: DataFrame) -> DataFrame:
     """(doc_id, body_size): the largest size with half the characters of the commonest one."""
-    sized = items.where("font_size > 0").groupBy("doc_id", F.round(F.col("font_size") * 100).alias("key")).agg(F.sum(F.length("text")).alias("weight"))
+    return body_of(items.select("doc_id", "font_size", F.length("text").alias("n")))
+
+
+def body_of(weights: DataFrame) -> DataFrame:
+    """``body_size`` of (doc_id, font_size, n), n characters of a size."""
+    sized = weights.where("font_size > 0").groupBy("doc_id", F.round(F.col("font_size") * 100).alias("key")).agg(F.sum("n").alias("weight"))
     most = F.max(F.greatest("weight", F.lit(1))).over(W.partitionBy("doc_id"))
     return sized.withColumn("most", most).where(F.col("weight") >= F.floor(F.col("most") * 0.5)).groupBy("doc_id").agg((F.max("key") / 100).alias("body_size"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import kernels as K
+from folioscope.operators import paged as G
 from folioscope.operators import pages as P
 from folioscope.plans import more as M
 from folioscope.plans import pages as Q
@@ -58,21 +61,29 @@ STROKES = "strokes AS (SELECT doc_id, page_number, line_no, min(x) AS sx1, min(y
 @query(f"""{Q.LINES}, {STROKES}, w AS (SELECT DISTINCT doc_id, page_number, (sy1 + sy2) / 2 AS y, least(sx1, sx2) AS x0, greatest(sx1, sx2) AS x1 FROM strokes WHERE abs(sy2 - sy1) <= 2 AND stroke <= 2 AND abs(sx2 - sx1) >= 0.3::DOUBLE * 612)
 SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM ruled r WHERE r.doc_id = w.doc_id AND r.page_number = w.page_number AND abs(w.y - (r.y + r.height)) < 3 AND w.x0 >= r.x - 2 AND w.x1 <= r.x + r.width + 2)""")
 def detect_horizontal_rules(spark, d):
-    own = Q.items(spark, d)
-    strokes = own.groupBy(*P.PAGE, "line_no").agg(
-        F.min("x").alias("sx1"), F.expr("min(y) + 10 + line_no % 9").alias("sy1"), F.expr("min(x) + 150 + line_no % 5 * 40").alias("sx2"),
-        F.expr("min(y) + 10 + line_no % 9 + line_no % 2").alias("sy2"), F.expr("CAST(line_no % 3 + 0.5 AS DOUBLE)").alias("stroke"),
+    lines = S.by_page(S.read(spark, d, "documents"), K.line_corners, "line_no int, x double, y double")
+    strokes = lines.selectExpr(
+        *P.PAGE, "x AS sx1", "y + 10 + line_no % 9 AS sy1", "x + 150 + line_no % 5 * 40 AS sx2", "y + 10 + line_no % 9 + line_no % 2 AS sy2", "CAST(line_no % 3 + 0.5 AS DOUBLE) AS stroke",
     )
-    return P.horizontal_rules(strokes, K.lines_of(own, together=True), S.WIDTH)
+    return P.horizontal_rules(strokes, Q._lines(spark, d), S.WIDTH)
 
 
 @query(f"""{Q.ITEMS}, paths AS (SELECT doc_id, page_number, line_no AS path, min(x) + 20 AS px, min(y) - 5 AS py, 200.0::DOUBLE AS pw, (12 + line_no % 4 * 9)::DOUBLE AS ph FROM items WHERE line_no % 3 = 0 GROUP BY ALL),
 c AS (SELECT p.doc_id, p.page_number, p.path, any_value(pw * ph) AS area, coalesce(sum((least(px + pw, x + width) - greatest(px, x)) * (least(py + ph, y + height) - greatest(py, y))) FILTER (x IS NOT NULL), 0) AS covered FROM paths p LEFT JOIN items i ON i.doc_id = p.doc_id AND i.page_number = p.page_number
   AND least(px + pw, x + width) > greatest(px, x) AND least(py + ph, y + height) > greatest(py, y) GROUP BY ALL) SELECT doc_id, page_number, sum(greatest(0, area - covered))::DOUBLE AS uncovered FROM c GROUP BY ALL""")
 def uncovered_path_area(spark, d):
-    own = Q.items(spark, d)
-    paths = own.where("line_no % 3 = 0").groupBy(*P.PAGE, F.col("line_no").alias("path")).agg(F.expr("min(x) + 20").alias("px"), F.expr("min(y) - 5").alias("py"))
-    return P.uncovered_area(paths.selectExpr("*", "200D AS pw", "CAST(12 + path % 4 * 9 AS DOUBLE) AS ph"), own)
+    return S.by_page(S.read(spark, d, "documents"), _uncovered, "uncovered double")
+
+
+def _uncovered(words: pa.Table, starts: np.ndarray) -> pa.Table:
+    """A path from every third line."""
+    lines = K.line_corners(words, starts)
+    of = G.groups(G.first_rows(lines, P.PAGE), lines.num_rows)
+    line = G.array(lines, "line_no")
+    own = np.flatnonzero(line % 3 == 0)
+    box = (G.array(lines, "x")[own] + 20, G.array(lines, "y")[own] - 5, np.full(len(own), 200.0), 12.0 + line[own] % 4 * 9)
+    pages, areas = K.uncovered(of[own], box, G.groups(starts, words.num_rows), tuple(G.array(words, c) for c in ("x", "y", "width", "height")), len(starts))
+    return pa.table(G.keyed(words, P.PAGE, starts[pages]) | {"uncovered": pa.array(areas)})
 
 
 @query(f"""{X.SQL}, b AS (SELECT id % 80 AS doc, id, CASE WHEN id % 7 = 0 THEN 'heading' ELSE 'paragraph' END AS kind, line FROM s WHERE n % 2 = 0 OR right(line, 1) = '-'),

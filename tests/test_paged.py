@@ -189,3 +189,25 @@ def test_page_facts_in_one_pass(spark):
     want = {(r.doc_id, r.page_number): (r.n_items, r.text_length, r.text_coverage, (r.doc_id, r.page_number) in bad) for r in P.native_text(S.items(docs), 612.0, 792.0).collect()}
     assert facts == want and bad
     assert "MapInArrow" not in plan(catalog.QUERIES["page_complexity"](spark, DATA))
+
+
+def test_words_stay_in_the_pass_that_sets_them(spark):
+    for name in ("xy_find_best_cut", "project_pages_to_grid", "search_items", "uncovered_path_area", "build_projected_lines"):
+        assert plan(catalog.QUERIES[name](spark, DATA)).count("MapInArrow") == 1, name
+    for name in ("heading_map", "detect_horizontal_rules"):
+        assert plan(catalog.QUERIES[name](spark, DATA)).count("MapInArrow") == 2, name
+
+
+def test_uncovered_area_by_loop(spark):
+    rng = random.Random(17)
+    box = lambda: (float(rng.randrange(300)), float(rng.randrange(300)), float(rng.randrange(60)), float(rng.choice([5, 10, 90])))
+    paths, items = [(d, 1, k, *box()) for d in range(8) for k in range(9)], [(d, 1, *box()) for d in range(7) for _ in range(40)]
+    want = {}
+    for p in paths:
+        x, y, w, h = p[3:]
+        over = sum(max(0.0, min(x + w, i[2] + i[4]) - max(x, i[2])) * max(0.0, min(y + h, i[3] + i[5]) - max(y, i[3])) for i in items if i[0] == p[0])
+        if w * h > 0:
+            want[p[0]] = want.get(p[0], 0.0) + max(0.0, w * h - over)
+    made = spark.createDataFrame(paths, "doc_id long, page_number int, path int, px double, py double, pw double, ph double")
+    got = P.uncovered_area(made, spark.createDataFrame(items, "doc_id long, page_number int, x double, y double, width double, height double"))
+    assert {r.doc_id: r.uncovered for r in got.collect()} == want
