@@ -159,14 +159,14 @@ def attend(m: Model, seen: np.ndarray) -> np.ndarray:
     t = seen.shape[1]
     back = np.arange(t)[:, None] - np.arange(t)[None, :]
     mask = np.where(back >= 0, np.exp(m.near[np.maximum(back, 0)]), 0).astype(np.float32)
-    a = np.matmul(m.query[seen], m.key[seen].transpose(0, 2, 1))
+    a = np.matmul(m.query.take(seen, axis=0), m.key.take(seen, axis=0).transpose(0, 2, 1))
     np.clip(a, -40, 40, out=a)
     np.exp(a, out=a)
     a *= mask
-    h = np.matmul(a, m.value[seen])
+    h = np.matmul(a, m.value.take(seen, axis=0))
     h /= (a @ np.ones(t, np.float32))[..., None]
     scores = h.reshape(-1, DIM) @ m.mix
-    scores += m.out[seen.ravel()]
+    scores += m.out.take(seen.ravel(), axis=0)
     return np.clip(scores, -40, 40, out=scores).reshape(*seen.shape, CLASSES)
 
 
@@ -190,8 +190,8 @@ def log_probabilities(m: Model, stream: np.ndarray, lengths: np.ndarray, batch:
     place, ones = np.arange(WINDOW), np.ones(CLASSES, np.float32)
     for a in range(0, len(start), batch):
         at = start[a : a + batch, None] + place
-        scores = attend(m, padded[at])
-        picked = scores.reshape(-1, CLASSES)[np.arange(at.size), want[at].ravel()].reshape(at.shape)
+        scores = attend(m, padded.take(at))
+        picked = scores.ravel().take(np.arange(at.size).reshape(at.shape) * CLASSES + want.take(at))
         np.exp(scores, out=scores)
         logp = picked - np.log(scores @ ones)
         fresh = (place >= CONTEXT) | first[a : a + batch, None]
@@ -200,6 +200,28 @@ def log_probabilities(m: Model, stream: np.ndarray, lengths: np.ndarray, batch:
     return out + m.pair[before, rows] + m.rest[stream]
 
 
+#: Values that are added up at once in ``sums_by_row``.
+RUN = 8
+
+
+def sums_by_row(parts: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows``, ascending, and the sums of the parts' values side by side: values
+    in the order of their rows are laid out in runs of RUN, the last of each row filled up with
+    zeros, and summed by run before by row."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    by_row = rows[order]
+    first = np.flatnonzero(np.append(True, by_row[1:] != by_row[:-1]))
+    many = np.diff(np.append(first, len(rows)))
+    runs = -(-many // RUN)
+    begins = np.cumsum(runs) - runs
+    laid = np.full(int(runs.sum()) * RUN, len(rows))
+    laid[np.arange(len(rows)) + np.repeat(begins * RUN - first, many)] = order
+    values = np.zeros((len(rows) + 1, sum(x.shape[1] for x in parts)), parts[0].dtype)
+    np.concatenate(parts, axis=1, out=values[:-1])
+    by_run = np.matmul(np.ones(RUN, values.dtype), values.take(laid, axis=0).reshape(-1, RUN, values.shape[1]))
+    return by_row[first], np.add.reduceat(by_run, begins, axis=0)
+
+
 LEARNED = ("query", "key", "value", "near", "out", "mix")
 
 
@@ -232,7 +254,7 @@ class Trainer:
 
     def _step(self, seen: np.ndarray, want: np.ndarray, live: np.ndarray) -> None:
         m = self.m
-        q, k, v = m.query[seen], m.key[seen], m.value[seen]
+        q, k, v = (x.take(seen, axis=0) for x in (m.query, m.key, m.value))
         w = np.matmul(q, k.transpose(0, 2, 1))
         np.clip(w, -40, 40, out=w)
         np.exp(w, out=w)
@@ -241,26 +263,22 @@ class Trainer:
         h = np.matmul(w, v)
         flat, n = seen.ravel(), seen.size
         p = h.reshape(n, DIM) @ m.mix
-        p += m.out[flat]
+        p += m.out.take(flat, axis=0)
         np.clip(p, -40, 40, out=p)
         np.exp(p, out=p)
         weight = live.ravel() / max(1.0, float(live.sum()))
         p *= (weight / (p @ self.ones))[:, None]
-        p[np.arange(n), want.ravel()] -= weight
+        p.ravel()[np.arange(n) * CLASSES + want.ravel()] -= weight
         dh = (p @ m.mix.T).reshape(h.shape)
         dw = np.matmul(dh, v.transpose(0, 2, 1))
         dw -= np.matmul((dw * w), np.ones(WINDOW, np.float32))[..., None]
         dw *= w
         parts = [np.matmul(dw, k), np.matmul(dw.transpose(0, 2, 1), q), np.matmul(w.transpose(0, 2, 1), dh)]
-        # Sums by row: tokens in the order of their rows, then runs of equal rows.
-        order = np.argsort(flat.astype(np.uint16), kind="stable")
-        by_row = flat[order]
-        first = np.flatnonzero(np.append(True, by_row[1:] != by_row[:-1]))
-        sums = np.add.reduceat(np.concatenate([*(x.reshape(n, DIM) for x in parts), p], axis=1)[order], first, axis=0)
+        by_row, sums = sums_by_row([*(x.reshape(n, DIM) for x in parts), p], flat)
         grads = {}
         for name, a, b in (("query", 0, DIM), ("key", DIM, 2 * DIM), ("value", 2 * DIM, 3 * DIM), ("out", 3 * DIM, 3 * DIM + CLASSES)):
             grads[name] = np.zeros_like(getattr(m, name))
-            grads[name][by_row[first]] = sums[:, a:b]
+            grads[name][by_row] = sums[:, a:b]
         grads["mix"] = h.reshape(n, DIM).T @ p
         grads["near"] = np.bincount(self.back[self.open], dw.sum(axis=0)[self.open], WINDOW).astype(np.float32)
         self.steps += 1

@@ -352,3 +352,14 @@ def test_lm_rows_come_from_all_training_texts(spark):
     assert (model.reduced < len(model.cls)).all()
     stream = lm.Subwords.at_path(lm.tokenizer_path()).texts(pa.array([f"{w} {w} {w}" for w in names]))[0]
     assert (model.reduced[stream] < len(model.cls) - lm.SHARED).all()
+
+
+def test_sums_by_row_are_those_of_a_loop():
+    rng = np.random.default_rng(3)
+    for n in (1, 16, 17, 5000):
+        values, rows = rng.standard_normal((n, 5)).astype(np.float32), np.minimum(rng.zipf(1.4, n), 1279)
+        want = np.zeros((1280, 5))
+        for v, r in zip(values, rows, strict=True):
+            want[r] += v
+        got, sums = lm.sums_by_row([values[:, :2], values[:, 2:]], rows)
+        assert got.tolist() == sorted(set(rows.tolist())) and np.allclose(sums, want[got], atol=1e-3)
