@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.operators import kernels as K
+from folioscope.operators import paged as G
+
 PAGE = ("doc_id", "page_number")
 # Least cells of a row, how far apart two cells of one column may begin in points,
 # columns of a row that may be off, heights of a line between two rows at most.
@@ -51,6 +59,87 @@ def spacing(tables: DataFrame) -> DataFrame:
     return out.select(*PAGE, "table", "rows", "columns", cv.alias("cv"))
 
 
+def runs_of_rows(rows: pa.Table) -> pa.Table:
+    """``table_runs`` of the rows of whole pages, which stand in order."""
+    if not rows.num_rows:
+        return rows.append_column("table", pa.array([], pa.int32()))
+    starts = G.first_rows(rows, PAGE)
+    page, n, y, height = G.groups(starts, rows.num_rows), *(G.array(rows, c) for c in ("n", "y", "height"))
+    listed = rows.column("starts").combine_chunks()
+    at, x = listed.offsets.to_numpy(), listed.values.to_numpy()
+    tall = np.maximum(np.maximum(height[1:], height[:-1]), 1.0)
+    goes_on = np.append(False, (page[1:] == page[:-1]) & (n[1:] == n[:-1]) & (n[1:] >= CELLS) & (y[1:] - (y[:-1] + height[:-1]) <= ROWS_APART * tall))
+    own = np.flatnonzero(goes_on)
+    if len(own):
+        first = np.cumsum(n[own]) - n[own]
+        cell = np.repeat(at[own] - first, n[own]) + np.arange(n[own].sum())
+        above = cell - np.repeat(at[own] - at[own - 1], n[own])
+        off = np.add.reduceat((~(np.abs(x[cell] - x[above]) <= TRACK)).astype(np.int64), first)
+        goes_on[own] = off <= OFF
+    begins = np.flatnonzero(~goes_on)
+    long = np.diff(np.append(begins, len(n))) >= 2
+    kept = long[np.cumsum(~goes_on) - 1] & (n >= CELLS)
+    new = np.zeros(len(n), np.int64)
+    new[begins[long]] = kept[begins[long]]
+    count = np.cumsum(new)
+    number = count - (count - new)[starts][page]
+    return rows.append_column("table", pa.array(number, pa.int32())).filter(pa.array(kept))
+
+
+def spacing_of_runs(tables: pa.Table) -> pa.Table:
+    """``spacing`` of what ``runs_of_rows`` tells."""
+    at, y = G.first_rows(tables, (*PAGE, "table")), G.array(tables, "y")
+    rows = np.diff(np.append(at, tables.num_rows))
+    add = lambda v: np.add.reduceat(v, at) if len(at) else v
+    gap = np.append(np.zeros(1), y[1:] - y[:-1])[: len(y)]
+    gap[at] = 0.0
+    gaps = np.maximum(rows - 1, 1)
+    mean = add(gap) / gaps
+    off = (gap - np.repeat(mean, rows)) ** 2
+    off[at] = 0.0
+    cv = np.where((rows > 2) & (mean > 0), np.sqrt(add(off) / gaps) / np.where(mean > 0, mean, 1.0), 0.0)
+    return pa.table(G.keyed(tables, (*PAGE, "table"), at) | {"rows": pa.array(rows, pa.int64()), "columns": tables.column("n").take(pa.array(at)), "cv": pa.array(cv)})
+
+
+def filled_of_runs(tables: pa.Table) -> pa.Table:
+    """(doc_id, page_number, n_tables, filled): tables of each page and their cells with text."""
+    at, texts = G.first_rows(tables, PAGE), tables.column("texts").combine_chunks()
+    cells = np.append(0, np.cumsum(pc.binary_length(texts.flatten()).to_numpy(zero_copy_only=False) > 0))
+    own = np.append(0, np.cumsum(pc.list_value_length(texts).to_numpy(zero_copy_only=False)))
+    ends = np.append(at, tables.num_rows)[1:]
+    number = G.array(tables, "table")[ends - 1] if len(at) else np.zeros(0)
+    return pa.table(G.keyed(tables, PAGE, at) | {"n_tables": pa.array(number, pa.int64()), "filled": pa.array(cells[own[ends]] - cells[own[at]], pa.int64())})
+
+
+def joined_rows(tables: pa.Table) -> pa.Table:
+    """(doc_id, page_number, table, band, n, row_text): cells with bars between."""
+    text = pc.binary_join(tables.column("texts").combine_chunks(), " | ")
+    return tables.select([*PAGE, "table", "band", "n"]).append_column("row_text", text)
+
+
+def pipes_of_runs(tables: pa.Table) -> pa.Table:
+    """(doc_id, page_number, table, markdown): ``pages.pipe_tables`` of the rows of each table."""
+    at, listed = G.first_rows(tables, (*PAGE, "table")), tables.column("texts").combine_chunks()
+    text = listed.flatten()
+    for sign, told in (("\\", "\\\\"), ("|", "\\|"), ("\n", " ")):
+        text = pc.replace_substring(text, sign, told)
+    n = pc.list_value_length(listed).to_numpy(zero_copy_only=False)
+    offsets = np.append(0, np.cumsum(n))
+    line = pc.binary_join_element_wise("| ", pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), text), " | "), " |", "")
+    head = np.zeros(tables.num_rows, bool)
+    head[at] = True
+    rule = pc.binary_join_element_wise("\n|", pc.binary_repeat("---|", pa.array(n[at], pa.int64())), "")
+    line = pc.replace_with_mask(line, pa.array(head), pc.binary_join_element_wise(line.take(pa.array(at)), rule, ""))
+    return pa.table(G.keyed(tables, (*PAGE, "table"), at) | {"markdown": G.joined(line, at, "\n")})
+
+
+def tell(items, told: Callable[[pa.Table], pa.Table], schema: str, together: bool = False) -> DataFrame:
+    """What ``told`` tells of the tables of whole pages, in one pass: words go in, and of each page
+    only that comes out. ``schema``: its columns behind (doc_id, page_number)."""
+    run = lambda table, starts: told(runs_of_rows(K.rows_of_pages(table, starts)))
+    return G.by_page(G.chosen(items, *K.TABLE_ITEMS), PAGE, run, f"doc_id {G.type_of(items, 'doc_id')}, page_number int, {schema}", together)
+
+
 def clusters(values: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """(keys, cluster, mean, support) of (keys, v): values chained where the next is within the
     tolerance."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import time
 
+from pyspark.sql import functions as F
+
 from folioscope.operators import kernels as K
 from folioscope.operators import layout as L
 from folioscope.operators import marks as M
@@ -211,3 +213,32 @@ def test_uncovered_area_by_loop(spark):
     made = spark.createDataFrame(paths, "doc_id long, page_number int, path int, px double, py double, pw double, ph double")
     got = P.uncovered_area(made, spark.createDataFrame(items, "doc_id long, page_number int, x double, y double, width double, height double"))
     assert {r.doc_id: r.uncovered for r in got.collect()} == want
+
+
+def test_tables_are_told_where_rows_are_made(spark):
+    """The kernels tell what the relational operators do; cells of odd blanks, runs that break."""
+    rng, rows = random.Random(19), []
+    for d in range(30):
+        y = 20.0
+        for k in range(25):
+            y += rng.choice([12.0, 12.0, 14.0, 60.0])
+            for w in range(rng.choice([4, 4, 4, 3, 2])):
+                for part in range(rng.choice([1, 1, 2])):
+                    text = rng.choice(["a", "b|c", "d\\e", " ", "f g", "é\th ", "\U0001f600"])
+                    rows.append((d % 10, d // 10 + 1, k, w * 2 + part, text, 40.0 + w * 100 + part * 8 + rng.choice([0.0, 0.0, 0.0, 9.0]), y, 6.0 * len(text), 10.0, 10.0))
+    made = spark.createDataFrame(rows, "doc_id long, page_number int, line_no int, word_no int, text string, x double, y double, width double, height double, font_size double")
+    banded = P.band_lines(made)
+    tables = B.table_runs(B.rows_of(P.split_cells(banded), P.lines_of(banded))).cache()
+    cells = tables.select(*P.PAGE, "table", F.col("band").alias("row"), F.posexplode("texts").alias("col", "text"))
+    filled = F.size(F.filter("texts", lambda t: t != ""))
+    near = lambda frame: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in frame.collect())
+    for told, schema, want in (
+        (B.spacing_of_runs, "table int, rows long, columns int, cv double", B.spacing(tables)),
+        (B.joined_rows, "table int, band int, n int, row_text string", tables.select(*P.PAGE, "table", "band", "n", F.array_join("texts", " | "))),
+        (B.pipes_of_runs, "table int, markdown string", P.pipe_tables(cells, [*P.PAGE, "table"])),
+        (B.filled_of_runs, "n_tables long, filled long", tables.groupBy(*P.PAGE).agg(F.count_distinct("table"), F.sum(filled).cast("long"))),
+    ):
+        assert near(B.tell(made, told, schema)) == near(want) and want.count() > 10, schema
+    for name in ("row_spacing_cv", "count_text_table_runs", "detect_tables", "tables_to_markdown"):
+        shown = plan(catalog.QUERIES[name](spark, DATA))
+        assert shown.count("Window") == 1 and "Generate" not in shown and "Aggregate" not in shown, name
