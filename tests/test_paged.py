@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 import time
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from folioscope.functions import text as T
 from folioscope.operators import kernels as K
 from folioscope.operators import layout as L
 from folioscope.operators import marks as M
@@ -242,3 +245,32 @@ def test_tables_are_told_where_rows_are_made(spark):
     for name in ("row_spacing_cv", "count_text_table_runs", "detect_tables", "tables_to_markdown"):
         shown = plan(catalog.QUERIES[name](spark, DATA))
         assert shown.count("Window") == 1 and "Generate" not in shown and "Aggregate" not in shown, name
+
+
+def test_markers_of_lists_by_rule(spark):
+    """The kernel's markers are those of the rules, of odd lines too; lines aren't grouped one page at a time."""
+    lines = ["a. x", "(a\n) x", "(i\r\n) x", "(iv) x", "iv) x y", "IIX. z", "Ab. c", "a.x", "a. ", "　\x85b) c ", "(b) c d", "(b)\n\nd", "c. d\ne", "(xxxxxxxxxx) y", "vi.\tw", "(a b) c", "(1) c", "(é) c", "m. \U0001f600", "(zz) q", "abcdefgh. i", "(C ) q", "(a\n\n) x"]
+    made = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    kinds = T.marker_kinds(T.ordered_marker(F.col("line"))["body"])
+    want = {r.id: [tuple(k) for k in r.kinds] for r in made.select("id", kinds.alias("kinds")).collect() if r.kinds}
+    got = {}
+    for k, line in enumerate(lines):
+        found = re2_marker(line)
+        if found and K.kinds_of(found):
+            got[k] = K.kinds_of(found)
+    assert got == want and len(want) > 8
+    rng = random.Random(23)
+    rows = [(d, k, float(rng.choice([0, 5, 10])), rng.choice(["text", *(f"{c}. of" for c in "abci"), "(ii) of"])) for d in range(9) for k in range(300)]
+    rng.shuffle(rows)
+    told = spark.createDataFrame(rows, "page long, idx int, indent double, line string")
+    got = {tuple(r) for r in K.ordered_list_lines(told).collect()}
+    marked = [(d, n, indent, K.kinds_of(re2_marker(line))) for d, n, indent, line in rows if line != "text"]
+    want = {(d, n) for d in range(9) for n in K.chain_markers(sorted(r[1:] for r in marked if r[0] == d))}
+    assert got == want and len(want) > 50
+    shown = plan(catalog.QUERIES["detect_ordered_list_lines"](spark, DATA))
+    assert shown.count("MapInArrow") == 1 and "FlatMapGroups" not in shown
+
+
+def re2_marker(line):
+    found = pc.extract_regex(pc.utf8_trim(pa.array([line]), K.SPACES), K.MARKER)[0].as_py()
+    return found and found["inside"] + found["end"] + found["plain"]
