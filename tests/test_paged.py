@@ -287,3 +287,20 @@ def test_segments_travel_once(spark):
     assert G.by_page(S.segment_pages(odd, lambda t: t.slice(0, 0)), ("page",), lambda t, s: t, "page long").count() == 0
     shown = plan(catalog.QUERIES["detect_figure_rects"](spark, DATA))
     assert "Window" not in shown and shown.count("RepartitionByExpression") == 1
+
+
+def test_paragraphs_in_one_pass(spark):
+    """The kernel tells what the relational operator does: soft hyphens, blank lines, pages that mix."""
+    rng, rows = random.Random(29), []
+    for d in range(40):
+        y = 10.0
+        for k in range(30):
+            y += rng.choice([12.0, 12.0, 12.0, 12.0, 40.0])
+            text = rng.choice(["word-", "wo-\t", "rest of", " lower", "Upper-", "--", "-", "été-", "ß x", "", "  ", "a-", "12-", "一-"])
+            rows.append((d % 8, d // 8 + 1, k, 36.0 + rng.choice([0.0, 0.0, 0.0, 6.0, 20.0]), y, rng.choice([0.4, 10.0]), rng.choice([10.0, 10.0, 10.0, 10.4, 14.0, None]), text))
+    rng.shuffle(rows)
+    made = spark.createDataFrame(rows, "doc_id long, page_number int, band int, x double, y double, height double, font_size double, text string")
+    want = sorted(map(tuple, P.paragraphs(made).collect()))
+    assert sorted(map(tuple, K.paragraphs(made).collect())) == want and any(r[3] > 4 for r in want)
+    shown = plan(catalog.QUERIES["paragraph_flow"](spark, DATA))
+    assert "Window" not in shown and "Aggregate" not in shown and shown.count("RepartitionByExpression") == 1
