@@ -304,3 +304,13 @@ def test_paragraphs_in_one_pass(spark):
     assert sorted(map(tuple, K.paragraphs(made).collect())) == want and any(r[3] > 4 for r in want)
     shown = plan(catalog.QUERIES["paragraph_flow"](spark, DATA))
     assert "Window" not in shown and "Aggregate" not in shown and shown.count("RepartitionByExpression") == 1
+
+
+def test_words_leave_their_kernel_narrow(spark):
+    kernel = next(line for line in plan(catalog.QUERIES["typeset_items"](spark, DATA)).splitlines() if "MapInArrow" in line)
+    assert not any(c in kernel for c in ("font_name", "height", "width"))
+    docs = spark.createDataFrame([(7, "a é\n\n" + "xy " * 3000)], "doc_id int, text string")
+    frame, words = S.items(docs), S.Words(docs)
+    names = list(frame.columns)
+    got = words.by_page(lambda t, s: t.select(names), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields))
+    assert sorted(map(tuple, frame.collect())) == sorted(map(tuple, got.collect()))
